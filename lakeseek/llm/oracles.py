@@ -1,3 +1,35 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express, over whole tables."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+#: chr(11) and chr(12) are the two white-space characters without an escape in SQL.
+_SPACES = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+
+
+def _shingle_sets(source: str, key: str) -> str:
+    words = _WORDS.format(_LOWER.format("text"))
+    return f"""
+    SELECT DISTINCT {key}, array_to_string(w[i:i+4], ' ') AS s
+    FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i
+          FROM (SELECT {key}, {words} AS w FROM {source}) WHERE len(w) > 0)"""
+
+
+ORACLES: dict[str, str] = {
+    "op7_line_dedup": f"""
+WITH l AS (
+  SELECT doc_id, i, lines[i] AS line, {_LOWER.format(f"trim(lines[i], {_SPACES})")} AS k, len(lines) AS n
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+hot AS (SELECT k FROM l WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, max(n) AS n_lines, count(*) FILTER (k IN (SELECT k FROM hot)) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (k NOT IN (SELECT k FROM hot)), '')) AS kept_sha256
+FROM l GROUP BY doc_id""",
+    "op8_decontaminate": f"""
+WITH d AS ({_shingle_sets("documents", "doc_id")}), b AS ({_shingle_sets("benchmark", "item_id")}),
+q AS (SELECT item_id, count(*) AS n_item_shingles FROM b GROUP BY item_id)
+SELECT doc_id, item_id, n_item_shingles, count(*) AS n_shared
+FROM d JOIN b USING (s) JOIN q USING (item_id)
+GROUP BY doc_id, item_id, n_item_shingles HAVING 100 * count(*) >= 80 * n_item_shingles""",
+}

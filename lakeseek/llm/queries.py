@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeseek.llm import language_id, substring_dedup, token_counts
+from lakeseek.llm import decontaminate, language_id, line_dedup, substring_dedup, token_counts
 from lakeseek.llm.common import table
 
 
@@ -28,3 +28,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op2_token_counts": op2_token_counts, "op3_language_id": op3_language_id}
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES |= {"op7_line_dedup": op7_line_dedup, "op8_decontaminate": op8_decontaminate}
