@@ -45,7 +45,9 @@ def _starts(words: str, k: int) -> Column:
 
 
 def _shingle_texts(words: str, k: int) -> Column:
-    return F.array_distinct(F.transform(_starts(words, k), lambda i: F.array_join(F.slice(words, i + 1, k), " ")))
+    """The distinct shingles; never null as far as the optimiser can see, so that it infers no filter that makes them a second time."""
+    made = F.array_distinct(F.transform(_starts(words, k), lambda i: F.array_join(F.slice(words, i + 1, k), " ")))
+    return F.coalesce(made, F.array().cast("array<string>"))
 
 
 def _shingle_hashes(word_hashes: str, k: int) -> Column:
@@ -65,11 +67,11 @@ def _need(n: Column, percent: int) -> Column:
 
 def sketches(items: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(hash, id, least): the sketch of each item by its size partition; least: shingles that a document needs to be probed."""
-    sets = _hashed(items, k).select("id", F.array_distinct("hashes").alias("hashes")).where(F.size("hashes") > 0)
+    sets = _hashed(items, k).select("id", F.array_distinct("hashes").alias("hashes"))
     size = F.size("hashes")
     lower = F.pow(F.lit(2.0), F.floor(F.log2(size))).cast("int")
     depth = lower * 2 - 1 - _need(lower * 2 - 1, percent) + 1
-    return sets.select("id", _need(lower, percent).cast("int").alias("least"), F.explode(F.slice(F.array_sort("hashes"), F.lit(1), F.least(size, depth).cast("int"))).alias("hash"))
+    return sets.select("id", _need(lower, percent).cast("int").alias("least"), F.explode_outer(F.slice(F.sort_array("hashes"), F.lit(1), F.least(size, depth).cast("int"))).alias("hash")).where("hash is not null")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -80,7 +82,8 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = SHINGLE, percent
     n_probe = probe.count()
     hits = (
         _hashed(doc_texts, k)
-        .select("id", F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
+        # explode_outer, and a size that can't be null: filters inferred from them would make the shingles a second time, below the scan
+        .select("id", F.coalesce(F.size("hashes"), F.lit(0)).alias("n"), F.explode_outer("hashes").alias("hash"))
         .join(small(probe.withColumnRenamed("id", "item_id"), n_probe), "hash")
         .where("n >= least")
     )
