@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeseek.llm import decontaminate, language_id, line_dedup, substring_dedup, token_counts
+from lakeseek.llm import decontaminate, language_id, line_dedup, mixing, substring_dedup, token_counts
 from lakeseek.llm.common import table
 
 
@@ -39,3 +39,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op7_line_dedup": op7_line_dedup, "op8_decontaminate": op8_decontaminate}
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies", "source")
+
+
+QUERIES |= {"op10_mix_sources": op10_mix_sources}
