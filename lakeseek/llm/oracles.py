@@ -33,3 +33,17 @@ SELECT doc_id, item_id, n_item_shingles, count(*) AS n_shared
 FROM d JOIN b USING (s) JOIN q USING (item_id)
 GROUP BY doc_id, item_id, n_item_shingles HAVING 100 * count(*) >= 80 * n_item_shingles""",
 }
+
+#: What escaping adds: a character for each backslash and each control string's first character.
+_ESCAPED = r"""length({0}) + length({0}) - length(replace({0}, '\', ''))
+  + len(regexp_extract_all({0}, '<\||</?s>|\[/?INST\]')) + 2 * len(regexp_extract_all({0}, '<</?SYS>>'))"""
+ORACLES["op5_chat_format"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn, r, x)) AS turns_sha256,
+       CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(x, '' ORDER BY turn, r, x) FILTER (r = 'assistant'), '')) AS loss_sha256,
+       CAST(sum({_ESCAPED.format("r")} + {_ESCAPED.format("x")} + 11) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""

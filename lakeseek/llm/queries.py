@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeseek.llm import decontaminate, language_id, line_dedup, mixing, substring_dedup, token_counts
+from lakeseek.llm import chat_format, decontaminate, language_id, line_dedup, mixing, substring_dedup, token_counts
 from lakeseek.llm.common import table
 
 
@@ -46,3 +46,14 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op10_mix_sources": op10_mix_sources}
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1 that quotes another template's control strings."""
+    turns = table(spark, sf_dir, "conversations")
+    quote = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", quote), (-1, 1, "assistant", quote)], "conv_id long, turn long, role string, text string")
+    return chat_format.digest(turns.select(*more.columns).unionByName(more))
+
+
+QUERIES |= {"op5_chat_format": op5_chat_format}
