@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeseek.llm import chat_format, decontaminate, language_id, line_dedup, mixing, substring_dedup, token_counts
+from lakeseek.llm import chat_format, decontaminate, language_id, line_dedup, mixing, substring_dedup, token_counts, warc
 from lakeseek.llm.common import table
 
 
@@ -57,3 +57,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op5_chat_format": op5_chat_format}
+
+
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, index = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read_all(index, folder, payloads=False).drop("payload", "target_uri")
+
+
+QUERIES |= {"op6_warc_index": op6_warc_index}
