@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeseek.llm import chat_format, decontaminate, language_id, line_dedup, mixing, substring_dedup, token_counts, warc
+from lakeseek.llm import chat_format, decontaminate, language_id, line_dedup, mixing, ngram_join, substring_dedup, token_counts, warc
 from lakeseek.llm.common import table
 
 
@@ -65,3 +65,10 @@ def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op6_warc_index": op6_warc_index}
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op9_ngram_join": op9_ngram_join}
