@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeseek.llm import chat_format, decontaminate, language_id, line_dedup, mixing, ngram_join, substring_dedup, token_counts, warc
+from lakeseek.llm import chat_format, decontaminate, embedding_neardup, language_id, line_dedup, mixing, ngram_join, substring_dedup, token_counts, warc
 from lakeseek.llm.common import table
 
 
@@ -72,3 +72,10 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op9_ngram_join": op9_ngram_join}
+
+
+def op4_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES |= {"op4_embedding_neardup": op4_embedding_neardup}
