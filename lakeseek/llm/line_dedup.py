@@ -45,7 +45,7 @@ def dropped_positions(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
         ),
         "line-hashes",
     )
-    counts = hashes.select(F.explode(F.array_distinct("keys")).alias("key")).where("key is not null").groupBy("key").agg(F.count("*").alias("docs"))
+    counts = hashes.select(F.explode_outer(F.array_distinct("keys")).alias("key")).where("key is not null").groupBy("key").agg(F.count("*").alias("docs"))
     hot = stash(counts.where(F.col("docs") >= min_docs).select("key"), "hot-lines")
     places = hashes.select("doc_id", "text_key", F.posexplode("keys").alias("place", "key")).join(small(hot, hot.count()), "key")
     # Equal rows give equal places: a set, not a list.
@@ -56,11 +56,11 @@ def dropped_positions(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
 
 def _apply(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with _drop (places, or null) and _kept (the text without them)."""
-    right = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("drop").alias("_drop"))
+    right = found.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("text_key").alias("_key"), F.col("drop").alias("_drop"))
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    joined = docs.withColumns({"_text_key": F.xxhash64(text), "_text": text}).join(
-        right, F.expr("cast(doc_id as bigint) <=> _id and _text_key = _key"), "left"
-    )
+    left = docs.withColumns({"_doc": F.coalesce(docs["doc_id"].cast("long"), F.lit(0)), "_no_doc": docs["doc_id"].isNull(), "_text_key": F.xxhash64(text), "_text": text})
+    # One shuffle of the texts at every size; hashing the few places spares sorting the texts.
+    joined = left.join(right.hint("shuffle_hash"), (left["_doc"] == right["_id"]) & (left["_no_doc"] == right["_none"]) & (left["_text_key"] == right["_key"]), "left")
     kept = F.array_join(F.filter(_lines(F.col("_text")), lambda _, i: ~F.array_contains("_drop", i)), "\n")
     return joined.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(kept))
 
