@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The most rows of a key table that may be broadcast; at 16 to 40 bytes a row this is under 16 MB.
 BROADCAST_ROWS = 200_000
 _shipped: set[str] = set()
+_scratch: list[list[DataFrame]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -37,7 +40,29 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """The rows written as a table in the shared folder and read again: the lineage ends, and a lost executor costs no earlier stage."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scratch:
+        _scratch[-1].append(out)
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables stashed inside are deleted at the end, but for those made with the function given, the results."""
+    results: list[DataFrame] = []
+    _scratch.append([])
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = stash(df, name)
+        results.append(_scratch[-1].pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        discard(*_scratch.pop())
+        if _scratch:
+            _scratch[-1].extend(results)
 
 
 def discard(*tables: DataFrame) -> None:

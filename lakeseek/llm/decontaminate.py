@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import ascii_lower, discard, small, stash, strip_spaces
+from lakeseek.llm.common import ascii_lower, scratch, small, stash, strip_spaces
 
 SHINGLE, PERCENT = 5, 80
 
@@ -98,7 +98,6 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = SHINGLE, percent
     found = doc_sets.join(small(item_sets, n_probe, 20_000), "item_id").select(
         "doc_id", "item_id", F.size("wanted").cast("long").alias("n_item_shingles"), F.size(F.array_intersect("wanted", "held")).cast("long").alias("n_shared")
     )
-    discard(probe)
     return found.where(F.col("n_shared") * 100 >= F.col("n_item_shingles") * percent).groupBy("doc_id", "item_id").agg(
         F.max("n_item_shingles").alias("n_item_shingles"), F.max("n_shared").alias("n_shared")
     )
@@ -106,5 +105,6 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = SHINGLE, percent
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that hold no item; all columns stay."""
-    found = stash(contained_items(docs, items, k, percent).select(F.col("doc_id").alias("_found")).distinct(), "contaminated")
+    with scratch() as keep:
+        found = keep(contained_items(docs, items, k, percent).select(F.col("doc_id").alias("_found")).distinct(), "contaminated")
     return docs.join(small(found, found.count()), docs["doc_id"].cast("long") == F.col("_found"), "left_anti")

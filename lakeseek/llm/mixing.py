@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import discard, small, stash, word_count
+from lakeseek.llm.common import small, stash, word_count
 
 WEIGHTS, PERCENT, MAX_COPIES = (5, 2, 1), 150, 2
 GROUP, SEED = 64, 20_301

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import discard, ship, small, stash
+from lakeseek.llm.common import discard, scratch, ship, small, stash
 from lakeseek.llm.components import connected_components
 from lakeseek.llm.kernels import U64, gram_hashes, text_slices
 
@@ -349,5 +349,6 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
 
 def keep_first(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component; all columns stay. Texts without words stay, as do rows without a doc_id; of rows that share a doc_id all or none stay."""
-    later = stash(near_duplicates(docs, k, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_later")).distinct(), "later")
+    with scratch() as keep:
+        later = keep(near_duplicates(docs, k, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_later")).distinct(), "later")
     return docs.join(later.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("_later"), "left_anti")

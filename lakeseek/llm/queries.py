@@ -79,3 +79,12 @@ def op4_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op4_embedding_neardup": op4_embedding_neardup}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES |= {"pipeline": pipeline}
