@@ -66,6 +66,10 @@ class LexicalIndex:
         return self.postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def _shifted(places: Column, by: int) -> Column:
+    return F.transform(places, lambda i: i - by)
+
+
 def _phrase_count(phrase: list[str], part: str) -> Column:
     """How often a phrase's tokens stand next to each other, from the map m of a chunk's postings."""
     place = lambda t: F.coalesce(F.try_element_at("m", F.lit(t))[part], F.array().cast("array<int>"))
@@ -73,7 +77,7 @@ def _phrase_count(phrase: list[str], part: str) -> Column:
         return F.size(place(phrase[0]))
     hits = place(phrase[0])
     for d, token in enumerate(phrase[1:], 1):
-        hits = F.array_intersect(hits, F.transform(place(token), lambda i, d=d: i - d))
+        hits = F.array_intersect(hits, _shifted(place(token), d))
     return F.size(hits)
 
 
