@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,9 +62,9 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_length(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    length = pa.compute.binary_length(batch.column("vec"))
-    for n in pa.compute.unique(length).to_pylist():
-        yield batch.filter(pa.compute.equal(length, n))
+    length = pc.binary_length(batch.column("vec"))
+    for n in pc.unique(length).to_pylist():
+        yield batch.filter(pc.equal(length, n))
 
 
 def _places(tables: range):
@@ -148,11 +149,12 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """At each node, its neighbours are compared with each other; a pair is kept if it improves either list."""
     for t in _group_rows(batches, ["hub"]):
         ids, least = t.column("id").to_numpy(), t.column("least").to_numpy()
-        x = _matrix(t.column("vec").combine_chunks())
+        vectors = t.column("vec").combine_chunks()
         out = []
         for a, b in _starts(t, ["hub"]):
             if b - a > 1:
-                sim = x[a:b] @ x[a:b].T
+                x = _matrix(vectors.slice(a, b - a))
+                sim = x @ x.T
                 low = np.minimum(least[a:b][:, None], least[a:b][None, :])
                 i, j = np.nonzero(np.triu(sim > low, 1) & (ids[a:b][:, None] != ids[a:b][None, :]))
                 out.append((ids[a:b][i], ids[a:b][j], sim[i, j]))
