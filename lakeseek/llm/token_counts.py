@@ -18,6 +18,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def _counter(vocabulary, limit: int):
         memo: dict[bytes, int] = {}
         for batch in batches:
             texts = batch.column("text").cast(pa.large_string()).fill_null("").cast(pa.large_binary())
-            sizes = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False)
+            sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
             counts: list[int] = []
             for a, b in slices(sizes):
                 split = [t.split() for t in texts.slice(a, b - a).to_pylist()]
@@ -67,7 +68,7 @@ def _counter(vocabulary, limit: int):
                     memo = {}
             tokens = pa.array(counts, pa.int64())
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), tokens, pa.compute.greater(tokens, limit)],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), tokens, pc.greater(tokens, limit)],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
