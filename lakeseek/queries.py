@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeseek import fixtures
@@ -24,7 +24,9 @@ def _bids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.bid_documents(spark, sf_dir).withColumn("lines", text.lines(F.col("text")))
 
 
-X = F.col("lines")
+def x() -> Column:
+    """The column of lines; a function, as columns can't be made before there is a session."""
+    return F.col("lines")
 
 
 @query
@@ -36,45 +38,45 @@ def extract_bid_fields(spark, sf_dir):
 
 @query
 def extract_quantity(spark, sf_dir):
-    return _bids(spark, sf_dir).select("o_orderkey", fields.quantity(X).alias("quantity"))
+    return _bids(spark, sf_dir).select("o_orderkey", fields.quantity(x()).alias("quantity"))
 
 
 @query
 def extract_datetime(spark, sf_dir):
-    return _bids(spark, sf_dir).select("o_orderkey", fields.date_time(X, fields.BID_START).alias("bid_start"), fields.date_time(X, fields.BID_END).alias("bid_end"))
+    return _bids(spark, sf_dir).select("o_orderkey", fields.date_time(x(), fields.BID_START).alias("bid_start"), fields.date_time(x(), fields.BID_END).alias("bid_end"))
 
 
 @query
 def extract_turnover(spark, sf_dir):
-    both = _bids(spark, sf_dir).select("o_orderkey", fields.turnover(X, fields.TURNOVER).alias("a"), fields.turnover(X, fields.OEM_TURNOVER).alias("b"))
+    both = _bids(spark, sf_dir).select("o_orderkey", fields.turnover(x(), fields.TURNOVER).alias("a"), fields.turnover(x(), fields.OEM_TURNOVER).alias("b"))
     return both.select("o_orderkey", F.col("a.value").alias("turnover"), F.col("a.unit").alias("unit"), F.col("b.value").alias("oem_turnover"), F.col("b.unit").alias("oem_unit"))
 
 
 @query
 def extract_experience(spark, sf_dir):
-    return _bids(spark, sf_dir).select("o_orderkey", fields.experience_years(X).alias("years"), fields.past_performance(X).alias("past_performance"))
+    return _bids(spark, sf_dir).select("o_orderkey", fields.experience_years(x()).alias("years"), fields.past_performance(x()).alias("past_performance"))
 
 
 @query
 def extract_emd(spark, sf_dir):
-    return _bids(spark, sf_dir).select("o_orderkey", fields.emd(X).alias("e")).select("o_orderkey", F.col("e.amount").alias("emd_amount"), F.col("e.bank").alias("bank"))
+    return _bids(spark, sf_dir).select("o_orderkey", fields.emd(x()).alias("e")).select("o_orderkey", F.col("e.amount").alias("emd_amount"), F.col("e.bank").alias("bank"))
 
 
 @query
 def extract_epbg(spark, sf_dir):
-    return _bids(spark, sf_dir).select("o_orderkey", fields.epbg(X).alias("e")).select("o_orderkey", "e.required", "e.percent", "e.months", "e.bank")
+    return _bids(spark, sf_dir).select("o_orderkey", fields.epbg(x()).alias("e")).select("o_orderkey", "e.required", "e.percent", "e.months", "e.bank")
 
 
 @query
 def extract_preference(spark, sf_dir):
     return _bids(spark, sf_dir).select(
         "o_orderkey",
-        fields.preference(X, fields.MII).alias("mii"),
-        fields.percentage(X, fields.MII_BAND).alias("mii_band"),
-        fields.percentage(X, fields.MII_SHARE).alias("mii_share"),
-        fields.preference(X, fields.MSE).alias("mse"),
-        fields.percentage(X, fields.MSE_BAND).alias("mse_band"),
-        fields.percentage(X, fields.MSE_SHARE).alias("mse_share"),
+        fields.preference(x(), fields.MII).alias("mii"),
+        fields.percentage(x(), fields.MII_BAND).alias("mii_band"),
+        fields.percentage(x(), fields.MII_SHARE).alias("mii_share"),
+        fields.preference(x(), fields.MSE).alias("mse"),
+        fields.percentage(x(), fields.MSE_BAND).alias("mse_band"),
+        fields.percentage(x(), fields.MSE_SHARE).alias("mse_share"),
     )
 
 
@@ -93,7 +95,7 @@ def extract_bid_id(spark, sf_dir):
 
 @query
 def item_category_takewhile(spark, sf_dir):
-    return _bids(spark, sf_dir).select("o_orderkey", fields.category(X).alias("category"))
+    return _bids(spark, sf_dir).select("o_orderkey", fields.category(x()).alias("category"))
 
 
 @query

@@ -37,3 +37,13 @@ def test_query(spark, sf, duck, name):
     assert sorted(names) == columns
     wanted = Counter(tuple(str(r[names.index(c)]) for c in columns) for r in rows.fetchall())
     assert found == wanted
+
+
+def test_names_without_a_session():
+    """The driver may list queries before it has a session."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(entry.__file__)
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": root}).returncode == 0
