@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,7 +135,8 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     weights = np.stack(per, 1).astype(np.float32) if per else np.zeros((size, 0), np.float32)
     slopes, trust = np.ones(code.shape[1]), np.ones(code.shape[1])
     if code.shape[1] and len(side):
-        z, y = _sums(weights, texts), code[side]
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        z, y = np.concatenate([_sums(weights, texts.slice(a, b - a)) for a, b in slices(sizes)]), code[side]
         for b in range(code.shape[1]):
             for _ in range(25):  # Newton steps for the slope, with a weak pull to 1
                 p = 1 / (1 + np.exp(y[:, b] * z[:, b] * slopes[b]))
@@ -150,7 +152,7 @@ def _predictor(model, margin: float):
         names = pa.array([*fitted.languages, UNKNOWN])
         for batch in batches:
             texts = batch.column("text").cast(pa.large_string()).fill_null("")
-            sizes = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False)
+            sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
             known = batch.column("letters").to_numpy(zero_copy_only=False) & bool(fitted.languages)
             best, score, gap = np.full(len(texts), len(fitted.languages)), np.zeros(len(texts)), np.ones(len(texts))
             if fitted.languages:
@@ -186,5 +188,7 @@ def identify(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Dat
 def keep_identified(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """The rows of documents whose language is recognised: neither ``und`` nor ambiguous; the columns stay."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    found = predict(docs, fit(plain, rows_per_language))
-    return found.where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+    # The rows travel as one struct, so that no column of theirs can clash with a result.
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    found = predict(packed, fit(plain, rows_per_language))
+    return found.where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select("row.*")
