@@ -22,9 +22,10 @@ buckets of the shingle hashes: the L1 distance of two documents' bucket counts n
 exceeds their symmetric difference, so pairs beyond the limit are left out
 without looking at the sets.
 
-*Links.*  Only connectivity is asked for, so a cell proposes a spanning forest of
-its possible pairs, nearest first, not all of them.  Proposals are verified on
-whole shingle sets.  Where one fails, the cell is joined again: pairs between
+*Links.*  Only connectivity is asked for, so a cell proposes a few nearest
+partners of each document, or, if it is large, a spanning forest of its possible pairs,
+not all of them.  Proposals meet FINE virtual pivots, and what is left is
+verified on whole shingle sets.  Where one fails, the cell is joined again: pairs between
 documents that are not connected yet are proposed, ever more of them, until no
 possible pair between different components is left.  No link is lost.
 
@@ -53,7 +54,9 @@ from lakeseek.llm.kernels import U64, gram_hashes, text_slices
 
 SHINGLE, PERCENT = 5, 80
 #: Documents of a cell joined in memory; virtual pivots; one document in SAMPLE is used to order shingles; an order has at most FREQUENT of them in front of its end.
-REGION, SKETCH, SAMPLE, FREQUENT, OFTEN = 1024, 64, 64, 200_000, 4
+REGION, SKETCH, SAMPLE, FREQUENT, OFTEN = 1024, 256, 64, 200_000, 4
+#: Virtual pivots of proposed pairs; documents of a cell from which on it proposes a forest; partners that a document proposes first.
+FINE, FOREST, FIRST = 1024, 64, 32
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -161,20 +164,30 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield shared(held, first, True)
 
 
-def _near(sketch: np.ndarray, size: np.ndarray, u: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distance in bucket counts from u to all, and whether a link is possible: (200 - p... ) in integers, J >= p % iff (100 + p) * difference <= (100 - p) * (a + b)."""
-    low = np.maximum(np.abs(sketch - sketch[u]).sum(1), np.abs(size - size[u]))
-    return low, low * (100 + percent) <= (size + size[u]) * (100 - percent)
+def _coarse(sketch: np.ndarray) -> np.ndarray:
+    """Bucket counts, four to one. Their distances bound the finer ones from below and are cheaper."""
+    return sketch.reshape(len(sketch), -1, 4).sum(2, dtype=np.int8)
+
+
+def _near(sketch: np.ndarray, coarse: np.ndarray, size: np.ndarray, u: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distance in bucket counts from u to all, and whether a link is possible: J >= p % iff (100 + p) * difference <= (100 - p) * (a + b)."""
+    limit = (size + size[u]) * (100 - percent)
+    low = np.maximum(np.abs(coarse - coarse[u]).sum(1), np.abs(size - size[u]))
+    can = low * (100 + percent) <= limit
+    at = np.flatnonzero(can)
+    low[at] = np.maximum(low[at], np.abs(sketch[at] - sketch[u]).sum(1))
+    can[at] = low[at] * (100 + percent) <= limit[at]
+    return low, can
 
 
 def _propose(doc, size, sketch, comp, failed, percent: int, turn: int) -> list[tuple[int, int]]:
-    n, out = len(doc), []
-    if turn == 0:  # Prim's forest of possible pairs, nearest first
+    n, out, coarse = len(doc), [], _coarse(sketch)
+    if turn == 0 and n > FOREST:  # Prim's forest of possible pairs, nearest first
         best, via, todo = np.full(n, 1 << 30), np.full(n, -1), np.ones(n, bool)
         u = 0
         while True:
             todo[u] = False
-            low, can = _near(sketch, size, u, percent)
+            low, can = _near(sketch, coarse, size, u, percent)
             better = todo & can & (low < best)
             best[better], via[better] = low[better], u
             if not todo.any():
@@ -182,10 +195,29 @@ def _propose(doc, size, sketch, comp, failed, percent: int, turn: int) -> list[t
             u = int(np.argmin(np.where(todo, best, 1 << 31)))
             if via[u] >= 0:
                 out.append((via[u], u))
-    most = 8 * 4 ** (turn - 1)
+    most = FIRST * 4**turn
+    if n <= FOREST:
+        limit = (size[:, None] + size[None, :]) * (100 - percent)
+        low = np.maximum(np.abs(coarse[:, None, :] - coarse[None, :, :]).sum(2), np.abs(size[:, None] - size[None, :]))
+        can = np.triu(low * (100 + percent) <= limit, 1) & (comp[:, None] != comp[None, :])
+        i, j = np.nonzero(can)
+        low[i, j] = low[j, i] = np.maximum(low[i, j], np.abs(sketch[i] - sketch[j]).sum(1))
+        can[i, j] = low[i, j] * (100 + percent) <= limit[i, j]
+        near = can | can.T
+        if n - 1 > most and near.sum(1).max() > most:
+            order = np.argsort(np.where(near, low, 1 << 30), axis=1, kind="stable")[:, :most]
+            keep = np.zeros_like(near)
+            np.put_along_axis(keep, order, True, 1)
+            near &= keep | keep.T
+        for u in range(n) if turn else ():
+            if failed[u]:
+                lost = np.isin(doc, failed[u])
+                near[u, lost] = near[lost, u] = False
+        return list(zip(*(x.tolist() for x in np.nonzero(np.triu(near))), strict=True))
     for u in range(n):
-        low, can = _near(sketch, size, u, percent)
+        low, can = _near(sketch, coarse, size, u, percent)
         can &= comp != comp[u]
+        can[u] = False
         if failed[u]:
             can &= ~np.isin(doc, failed[u])
         found = np.flatnonzero(can)
@@ -199,7 +231,7 @@ def _join_cells(percent: int, turn: int):
         t = t.combine_chunks()
         region, cell, doc, size, comp = (t.column(c).to_numpy() for c in ("region", "cell", "doc_id", "size", "comp"))
         raw = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH // 2)
-        sketch = np.empty((len(doc), SKETCH), np.int16)
+        sketch = np.empty((len(doc), SKETCH), np.int8)
         sketch[:, 0::2], sketch[:, 1::2] = raw >> 4, raw & 15
         failed = t.column("failed").to_pylist() if turn else [None] * len(doc)
         starts = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (cell[1:] != cell[:-1])]))
@@ -259,40 +291,66 @@ def _cells(rows: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def _pack_sets(k: int):
+def _pack_sets(k: int, fine: bool):
+    """Whole sets as bytes, or their counts in FINE buckets, four bits each."""
+
+    def packed(s: np.ndarray) -> bytes:
+        if not fine:
+            return s.tobytes()
+        n = np.minimum(np.bincount((s & U64(FINE - 1)).astype(np.int64), minlength=FINE), 15).astype(np.uint8)
+        return ((n[0::2] << 4) | n[1::2]).tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in _sets(batch, k):
-                yield pa.record_batch([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "s"])
+                yield pa.record_batch([part.column("doc_id"), pa.array([packed(s) for s in sets], pa.binary())], ["id", "s"])
 
     return run
 
 
-def _verify(percent: int):
+def _verify(percent: int, fine: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both * 100 >= (len(x) + len(y) - both) * percent)
+            rows = zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), batch.column("both").to_pylist(), strict=True)
+            for x, y, both_sizes in rows:
+                if fine:
+                    x, y = np.frombuffer(x, np.uint8).astype(np.int16), np.frombuffer(y, np.uint8).astype(np.int16)
+                    low = int(np.abs((x >> 4) - (y >> 4)).sum() + np.abs((x & 15) - (y & 15)).sum())
+                    good.append(low * (100 + percent) <= both_sizes * (100 - percent))
+                else:
+                    x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    good.append(both * 100 >= (len(x) + len(y) - both) * percent)
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], ["a", "b", "good"])
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs(a, b) with good: whether their whole shingle sets are near. Only the sets of documents in pairs are made, from the text."""
+def _compared(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, percent: int, fine: bool) -> DataFrame:
+    """pairs(a, b) with good: whether the pair can be near by bucket counts (fine), or is near by whole sets. Only documents in pairs are hashed again."""
     wanted = stash(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    sets = texts.join(small(wanted, wanted.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_pack_sets(k), "id long, s binary")
-    sets = stash(sets, "sets")
+    made = stash(texts.join(small(wanted, wanted.count()), "doc_id", "left_semi").mapInArrow(_pack_sets(k, fine), "id long, s binary"), "sets")
+    sets = made.groupBy("id").agg(F.max("s").alias("s"))
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")).hint("merge"), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
-    out = stash(both.select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long, good boolean"), "verified")
-    discard(sets, wanted)
+    out = stash(both.select("a", "b", "sa", "sb", "both").mapInArrow(_verify(percent, fine), "a long, b long, good boolean"), "compared")
+    discard(made, wanted)
     return out
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
+    """pairs(a, b) with good: whether they are near."""
+    n = sizes.select("doc_id", "size")
+    sized = stash(
+        pairs.join(n.select(F.col("doc_id").alias("a"), F.col("size").alias("x")), "a").join(n.select(F.col("doc_id").alias("b"), F.col("size").alias("y")), "b").select("a", "b", (F.col("x") + F.col("y")).alias("both")),
+        "sized",
+    )
+    possible = _compared(sized, texts, sizes, k, percent, True)
+    exact = _compared(stash(sized.join(possible.where("good"), ["a", "b"], "left_semi"), "possible"), texts, sizes, k, percent, False)
+    return exact.unionByName(possible.where("not good"))
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, region: int = REGION) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs(doc_id, text); component_id: smallest doc_id reachable by links."""
     spark = docs.sparkSession
@@ -301,16 +359,18 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
     frequent = spark.sparkContext.broadcast(frequent_shingles(texts.where("text is not null"), k))
     profiles = stash(texts.mapInArrow(_profiles(k, percent, frequent), "doc_id long, size long, print binary, window array<long>, sketch binary"), "profiles")
     usable = profiles.where("size > 0 and doc_id is not null")
-    classes = stash(usable.groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")
-    # One row for each class: its representative's.
-    reps = usable.join(classes.select(F.col("rep").alias("doc_id"), "print").hint("shuffle_hash"), ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id", "print"])
-    replicas = reps.select(F.explode("window").alias("region"), "doc_id", "size")
-    met = replicas.repartitionByRange("region", "doc_id").sortWithinPartitions("region", "doc_id").mapInArrow(_met, "region long, doc_id long, size long")
-    regions = stash(met, "regions")
-    outlines = usable.select("doc_id", "size", "sketch").dropDuplicates(["doc_id", "size"])
+    classes = stash(usable.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    # Only the representative of a class goes on; the others, known without moving any window, are left out.
+    others = stash(usable.select("doc_id", "print").join(classes.where("copies > 1"), "print").where("doc_id <> rep").select("doc_id", "print").distinct(), "copies")
+    reps = usable.join(small(others, others.count()), ["doc_id", "print"], "left_anti")
+    replicas = reps.select(F.explode("window").alias("region"), "doc_id")
+    met = replicas.repartitionByRange("region", "doc_id").sortWithinPartitions("region", "doc_id").mapInArrow(_met, "region long, doc_id long")
+    regions = stash(met.distinct(), "regions")
+    # One outline a doc_id; rows that share one are linked by their classes below.
+    outlines = usable.groupBy("doc_id").agg(F.max(F.struct("size", "sketch")).alias("o")).select("doc_id", "o.size", "o.sketch")
     links, tried, comps, turn, active = None, None, None, 0, regions
     while True:
-        rows = _cells(active, region).join(outlines.hint("shuffle_hash"), ["doc_id", "size"])
+        rows = _cells(active.join(outlines.hint("shuffle_hash"), "doc_id"), region)
         if comps is None:
             rows = rows.select("region", "cell", "doc_id", "size", "sketch", F.col("doc_id").alias("comp"))
         else:
@@ -319,15 +379,15 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
             rows = rows.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(lost, "doc_id", "left")
             rows = rows.select("region", "cell", "doc_id", "size", "sketch", F.coalesce("component", "doc_id").alias("comp"), "failed")
         found = rows.repartition("region", "cell").sortWithinPartitions("region", "cell", "doc_id").mapInArrow(_join_cells(percent, turn), "region long, a long, b long")
-        proposed = stash(found.where("a <> b").distinct(), "proposed")
+        proposed = stash(found.where("a <> b"), "proposed")
         pairs = proposed.select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stash(pairs, "pairs")
         if pairs.isEmpty():
             break
-        checked = _verified(pairs, texts, k, percent)
-        tried = checked if tried is None else stash(tried.unionByName(checked), "tried")
+        checked = _verified(pairs, texts, outlines, k, percent)
+        tried = stash(checked if tried is None else tried.unionByName(checked), "tried")
         links = tried.where("good").select("a", "b")
         failed = checked.where("not good").select("a", "b")
         comps = connected_components(links)
@@ -338,7 +398,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
         if active.isEmpty():
             break
     out = profiles.join(classes, "print", "left")
-    rep = F.coalesce("rep", "doc_id")
+    out = out.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
+    rep = F.col("rep")
     if comps is not None:
         out = out.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
         component = F.coalesce("component", rep)
