@@ -19,7 +19,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that one NumPy pass works on; bounds the temporaries of a task.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = (U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93))
 _SPACE = np.zeros(256, bool)
