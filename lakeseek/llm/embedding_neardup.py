@@ -10,9 +10,12 @@
 3. Edges at or above the threshold are kept; components follow from them.
    An audit takes AUDIT nodes against all, in blocks, as ground truth. Under the
    wanted recall the search goes on with new orders.
-4. Lists beyond MOST are completed exactly: each component is cut into pairs of
-   blocks of TILE vectors, and every vector's links are counted there. Counts
-   leave a tile, pairs don't, so a group of thousands of near copies costs matrix products only.
+4. Lists are cut at MOST, so groups that are linked only beyond it come apart in
+   the search. The nodes of all components of a label are therefore compared with each
+   other, in pairs of blocks: every vector's links are counted there, and links
+   between different components join them. A pair of blocks gives counts and a
+   forest of the components it joins, not pairs of vectors, so a group of thousands of near
+   copies costs matrix products only.
 
 Cosines are taken in double precision.  Tasks hold at most two blocks or one
 node's lists (of bounded length), never a label.
@@ -38,6 +41,8 @@ from lakeseek.llm.components import connected_components
 
 THRESHOLD, LIST, MOST, TABLES, BESIDE, PLANES = 0.93, 8, 32, 4, 4, 10
 ROUNDS, DONE, AUDIT, RECALL, TRIES, TILE = 4, 0.001, 200, 0.99, 3, 512
+#: Blocks of the completion: at most SIDE tiles and BYTES of vectors each; SPREAD of them before they grow beyond one tile.
+SIDE, SPREAD, BYTES = 8, 16, 1 << 24
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -216,38 +221,63 @@ def recall(nodes: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, qu
     return found["hit"] / found["n"] if found["n"] else 1.0
 
 
-def _count_links(threshold: float):
+def _sweep(threshold: float, tile: int):
+    """In each pair of blocks: every vector's links, and a forest of the links between different components."""
+
+    def joined(x: np.ndarray, y: np.ndarray, home: np.ndarray, away: np.ndarray, root: np.ndarray, left: np.ndarray, right: np.ndarray, weight: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, int]]:
+        for s in range(0, len(x), tile):
+            link = x[s : s + tile] @ y.T >= threshold
+            if x is y:
+                k = np.arange(len(link))
+                link[k, s + k] = False
+            left[s : s + tile] += link @ weight[1]
+            if x is not y:
+                right += weight[0][s : s + tile] @ link
+            for k in np.flatnonzero((link & (root[home[s : s + tile]][:, None] != root[away][None, :])).any(1)).tolist():
+                own = root[home[s + k]]
+                others = np.unique(root[away[link[k]]])
+                for other in others[others != own].tolist():
+                    yield own, other
+                root[np.isin(root, others)] = own
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = ["component", "i", "j"]
+        keys = ["grp", "i", "j"]
         for t in _group_rows(batches, keys):
-            ids, block, copies = (t.column(c).to_numpy() for c in ("id", "block", "copies"))
+            ids, block, copies, component = (t.column(c).to_numpy() for c in ("id", "block", "copies", "component"))
             i, j = t.column("i").to_numpy(), t.column("j").to_numpy()
             vectors = t.column("vec").combine_chunks()
-            out = []
             for a, b in _starts(t, keys):
-                x = _matrix(vectors.slice(a, b - a))
-                if i[a] == j[a]:
-                    link = x @ x.T >= threshold
-                    np.fill_diagonal(link, False)
-                    out.append((ids[a:b], link @ copies[a:b]))
-                else:
-                    left, right = block[a:b] == i[a], block[a:b] == j[a]
-                    link = x[left] @ x[right].T >= threshold
-                    out += [(ids[a:b][left], link @ copies[a:b][right]), (ids[a:b][right], link.T @ copies[a:b][left])]
-            u, n = map(np.concatenate, zip(*out, strict=True))
-            yield pa.record_batch([pa.array(u), pa.array(n.astype(np.int64))], ["id", "links"])
+                x, n = _matrix(vectors.slice(a, b - a)), np.zeros(b - a, np.int64)
+                names, code = np.unique(component[a:b], return_inverse=True)
+                at, to = np.flatnonzero(block[a:b] == i[a]), np.flatnonzero(block[a:b] == j[a])
+                left, right = np.zeros(len(at), np.int64), np.zeros(len(to), np.int64)
+                y = x[at]
+                z = y if i[a] == j[a] else x[to]
+                bridges = np.array(list(joined(y, z, code[at], code[to], np.arange(len(names)), left, right, (copies[a:b][at], copies[a:b][to]))), np.int64).reshape(-1, 2)
+                n[at] += left
+                n[to] += right
+                nothing = pa.nulls(len(ids[a:b]), pa.int64())
+                yield pa.record_batch([pa.array(ids[a:b]), nothing, pa.array(n)], ["a", "b", "links"])
+                yield pa.record_batch([pa.array(names[bridges[:, 0]]), pa.array(names[bridges[:, 1]]), pa.nulls(len(bridges), pa.int64())], ["a", "b", "links"])
 
     return run
 
 
-def _links(nodes: DataFrame, labels: DataFrame, threshold: float, tile: int) -> DataFrame:
-    """(id, links): for each node of a component, how many vectors outside its own node it links to."""
-    blocks = labels.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("long").alias("blocks"))
-    rows = labels.join(blocks, "component").join(nodes, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+def _complete(nodes: DataFrame, labels: DataFrame, threshold: float, tile: int) -> tuple[DataFrame, DataFrame]:
+    """All nodes of components against each other: (id, links), how many vectors outside its own node each links to; and (id, component) with every link counted."""
+    rows = nodes.join(labels, "id")
+    # Blocks of a tile's side in small groups; larger groups have larger blocks, for each vector is sent once a block.
+    n = F.count("*")
+    blocks = rows.groupBy("grp").agg(F.greatest(F.ceil(n / (tile * SIDE)), F.least(F.ceil(n / tile), F.lit(SPREAD)), F.ceil(F.sum(F.length("vec")) / BYTES)).cast("long").alias("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block", "copies", "vec")
-    tiles = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return tiles.mapInArrow(_count_links(threshold), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    rows = rows.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", other)
+    rows = rows.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block", "component", "copies", "vec")
+    tiles = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    swept = stash(tiles.mapInArrow(_sweep(threshold, tile), "a long, b long, links long"), "swept")
+    counts = swept.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
+    merged = connected_components(swept.where("b is not null").select("a", "b"))
+    joined = labels.join(merged.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left")
+    return counts, joined.select("id", F.coalesce("top", "component").alias("component"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS, wanted: float = RECALL, tile: int = TILE) -> DataFrame:
@@ -276,7 +306,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, rounds: in
         labels = connected_components(kept_edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
         if recall(nodes, labels, threshold) >= wanted:
             break
-    counts = _links(nodes, labels, threshold, tile)
+    counts, labels = _complete(nodes, labels, threshold, tile)
     known = nodes.join(labels, "id", "left").join(counts, "id", "left").select("grp", "vec", F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     found = clean.join(known, ["grp", "vec"]).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = rows.select("vec_id").join(found, "vec_id", "left")

@@ -41,6 +41,37 @@ def test_vectors(spark):
     assert embedding_neardup.near_duplicates(table.limit(0)).count() == 0
 
 
+def exact_links(x, near=0.93):
+    """(links, smallest index reachable) of each row of x, by brute force."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = x @ x.T >= near
+    np.fill_diagonal(link, False)
+    root = np.arange(len(x))
+    while True:
+        low = np.minimum(root, np.where(link, root[None, :], len(x)).min(1))
+        if (low == root).all():
+            return link.sum(1).tolist(), root.tolist()
+        root = low
+
+
+def test_vectors_of_bridged_groups(spark):
+    """Two groups that fill each other's lists: their vectors link across, but never among the 32 nearest."""
+    rng = np.random.default_rng(11)
+    a, side = rng.standard_normal((2, 64))
+    a /= np.linalg.norm(a)
+    side -= side @ a * a
+    b = 0.95 * a + np.sqrt(1 - 0.95**2) * side / np.linalg.norm(side)
+    x = np.concatenate([c + 0.005 * rng.standard_normal((60, 64)) for c in (a, b)])
+    near = np.argsort(-(x @ x.T), axis=1, kind="stable")[:, :33]
+    assert ((near < 60) == (np.arange(120) < 60)[:, None]).all()
+    links, roots = exact_links(x)
+    assert set(roots) == {0} and min(links) > 60
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    for tile in (512, 7, 2):
+        found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_neardup.near_duplicates(table, tile=tile).collect()}
+        assert found == {i: (links[i], 0, i == 0) for i in range(120)}
+
+
 def test_vectors_table(spark, sf):
     table = spark.read.parquet(f"{sf}/embeddings.parquet")
     assert embedding_neardup.near_duplicates(table).count() == table.count()
