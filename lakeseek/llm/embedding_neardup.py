@@ -7,15 +7,14 @@
    list it meet in one place, are compared with each other in a small matrix
    product, and whatever improves a list is kept.  A list that is full of links is
    saturated: it is enlarged to twice its size, up to MOST.
-3. Edges at or above the threshold are kept; components follow from them.
-   An audit takes AUDIT nodes against all, in blocks, as ground truth. Under the
-   wanted recall the search goes on with new orders.
-4. Lists are cut at MOST, so groups that are linked only beyond it come apart in
-   the search. The nodes of all components of a label are therefore compared with each
-   other, in pairs of blocks: every vector's links are counted there, and links
-   between different components join them. A pair of blocks gives counts and a
-   forest of the components it joins, not pairs of vectors, so a group of thousands of near
-   copies costs matrix products only.
+3. Edges at or above the threshold are kept; first components follow from them.
+   The search is approximate: it misses pairs, and lists are cut at MOST. No result rests on it alone.
+4. All nodes of a label are compared with each other, in pairs of blocks: every
+   vector's links are counted there, and links between different components join
+   them. So results are exact whatever the search found; it only spares links
+   between components here. A pair of blocks gives counts and a forest of the components it
+   joins, not pairs of vectors, so a group of thousands of near copies costs matrix
+   products only. Their number grows with the square of a label's size.
 
 Cosines are taken in double precision.  Tasks hold at most two blocks or one
 node's lists (of bounded length), never a label.
@@ -40,7 +39,7 @@ from lakeseek.llm.common import discard, ship, stash
 from lakeseek.llm.components import connected_components
 
 THRESHOLD, LIST, MOST, TABLES, BESIDE, PLANES = 0.93, 8, 32, 4, 4, 10
-ROUNDS, DONE, AUDIT, RECALL, TRIES, TILE = 4, 0.001, 200, 0.99, 3, 512
+ROUNDS, DONE, TILE = 4, 0.001, 512
 #: Blocks of the completion: at most SIDE tiles and BYTES of vectors each; SPREAD of them before they grow beyond one tile.
 SIDE, SPREAD, BYTES = 8, 16, 1 << 24
 
@@ -193,34 +192,6 @@ def _round(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return _top(lists.select("u", "v", "sim").unionByName(better), state.select("u", "k"))
 
 
-def _audit(queries: dict[str, tuple[np.ndarray, np.ndarray]], threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            groups = np.array(batch.column("grp").to_pylist())
-            for g in np.unique(groups).tolist():
-                if g in queries:
-                    part = batch.filter(pa.array(groups == g))
-                    sim = queries[g][1] @ _matrix(part.column("vec")).T
-                    i, j = np.nonzero(sim >= threshold)
-                    yield _edges(queries[g][0][i], part.column("id").to_numpy()[j], sim[i, j])
-
-    return run
-
-
-def recall(nodes: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, queries: int = AUDIT) -> float:
-    """Share of true links of a drawn set of nodes, found by brute force in blocks, whose ends share a component in labels(id, component)."""
-    drawn = nodes.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(queries).toArrow()
-    groups = np.array(drawn.column("grp").to_pylist())
-    held = {}
-    for g in np.unique(groups).tolist():
-        part = drawn.filter(pa.array(groups == g)).combine_chunks()
-        held[g] = (part.column("id").to_numpy(), _matrix(part.column("vec").combine_chunks()))
-    true = nodes.select("grp", "id", "vec").mapInArrow(_audit(held, threshold), _EDGE).where("u <> v")
-    ends = true.join(labels.select(F.col("id").alias("u"), F.col("component").alias("cu")), "u", "left").join(labels.select(F.col("id").alias("v"), F.col("component").alias("cv")), "v", "left")
-    found = ends.agg(F.count("*").alias("n"), F.count_if(F.col("cu") == F.col("cv")).alias("hit")).first()
-    return found["hit"] / found["n"] if found["n"] else 1.0
-
-
 def _sweep(threshold: float, tile: int):
     """In each pair of blocks: every vector's links, and a forest of the links between different components."""
 
@@ -264,7 +235,8 @@ def _sweep(threshold: float, tile: int):
 
 
 def _complete(nodes: DataFrame, labels: DataFrame, threshold: float, tile: int) -> tuple[DataFrame, DataFrame]:
-    """All nodes of components against each other: (id, links), how many vectors outside its own node each links to; and (id, component) with every link counted."""
+    """All nodes of a label against each other: (id, links), how many vectors outside its own node each links to; and (id, component) with every link counted."""
+    labels = nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     rows = nodes.join(labels, "id")
     # Blocks of a tile's side in small groups; larger groups have larger blocks, for each vector is sent once a block.
     n = F.count("*")
@@ -280,32 +252,25 @@ def _complete(nodes: DataFrame, labels: DataFrame, threshold: float, tile: int)
     return counts, joined.select("id", F.coalesce("top", "component").alias("component"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS, wanted: float = RECALL, tile: int = TILE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS, tile: int = TILE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of vectors(vec_id, embedding, label)."""
     ship(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     clean = stash(rows.mapInArrow(_clean, "vec_id long, grp string, vec binary"), "vectors")
     nodes = stash(clean.groupBy("grp", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "nodes")
-    total, kept_edges, labels = nodes.count(), None, None
-    for attempt in range(TRIES):
-        placed = nodes.select("grp", "id", "vec").mapInArrow(_places(range(attempt * TABLES, (attempt + 1) * TABLES)), "grp string, t long, place long, id long, vec binary")
-        order = ["grp", "t", "place", "id"]
-        first = placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_beside, _EDGE)
-        lists = stash(_top(first if kept_edges is None else first.unionByName(kept_edges), None), "lists")
-        before = -1
-        for _ in range(rounds):
-            new = stash(_round(lists, nodes, threshold), "lists")
-            discard(lists)
-            lists = new
-            now = lists.where(F.col("sim") >= threshold).count()
-            if now - before <= DONE * max(total, 1) and before >= 0:
-                break
-            before = now
-        links = lists.where(F.col("sim") >= threshold).select("u", "v", "sim")
-        kept_edges = links if kept_edges is None else stash(kept_edges.unionByName(links).distinct(), "edges")
-        labels = connected_components(kept_edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
-        if recall(nodes, labels, threshold) >= wanted:
+    total, before = nodes.count(), -1
+    placed = nodes.select("grp", "id", "vec").mapInArrow(_places(range(TABLES)), "grp string, t long, place long, id long, vec binary")
+    order = ["grp", "t", "place", "id"]
+    lists = stash(_top(placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_beside, _EDGE), None), "lists")
+    for _ in range(rounds):
+        new = stash(_round(lists, nodes, threshold), "lists")
+        discard(lists)
+        lists = new
+        now = lists.where(F.col("sim") >= threshold).count()
+        if now - before <= DONE * max(total, 1) and before >= 0:
             break
+        before = now
+    labels = connected_components(lists.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")))
     counts, labels = _complete(nodes, labels, threshold, tile)
     known = nodes.join(labels, "id", "left").join(counts, "id", "left").select("grp", "vec", F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     found = clean.join(known, ["grp", "vec"]).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))

@@ -72,6 +72,22 @@ def test_vectors_of_bridged_groups(spark):
         assert found == {i: (links[i], 0, i == 0) for i in range(120)}
 
 
+def test_vectors_of_sparse_pairs(spark):
+    """A large label of unlike vectors with a few pairs: each is found, also without any round of search."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 120, 2):
+        side = x[i + 1] - x[i + 1] @ x[i] * x[i]
+        x[i + 1] = 0.94 * x[i] + np.sqrt(1 - 0.94**2) * side / np.linalg.norm(side)
+    links, roots = exact_links(x)
+    assert sum(links) == 120
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    for rounds in (embedding_neardup.ROUNDS, 0):
+        found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_neardup.near_duplicates(table, rounds=rounds).collect()}
+        assert found == {i: (links[i], roots[i]) for i in range(4000)}
+
+
 def test_vectors_table(spark, sf):
     table = spark.read.parquet(f"{sf}/embeddings.parquet")
     assert embedding_neardup.near_duplicates(table).count() == table.count()
