@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeseek.llm.common import discard, ship, stash
@@ -121,8 +121,21 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
+def _joined(runs: DataFrame) -> DataFrame:
+    """Runs of one text that touch or overlap at one distance from one source, as single factors."""
+    end = F.col("start") + F.col("windows")
+    source = ["doc_id", "text_key", "ref_doc", "shift"]
+    line = Window.partitionBy(*source).orderBy("start", "windows")
+    # Dealt by text, as the spans of a text meet next.
+    marked = runs.withColumn("shift", F.col("ref_start") - F.col("start")).repartition("doc_id", "text_key")
+    marked = marked.withColumn("reach", F.max(end).over(line.rowsBetween(Window.unboundedPreceding, -1)))
+    marked = marked.withColumn("factor", F.count_if(F.col("reach").isNull() | (F.col("start") > F.col("reach"))).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    out = marked.groupBy(*source, "factor").agg(F.min("start").alias("start"), (F.max(end) - F.min("start")).alias("windows"))
+    return out.select("doc_id", "text_key", "start", "windows", "ref_doc", (F.col("start") + F.col("shift")).alias("ref_start"))
+
+
 def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, text_key, start, windows, ref_doc, ref_start): runs of window starts that copy from the smallest doc_id that holds them; ref_doc < doc_id."""
+    """(doc_id, text_key, start, windows, ref_doc, ref_start): runs of window starts that copy from the smallest doc_id that holds them, joined as far as they go on in one source; ref_doc < doc_id."""
     ship(docs.sparkSession)
     texts = _texts(docs)
     key = ["doc_id", "text_key"]
@@ -153,7 +166,7 @@ def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
         .select("h1", "h2", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.start").alias("ref_start"))
     )
     single = places.join(homes, ["h1", "h2"]).where("doc_id > ref_doc").select(*key, "start", F.lit(1).alias("windows"), "ref_doc", "ref_start")
-    return whole.unionByName(single)
+    return _joined(whole.unionByName(single))
 
 
 def _digest(window: int, texts_out: bool):

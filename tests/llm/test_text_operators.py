@@ -64,6 +64,14 @@ def test_factors_copy_from_smaller_documents(docs):
         assert words(text[f.doc_id])[f.start : f.start + n] == words(text[f.ref_doc])[f.ref_start : f.ref_start + n]
 
 
+def test_factors_are_joined(spark):
+    passage = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(passage)), (2, " ".join(["x", *passage, "y"])), (3, " ".join([*passage[:100], "z", *passage[100:]]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(f.doc_id, f.start, f.windows, f.ref_doc, f.ref_start) for f in substring_dedup.factors(table, 12, 5).collect()}
+    assert found == {(2, 1, 289, 1, 0), (3, 0, 89, 1, 0), (3, 101, 189, 1, 100)}
+
+
 def test_token_counts(docs):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
