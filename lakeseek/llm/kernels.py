@@ -134,7 +134,11 @@ def gram_hashes(values: np.ndarray, docs: np.ndarray, k: int, seed: int = 0) ->
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """For each i, the place of the smallest of values[i:i+width] by its top 40 bits, the leftmost of equals; at most 2**24 values."""
+    """For each i, the place of the smallest of values[i:i+width] by its top 40 bits, the leftmost of equals; of more than 2**24 values in overlapping chunks."""
+    most = 1 << 24
+    if len(values) > most:
+        firsts = range(0, len(values) - width + 1, most - width + 1)
+        return np.concatenate([sliding_argmin(values[s : s + most], width) + s for s in firsts])
     packed = (values & ~U64(0xFFFFFF)) | np.arange(len(values), dtype=U64)
     have, low = 1, packed
     while have * 2 <= width:

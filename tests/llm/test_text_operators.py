@@ -5,9 +5,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from lakeseek.llm import language_id, line_dedup, ngram_join, substring_dedup, token_counts
+from lakeseek.llm import kernels, language_id, line_dedup, ngram_join, substring_dedup, token_counts
 
 SPACES = " \t\n\x0b\f\r"
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -202,3 +203,14 @@ def test_hub_of_many_links(spark):
         assert r.component_id == roots[r.doc_id]
         counts[r.component_id] += 1
     assert max(counts.values()) == 90
+
+
+def test_anchors_of_a_long_text():
+    """Beyond 2**24 values places have no bits left beside the hash."""
+    n, width = (1 << 24) + 5000, 35
+    values = kernels.mix(np.arange(n, dtype=np.uint64))
+    found = kernels.sliding_argmin(values, width)
+    assert len(found) == n - width + 1
+    for a in (0, (1 << 24) - 200, n - 400):
+        short = kernels.sliding_argmin(values[a : a + 400], width)
+        assert (found[a : a + len(short)] == short + a).all()
