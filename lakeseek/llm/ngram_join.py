@@ -25,7 +25,8 @@ without looking at the sets.
 *Links.*  Only connectivity is asked for, so a cell proposes a few nearest
 partners of each document, or, if it is large, a spanning forest of its possible pairs,
 not all of them.  Proposals meet FINE virtual pivots, and what is left is
-verified on whole shingle sets.  Where one fails, the cell is joined again: pairs between
+verified on whole shingle sets.  Where one fails, or pairs left out would join what all
+proposals together leave apart, the cell is joined again: pairs between
 documents that are not connected yet are proposed, ever more of them, until no
 possible pair between different components is left.  No link is lost.
 
@@ -180,8 +181,18 @@ def _near(sketch: np.ndarray, coarse: np.ndarray, size: np.ndarray, u: int, perc
     return low, can
 
 
-def _propose(doc, size, sketch, comp, failed, percent: int, turn: int) -> list[tuple[int, int]]:
-    n, out, coarse = len(doc), [], _coarse(sketch)
+def _joins(comp: np.ndarray, pairs: list[tuple[int, int]], left: list[tuple[np.ndarray, np.ndarray]]) -> bool:
+    """Whether a pair left out joins two components that the proposed pairs, if all are good, leave apart."""
+    root = np.unique(comp, return_inverse=True)[1]
+    for u, v in pairs if left else ():
+        if root[u] != root[v]:
+            root[root == root[v]] = root[u]
+    return any((root[u] != root[v]).any() for u, v in left)
+
+
+def _propose(doc, size, sketch, comp, failed, percent: int, turn: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs to verify, and whether possible pairs were left out that are needed even if all of these are good."""
+    n, out, coarse, left = len(doc), [], _coarse(sketch), []
     if turn == 0 and n > FOREST:  # Prim's forest of possible pairs, nearest first
         best, via, todo = np.full(n, 1 << 30), np.full(n, -1), np.ones(n, bool)
         u = 0
@@ -191,7 +202,7 @@ def _propose(doc, size, sketch, comp, failed, percent: int, turn: int) -> list[t
             better = todo & can & (low < best)
             best[better], via[better] = low[better], u
             if not todo.any():
-                return out
+                return out, False
             u = int(np.argmin(np.where(todo, best, 1 << 31)))
             if via[u] >= 0:
                 out.append((via[u], u))
@@ -204,16 +215,19 @@ def _propose(doc, size, sketch, comp, failed, percent: int, turn: int) -> list[t
         low[i, j] = low[j, i] = np.maximum(low[i, j], np.abs(sketch[i] - sketch[j]).sum(1))
         can[i, j] = low[i, j] * (100 + percent) <= limit[i, j]
         near = can | can.T
-        if n - 1 > most and near.sum(1).max() > most:
-            order = np.argsort(np.where(near, low, 1 << 30), axis=1, kind="stable")[:, :most]
-            keep = np.zeros_like(near)
-            np.put_along_axis(keep, order, True, 1)
-            near &= keep | keep.T
         for u in range(n) if turn else ():
             if failed[u]:
                 lost = np.isin(doc, failed[u])
                 near[u, lost] = near[lost, u] = False
-        return list(zip(*(x.tolist() for x in np.nonzero(np.triu(near))), strict=True))
+        if n - 1 > most and near.sum(1).max() > most:
+            order = np.argsort(np.where(near, low, 1 << 30), axis=1, kind="stable")[:, :most]
+            keep = np.zeros_like(near)
+            np.put_along_axis(keep, order, True, 1)
+            keep |= keep.T
+            left.append(np.nonzero(near & ~keep))
+            near &= keep
+        out = list(zip(*(x.tolist() for x in np.nonzero(np.triu(near))), strict=True))
+        return out, _joins(comp, out, left)
     for u in range(n):
         low, can = _near(sketch, coarse, size, u, percent)
         can &= comp != comp[u]
@@ -221,9 +235,11 @@ def _propose(doc, size, sketch, comp, failed, percent: int, turn: int) -> list[t
         if failed[u]:
             can &= ~np.isin(doc, failed[u])
         found = np.flatnonzero(can)
-        found = found[np.lexsort((doc[found], low[found]))][:most]
-        out += [(u, int(v)) for v in found]
-    return out
+        found = found[np.lexsort((doc[found], low[found]))]
+        if len(found) > most:
+            left.append((np.full(len(found) - most, u), found[most:]))
+        out += [(u, int(v)) for v in found[:most]]
+    return out, _joins(comp, out, left)
 
 
 def _join_cells(percent: int, turn: int):
@@ -239,17 +255,22 @@ def _join_cells(percent: int, turn: int):
         two = starts[sizes == 2] if turn == 0 else starts[:0]
         low = np.maximum(np.abs(sketch[two] - sketch[two + 1]).sum(1), np.abs(size[two] - size[two + 1])) if len(two) else np.zeros(0, np.int64)
         two = two[low * (100 + percent) <= (size[two] + size[two + 1]) * (100 - percent)]
-        left, right = [two], [two + 1]
+        left, right, cut = [two], [two + 1], []
         for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
             if n > 2 or (n == 2 and turn):
                 part = slice(s, s + n)
-                found = _propose(doc[part], size[part], sketch[part], comp[part], failed[part], percent, turn)
+                found, more = _propose(doc[part], size[part], sketch[part], comp[part], failed[part], percent, turn)
+                if more:
+                    cut.append(s)
                 if found:
                     x = np.array(found)
                     left.append(x[:, 0] + s)
                     right.append(x[:, 1] + s)
         a, b = np.concatenate(left), np.concatenate(right)
-        return pa.record_batch([pa.array(region[a]), pa.array(np.minimum(doc[a], doc[b])), pa.array(np.maximum(doc[a], doc[b]))], ["region", "a", "b"])
+        # A region that needs pairs left out here: a row without a pair.
+        none = pa.nulls(len(cut), pa.int64())
+        columns = [(region[a], pa.array(region[cut])), (np.minimum(doc[a], doc[b]), none), (np.maximum(doc[a], doc[b]), none)]
+        return pa.record_batch([pa.concat_arrays([pa.array(x), y]) for x, y in columns], ["region", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -379,8 +400,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
             rows = rows.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(lost, "doc_id", "left")
             rows = rows.select("region", "cell", "doc_id", "size", "sketch", F.coalesce("component", "doc_id").alias("comp"), "failed")
         found = rows.repartition("region", "cell").sortWithinPartitions("region", "cell", "doc_id").mapInArrow(_join_cells(percent, turn), "region long, a long, b long")
-        proposed = stash(found.where("a <> b"), "proposed")
-        pairs = proposed.select("a", "b").distinct()
+        proposed = stash(found.where("a <> b or a is null"), "proposed")
+        pairs = proposed.where("a is not null").select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stash(pairs, "pairs")
@@ -391,7 +412,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
         links = tried.where("good").select("a", "b")
         failed = checked.where("not good").select("a", "b")
         comps = connected_components(links)
-        again = proposed.join(failed, ["a", "b"], "left_semi").select("region").distinct()
+        again = proposed.join(failed, ["a", "b"], "left_semi").select("region").unionByName(proposed.where("a is null").select("region")).distinct()
         active = stash(active.join(again, "region", "left_semi"), "active")
         discard(proposed, pairs)
         turn += 1

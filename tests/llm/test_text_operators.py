@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lakeseek.llm import kernels, language_id, line_dedup, ngram_join, substring_dedup, token_counts
@@ -214,3 +215,15 @@ def test_anchors_of_a_long_text():
     for a in (0, (1 << 24) - 200, n - 400):
         short = kernels.sliding_argmin(values[a : a + 400], width)
         assert (found[a : a + len(short)] == short + a).all()
+
+
+def test_ngram_cell_with_cut_candidates():
+    """Two groups that fill each other's proposals: their region stays active though no proposal fails."""
+    n, half = 300, ngram_join.SKETCH // 2
+    sketch = [bytes([0x11] * half) if i < 150 else bytes([0x22] + [0x11] * (half - 1)) for i in range(n)]
+    for comp, more in ((np.arange(n), [7]), (np.zeros(n, np.int64), [])):
+        columns = [np.full(n, 7), np.zeros(n, np.int64), np.arange(n), np.full(n, 100), comp]
+        cell = pa.record_batch([*map(pa.array, columns), pa.array(sketch), pa.nulls(n, pa.list_(pa.int64()))], ["region", "cell", "doc_id", "size", "comp", "sketch", "failed"])
+        (found,) = [b.to_pylist() for b in ngram_join._join_cells(80, 1)(iter([cell]))]
+        assert not [x for x in found if x["a"] is not None and (x["a"] < 150) != (x["b"] < 150)]
+        assert [x["region"] for x in found if x["a"] is None] == more
