@@ -19,14 +19,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The most rows of a key table that may be broadcast; at 16 to 40 bytes a row this is under 16 MB.
 BROADCAST_ROWS = 200_000
+#: A key is hot if it holds more than one in HOT_KEYS of all rows; so there are at most HOT_KEYS hot keys.
+HOT_KEYS = 10_000
 _shipped: set[str] = set()
 _scratch: list[list[DataFrame]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (a single machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and driver and executors are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-lakeseek-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -94,6 +98,22 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has a key once, by one key column that may be very unevenly filled.
+
+    Keys with over 1 / HOT_KEYS of the rows of left are at most HOT_KEYS: their rows of right are broadcast, and rows of
+    left don't move for them. Only the others are shuffled. how: inner, left, left_semi. Null keys match nothing.
+    """
+    counts = left.where(F.col(on).isNotNull()).groupBy(on).count().where(F.col("count") > 1000)
+    least = left.count() / HOT_KEYS
+    hot = stash(counts.where(F.col("count") > least).select(on), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    marked = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
+    often = marked.where("_hot").drop("_hot").join(F.broadcast(right.join(F.broadcast(hot), on, "left_semi")), on, how)
+    return often.unionByName(marked.where("_hot is null").drop("_hot").join(right.join(F.broadcast(hot), on, "left_anti"), on, how))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else. lower() has a fast path for texts of one-byte characters, for which it means the same."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -14,10 +14,16 @@ document is replicated.  Two linked documents meet in at least one region.
 documents come last, the rest by hash: common passages then make no regions, and
 only the cost depends on the sample.
 
-*Recursion.*  A region with more than REGION documents is cut again by size: a
-partner's size is within a factor of 0.8, so each document goes to its band and
-the one above; a band that is still too large becomes pairs of blocks.  In the end each
-cell is small and is joined in memory against SKETCH virtual pivots, the
+*Recursion.*  A region of more than REGION documents gets pivots of its own, documents
+drawn from it by hash.  First every document proposes a link to its nearest pivot, so a
+large group of near copies becomes one component with one pair a document.  If documents
+of different components are left, the region is cut into the Voronoi cells of its pivots
+under the Jaccard distance of bucket counts, which never exceeds that of the sets: a
+document goes to its nearest pivot's cell and, by the triangle inequality, to each cell
+whose pivot is at most 2 * 0.2 farther than its nearest one.  Cells that are still too large are cut
+again with new pivots.  A region that pivots can't part (most documents are within the
+windows of all) is cut into pairs of blocks, of which those inside its largest component are left out.
+In the end each cell is small and is joined in memory against SKETCH virtual pivots, the
 buckets of the shingle hashes: the L1 distance of two documents' bucket counts never
 exceeds their symmetric difference, so pairs beyond the limit are left out
 without looking at the sets.
@@ -30,13 +36,14 @@ proposals together leave apart, the cell is joined again: pairs between
 documents that are not connected yet are proposed, ever more of them, until no
 possible pair between different components is left.  No link is lost.
 
-Equal shingle sets are one class with its smallest doc_id as representative.
-Shingle hashes have 64 bits.
+Equal shingle sets are one class, which one of its rows stands for.  Rows are told
+apart by a number of their own, not by doc_id.  Shingle hashes have 64 bits.
 
 Defined results: words are split at ASCII white space, A-Z lower-cased; texts of
 fewer than five words are one shingle; null or blank texts have none and link
 with nothing; rows without a doc_id are left out of classes and get a null
-component; rows that share a doc_id are linked. Extra columns are ignored.
+component; rows with words that share a doc_id are linked, whatever their texts.
+Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,15 +56,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import discard, scratch, ship, small, stash
+from lakeseek.llm.common import discard, scratch, ship, small, spread_join, stash
 from lakeseek.llm.components import connected_components
-from lakeseek.llm.kernels import U64, gram_hashes, text_slices
+from lakeseek.llm.kernels import U64, gram_hashes, mix, text_slices
 
 SHINGLE, PERCENT = 5, 80
 #: Documents of a cell joined in memory; virtual pivots; one document in SAMPLE is used to order shingles; an order has at most FREQUENT of them in front of its end.
 REGION, SKETCH, SAMPLE, FREQUENT, OFTEN = 1024, 256, 64, 200_000, 4
 #: Virtual pivots of proposed pairs; documents of a cell from which on it proposes a forest; partners that a document proposes first.
 FINE, FOREST, FIRST = 1024, 64, 32
+#: Pivots drawn from a large region; copies of a region's rows up to which its Voronoi cells are used; the part of its parent up to which a cell counts as smaller; salts of its rows.
+PIVOTS, WINDOWS, SMALLER, SALTS = 16, 2.0, 0.7, 16
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -123,19 +132,20 @@ def _profiles(k: int, percent: int, frequent):
                 yield pa.record_batch(
                     [
                         part.column("doc_id"),
+                        part.column("text_key"),
                         pa.array(sizes),
                         pa.array(prints, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(starts), pa.array(flat)),
                         pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH // 2), len(sets), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary()),
                     ],
-                    ["doc_id", "size", "print", "window", "sketch"],
+                    ["doc_id", "text_key", "size", "print", "window", "sketch"],
                 )
 
     return run
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by region, those that share it with another; the ends of a partition may share with the next, so they stay."""
+    """Of rows(region, node) sorted by region, those that share it with another; the ends of a partition may share with the next, so they stay."""
     held: pa.RecordBatch | None = None
     first = True
 
@@ -290,26 +300,126 @@ def _join_cells(percent: int, turn: int):
     return run
 
 
-def _cells(rows: DataFrame, limit: int) -> DataFrame:
-    """rows(region, doc_id, size, ...) with the cell of each region they go to: 0 in small regions; by size, then by pairs of blocks in others."""
-    large = stash(rows.groupBy("region").count().where(F.col("count") > limit).select("region", F.lit(True).alias("large")), "large-regions")
-    n = large.count()
-    if not n:
-        discard(large)
-        return rows.withColumn("cell", F.lit(0).cast("long"))
-    band = F.floor(F.log(F.col("size")) / F.log(F.lit(1.25)) + 1e-9).cast("long")
-    marked = rows.join(small(large, n), "region", "left").withColumn("cell", F.explode(F.when(F.col("large"), F.array(band + 1, band + 2)).otherwise(F.array(F.lit(0).cast("long"))))).drop("large")
-    again = stash(
-        marked.where("cell > 0").groupBy("region", "cell").count().where(F.col("count") > limit).select("region", "cell", F.ceil(F.col("count") / limit).cast("long").alias("blocks")),
-        "large-cells",
-    )
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.col("cell") + ((F.least(x, own) * F.col("blocks") + F.greatest(x, own) + 1) * 1000))
-    return (
-        marked.join(small(again, again.count()), ["region", "cell"], "left")
-        .withColumn("cell", F.explode(F.when(F.col("blocks").isNull(), F.array("cell")).otherwise(others)))
-        .drop("blocks")
-    )
+_KEY = ["region", "cell"]
+_MEMBER = "region long, cell long, doc_id long, size long, comp long, sketch binary, failed array<long>"
+
+
+def _outlines(rows: pa.RecordBatch) -> np.ndarray:
+    """Bucket counts, and in a last column what they leave out of the size: each row sums to the size of its set."""
+    raw = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH // 2)
+    out = np.empty((len(raw), SKETCH + 1), np.int32)
+    out[:, 0:SKETCH:2], out[:, 1:SKETCH:2] = raw >> 4, raw & 15
+    out[:, SKETCH] = rows.column("size").to_numpy() - out[:, :SKETCH].sum(1)
+    return out
+
+
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Jaccard distance of the multisets of counts from each row to each pivot, a metric: 1 - sum of minima / sum of maxima."""
+    out = np.empty((len(x), len(pivots)))
+    for j, p in enumerate(pivots):
+        apart = np.abs(x - p).sum(1)
+        out[:, j] = 2 * apart / (x.sum(1) + p.sum() + apart)
+    return out
+
+
+def _voronoi(percent: int, kind: str):
+    """Rows behind the pivots of their group, as _behind_pivots deals them.  star: each row with its nearest pivot, if they can link;
+    count: rows and copies of a cut into cells; split: the rows of the cells."""
+    near = (100 - percent) / 100 + 1e-9
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        key, pivots, names = None, [], []
+        for batch in batches:
+            marks = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "cell", "salt", "pivot")]
+            cut = np.flatnonzero(np.concatenate([[True], np.any([m[1:] != m[:-1] for m in marks], axis=0)])) if batch.num_rows else []
+            for a, b in zip(cut, [*cut[1:], batch.num_rows], strict=True):
+                part = batch.slice(a, b - a)
+                if (new := tuple(int(m[a]) for m in marks[:3])) != key:
+                    key, pivots, names = new, [], []
+                if marks[3][a]:
+                    pivots.append(_outlines(part))
+                    names.append(part.column("doc_id").to_numpy())
+                    continue
+                for s in range(0, part.num_rows, 4096):
+                    yield part.slice(s, 4096), np.concatenate(pivots), np.concatenate(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, pivots, names in groups(batches):
+            away = _distances(_outlines(part), pivots)
+            home, doc = away.argmin(1), part.column("doc_id").to_numpy()
+            least = away[np.arange(len(away)), home]
+            region, cell = part.column("region"), part.column("cell")
+            if kind == "star":
+                at = np.flatnonzero((least <= near) & (names[home] != doc))
+                a, b = doc[at], names[home[at]]
+                yield pa.record_batch([region.take(pa.array(at)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["region", "a", "b"])
+                continue
+            row, to = np.nonzero(away <= least[:, None] + 2 * near)
+            if kind == "count":
+                yield pa.record_batch([region.slice(0, 1), cell.slice(0, 1), pa.array([len(doc)]), pa.array([len(row)])], ["region", "cell", "rows", "copies"])
+                continue
+            member = part.select([f.split(" ")[0] for f in _MEMBER.split(", ")]).take(pa.array(row))
+            inner = mix(member.column("cell").to_numpy().view(U64) * U64(PIVOTS + 1) + to.astype(U64) + U64(1)).view(np.int64)
+            columns = [member.column(0), pa.array(inner), *member.columns[2:], part.column("n").take(pa.array(row)), pa.array(to == home[row])]
+            yield pa.record_batch(columns, [*member.schema.names, "parent", "home"])
+
+    return run
+
+
+def _behind_pivots(rows: DataFrame, groups: DataFrame, limit: int) -> DataFrame:
+    """The rows of groups(region, cell, n), dealt by group and salt, sorted behind the group's pivots: of every slot of its rows the one with the least hash."""
+    inside = rows.join(small(groups.select(*_KEY, "n"), groups.count()), _KEY).select(*[f.split(" ")[0] for f in _MEMBER.split(", ")], "n")
+    slot = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.least(F.lit(PIVOTS), F.ceil(F.col("n") / limit) + 1))
+    drawn = inside.groupBy(*_KEY, slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(4)).alias("h"), "doc_id", "size", "sketch")).alias("p"), F.max("n").alias("n"))
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    none = F.lit(None).cast("array<long>").alias("failed")
+    pivots = drawn.select(*_KEY, salt.alias("salt"), F.lit(True).alias("pivot"), "p.doc_id", "p.size", F.lit(0).cast("long").alias("comp"), "p.sketch", none, "n")
+    own = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SALTS)).cast("int")
+    dealt = pivots.unionByName(inside.withColumns({"salt": own, "pivot": F.lit(False)}))
+    return dealt.repartition(*_KEY, "salt").sortWithinPartitions(*_KEY, "salt", F.col("pivot").desc(), "doc_id")
+
+
+def _blocks(rows: DataFrame, limit: int) -> DataFrame:
+    """Groups that pivots can't part, as pairs of blocks. The largest component's rows meet only those of others."""
+    half = max(1, limit // 2)
+    most = rows.groupBy(*_KEY, "comp").count().groupBy(*_KEY).agg(F.max(F.struct("count", "comp")).alias("m"), F.sum("count").alias("n"))
+    most = stash(most.select(*_KEY, F.col("m.comp").alias("bulk"), F.ceil(F.col("m.count") / half).cast("long").alias("x"), F.ceil((F.col("n") - F.col("m.count")) / half).cast("long").alias("y")), "large-groups")
+    marked = rows.join(small(most, most.count()), _KEY)
+    own, bulk = F.pmod(F.xxhash64("doc_id"), F.when(F.col("comp") == F.col("bulk"), F.col("x")).otherwise(F.col("y"))), F.col("comp") == F.col("bulk")
+    each = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    others = F.transform(each("y"), lambda j: F.xxhash64("cell", F.lit(1), own, j))
+    mixed = F.transform(each("x"), lambda i: F.xxhash64("cell", F.lit(1), i, own))
+    inner = F.transform(each("y"), lambda j: F.xxhash64("cell", F.lit(2), F.least(own, j), F.greatest(own, j)))
+    return marked.withColumn("cell", F.explode(F.when(bulk, others).otherwise(F.concat(mixed, inner)))).drop("bulk", "x", "y")
+
+
+def _cells(rows: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Rows (of _MEMBER) of large regions in cells of at most about ``limit`` rows in which every possible link between different components is met."""
+    names = [f.split(" ")[0] for f in _MEMBER.split(", ")]
+    todo = stash(rows.select(*names, F.lit(None).cast("long").alias("parent"), F.lit(True).alias("home")), "cells")
+    out = []
+    while True:
+        # Where all are of one component, or none is at home, nothing is to be found.
+        groups = todo.groupBy(*_KEY).agg(F.count("*").alias("n"), F.max("parent").alias("parent"), F.max("home").alias("home"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        groups = stash(groups.where("home and low < high").select(*_KEY, "n", "parent"), "groups")
+        fit = groups.where(F.col("n") <= limit).select(*_KEY)
+        out.append(todo.join(small(fit, fit.count()), _KEY, "left_semi").select(*names))
+        large = groups.where(F.col("n") > limit)
+        if large.isEmpty():
+            break
+        fresh = large.where(F.col("parent").isNull() | (F.col("n") <= F.col("parent") * SMALLER))
+        tried = _behind_pivots(todo, fresh, limit).mapInArrow(_voronoi(percent, "count"), "region long, cell long, rows long, copies long")
+        tried = tried.groupBy(*_KEY).agg(F.sum("rows").alias("n"), F.sum("copies").alias("copies"))
+        good = stash(tried.where(F.col("copies") <= F.col("n") * WINDOWS).select(*_KEY, "n"), "parted")
+        rest = large.join(good, _KEY, "left_anti").select(*_KEY)
+        out.append(_blocks(todo.join(small(rest, rest.count()), _KEY, "left_semi").select(*names), limit))
+        if good.isEmpty():
+            break
+        todo = stash(_behind_pivots(todo, good, limit).mapInArrow(_voronoi(percent, "split"), _MEMBER + ", parent long, home boolean"), "cells")
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
 
 
 def _pack_sets(k: int, fine: bool):
@@ -324,7 +434,7 @@ def _pack_sets(k: int, fine: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in _sets(batch, k):
-                yield pa.record_batch([part.column("doc_id"), pa.array([packed(s) for s in sets], pa.binary())], ["id", "s"])
+                yield pa.record_batch([part.column("node"), pa.array([packed(s) for s in sets], pa.binary())], ["id", "s"])
 
     return run
 
@@ -348,10 +458,12 @@ def _verify(percent: int, fine: bool):
     return run
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, percent: int, fine: bool) -> DataFrame:
+def _compared(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, k: int, percent: int, fine: bool) -> DataFrame:
     """pairs(a, b) with good: whether the pair can be near by bucket counts (fine), or is near by whole sets. Only documents in pairs are hashed again."""
-    wanted = stash(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    made = stash(texts.join(small(wanted, wanted.count()), "doc_id", "left_semi").mapInArrow(_pack_sets(k, fine), "id long, s binary"), "sets")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = stash(nodes.join(wanted, "node").select("node", "doc_id", "text_key"), "wanted")
+    made = stash(texts.join(small(wanted, wanted.count()), ["doc_id", "text_key"]).mapInArrow(_pack_sets(k, fine), "id long, s binary"), "sets")
+    # Repeated rows make a set more than once.
     sets = made.groupBy("id").agg(F.max("s").alias("s"))
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")).hint("merge"), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
@@ -360,77 +472,108 @@ def _compared(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, perc
     return out
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs(a, b) with good: whether they are near."""
-    n = sizes.select("doc_id", "size")
-    sized = stash(
-        pairs.join(n.select(F.col("doc_id").alias("a"), F.col("size").alias("x")), "a").join(n.select(F.col("doc_id").alias("b"), F.col("size").alias("y")), "b").select("a", "b", (F.col("x") + F.col("y")).alias("both")),
-        "sized",
-    )
-    possible = _compared(sized, texts, sizes, k, percent, True)
-    exact = _compared(stash(sized.join(possible.where("good"), ["a", "b"], "left_semi"), "possible"), texts, sizes, k, percent, False)
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """pairs(a, b) of nodes(node, doc_id, text_key, size) with good: whether they are near."""
+    x, y = (nodes.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}")) for end in ("a", "b"))
+    sized = stash(pairs.join(x, "a").join(y, "b").select("a", "b", (F.col("size_a") + F.col("size_b")).alias("both")), "sized")
+    possible = _compared(sized, texts, nodes, k, percent, True)
+    left = stash(sized.join(possible.where("good"), ["a", "b"], "left_semi"), "possible")
+    exact = _compared(left, texts, nodes, k, percent, False)
+    discard(sized, left)
     return exact.unionByName(possible.where("not good"))
 
 
+def _shared_ids(members: DataFrame) -> DataFrame:
+    """(a, b): nodes with a doc_id in common, of members(doc_id, rep, print)."""
+    ids = members.groupBy("doc_id").agg(F.min("print").alias("x"), F.max("print").alias("y"), F.min("rep").alias("a")).where("x <> y").select("doc_id", "a")
+    return members.join(ids, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, region: int = REGION) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs(doc_id, text); component_id: smallest doc_id reachable by links."""
+    with scratch() as keep:
+        return keep(_near_duplicates(docs, k, percent, region), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int, region: int) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(texts.where("text is not null"), k))
-    profiles = stash(texts.mapInArrow(_profiles(k, percent, frequent), "doc_id long, size long, print binary, window array<long>, sketch binary"), "profiles")
+    made = texts.mapInArrow(_profiles(k, percent, frequent), "doc_id long, text_key long, size long, print binary, window array<long>, sketch binary")
+    # The number is written with the row, so later reads all see the same.
+    profiles = stash(made.withColumn("node", F.monotonically_increasing_id()), "profiles")
     usable = profiles.where("size > 0 and doc_id is not null")
-    classes = stash(usable.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    # Only the representative of a class goes on; the others, known without moving any window, are left out.
-    others = stash(usable.select("doc_id", "print").join(classes.where("copies > 1"), "print").where("doc_id <> rep").select("doc_id", "print").distinct(), "copies")
-    reps = usable.join(small(others, others.count()), ["doc_id", "print"], "left_anti")
-    replicas = reps.select(F.explode("window").alias("region"), "doc_id")
-    met = replicas.repartitionByRange("region", "doc_id").sortWithinPartitions("region", "doc_id").mapInArrow(_met, "region long, doc_id long")
-    regions = stash(met.distinct(), "regions")
-    # One outline a doc_id; rows that share one are linked by their classes below.
-    outlines = usable.groupBy("doc_id").agg(F.max(F.struct("size", "sketch")).alias("o")).select("doc_id", "o.size", "o.sketch")
-    links, tried, comps, turn, active = None, None, None, 0, regions
-    while True:
-        rows = _cells(active.join(outlines.hint("shuffle_hash"), "doc_id"), region)
-        if comps is None:
-            rows = rows.select("region", "cell", "doc_id", "size", "sketch", F.col("doc_id").alias("comp"))
+    classes = stash(usable.groupBy("print").agg(F.min("node").alias("rep"), F.min("doc_id").alias("low"), F.count("*").alias("copies")), "classes")
+    # Only one row of a class goes on; the others, known without moving any window, are left out.
+    others = stash(usable.select("node", "print").join(classes.where("copies > 1"), "print").where("node <> rep").select("node"), "copies")
+    reps = usable.join(small(others, others.count()), "node", "left_anti")
+    replicas = reps.select(F.explode("window").alias("region"), "node")
+    met = replicas.repartitionByRange("region", "node").sortWithinPartitions("region", "node").mapInArrow(_met, "region long, node long")
+    active = stash(met.distinct(), "regions")
+    nodes = reps.select("node", "doc_id", "text_key", "size")
+    outlines = reps.select("node", "size", "sketch")
+    shared = stash(_shared_ids(usable.select("doc_id", "print").join(classes.select("print", "rep"), "print")), "shared-ids")
+    comps = None if shared.isEmpty() else connected_components(shared)
+    tried, turn = None, 0
+    while not active.isEmpty():
+        members = active.join(outlines.hint("shuffle_hash"), "node").withColumn("cell", F.lit(0).cast("long"))
+        members = members.withColumn("comp", F.col("node")) if comps is None else members.join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("component", "node"))
+        if tried is None:
+            members = members.withColumn("failed", F.lit(None).cast("array<long>"))
         else:
             lost = tried.where("not good").select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"))
-            lost = lost.groupBy(F.col("p.x").alias("doc_id")).agg(F.collect_set("p.y").alias("failed"))
-            rows = rows.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(lost, "doc_id", "left")
-            rows = rows.select("region", "cell", "doc_id", "size", "sketch", F.coalesce("component", "doc_id").alias("comp"), "failed")
-        found = rows.repartition("region", "cell").sortWithinPartitions("region", "cell", "doc_id").mapInArrow(_join_cells(percent, turn), "region long, a long, b long")
+            members = members.join(lost.groupBy(F.col("p.x").alias("node")).agg(F.collect_set("p.y").alias("failed")), "node", "left")
+        members = members.withColumnRenamed("node", "doc_id").select(*[f.split(" ")[0] for f in _MEMBER.split(", ")])
+        large = stash(active.groupBy("region").count().where(F.col("count") > region).select("region", F.lit(0).cast("long").alias("cell"), F.col("count").alias("n")), "large-regions")
+        n_large = large.count()
+        inside = members.join(small(large.select("region"), n_large), "region", "left_anti") if n_large else members
+        if n_large and turn:
+            inside = inside.unionByName(_cells(members.join(small(large.select("region"), n_large), "region", "left_semi"), percent, region))
+        found = inside.repartition(*_KEY).sortWithinPartitions(*_KEY, "doc_id").mapInArrow(_join_cells(percent, turn), "region long, a long, b long")
+        if n_large and not turn:
+            found = found.unionByName(_behind_pivots(members, large, region).mapInArrow(_voronoi(percent, "star"), "region long, a long, b long"))
         proposed = stash(found.where("a <> b or a is null"), "proposed")
         pairs = proposed.where("a is not null").select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stash(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        checked = _verified(pairs, texts, outlines, k, percent)
-        tried = stash(checked if tried is None else tried.unionByName(checked), "tried")
-        links = tried.where("good").select("a", "b")
-        failed = checked.where("not good").select("a", "b")
-        comps = connected_components(links)
-        again = proposed.join(failed, ["a", "b"], "left_semi").select("region").unionByName(proposed.where("a is null").select("region")).distinct()
-        active = stash(active.join(again, "region", "left_semi"), "active")
-        discard(proposed, pairs)
-        turn += 1
-        if active.isEmpty():
+        # Regions that are not through: those with pairs left out, and large ones whose pivots are linked so far.
+        again = proposed.where("a is null").select("region")
+        if n_large and not turn:
+            again = again.unionByName(large.select("region"))
+        if not pairs.isEmpty():
+            checked = _verified(pairs, texts, nodes, k, percent)
+            tried = stash(checked if tried is None else tried.unionByName(checked), "tried")
+            comps = connected_components(tried.where("good").select("a", "b").unionByName(shared))
+            again = again.unionByName(proposed.join(checked.where("not good"), ["a", "b"], "left_semi").select("region"))
+        elif turn:
             break
-    out = profiles.join(classes, "print", "left")
-    out = out.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
-    rep = F.col("rep")
-    if comps is not None:
-        out = out.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-        component = F.coalesce("component", rep)
+        rest = active.join(again.distinct(), "region", "left_semi")
+        if comps is not None:
+            # Regions of one component are through.
+            comp = rest.join(comps.withColumnRenamed("id", "node"), "node", "left").select("region", F.coalesce("component", "node").alias("comp"))
+            open_ = comp.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("region")
+            rest = rest.join(open_, "region", "left_semi")
+        rest = stash(rest, "regions")
+        discard(proposed, pairs, large, active)
+        active, turn = rest, turn + 1
+    if comps is None:
+        named = classes.select("print", F.col("low").alias("component_id"))
     else:
-        component = rep
+        own = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("print", "low", F.coalesce("component", "rep").alias("comp"))
+        lows = own.groupBy("comp").agg(F.min("low").alias("component_id"))
+        named = spread_join(stash(own, "named"), lows, "comp").select("print", "component_id")
+    out = spread_join(profiles.select("doc_id", "size", "print"), named, "print", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_first(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component; all columns stay. Texts without words stay, as do rows without a doc_id; of rows that share a doc_id all or none stay."""
     with scratch() as keep:
-        later = keep(near_duplicates(docs, k, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_later")).distinct(), "later")
-    return docs.join(later.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("_later"), "left_anti")
+        later = keep(near_duplicates(docs, k, percent).where("component_id < doc_id").select(F.col("doc_id").alias("later")).distinct(), "later")
+    # The rows travel as one struct, so that no column of theirs can clash.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"))
+    return rows.join(later.hint("shuffle_hash"), F.col("id") == F.col("later"), "left_anti").select("row.*")

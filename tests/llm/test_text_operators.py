@@ -1,6 +1,7 @@
 """Operators 1, 2, 3, 7 and 9 against brute force on the odd corpus, and on a test table."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -227,3 +228,64 @@ def test_ngram_cell_with_cut_candidates():
         (found,) = [b.to_pylist() for b in ngram_join._join_cells(80, 1)(iter([cell]))]
         assert not [x for x in found if x["a"] is not None and (x["a"] < 150) != (x["b"] < 150)]
         assert [x["region"] for x in found if x["a"] is None] == more
+
+
+def linked(rows):
+    """Smallest doc_id reachable by links, where rows with words that share a doc_id are linked too."""
+    sets = {n: shingles(t) for n, (_, t) in enumerate(rows)}
+    root = components(sets)
+    low = {}
+    while True:
+        by_id = {}
+        for n, (i, _) in enumerate(rows):
+            if sets[n]:
+                by_id[i] = min(by_id.get(i, root[n]), root[n])
+        new = {n: by_id[i] if sets[n] else root[n] for n, (i, _) in enumerate(rows)}
+        merge = {}
+        for n, r in root.items():
+            merge[r] = min(merge.get(r, new[n]), new[n])
+        new = {n: merge[root[n]] for n in root}
+        if new == root:
+            break
+        root = new
+    for n, (i, _) in enumerate(rows):
+        low[root[n]] = min(low.get(root[n], i), i)
+    return Counter((i, len(sets[n]), low[root[n]]) for n, (i, _) in enumerate(rows))
+
+
+def near_copies(rng, name, size, copies, edits):
+    base = [f"{name}{i}" for i in range(size)]
+    for _ in range(copies):
+        copy = list(base)
+        for _ in range(rng.randrange(edits + 1)):
+            copy[rng.randrange(size)] = f"e{rng.randrange(10**9)}"
+        yield " ".join(copy)
+
+
+@pytest.mark.parametrize(("seed", "region"), [(1, 1024), (2, 16)])
+def test_ngram_join_of_repeated_ids(spark, seed, region):
+    """Rows that share ids, some with texts of different groups, and groups larger than a region's cells."""
+    rng = random.Random(seed)
+    texts = [t for g in range(3) for t in near_copies(rng, f"g{g}_", 120, 90, 4)]
+    texts += [" ".join([*(f"p{i}" for i in range(40)), *(f"u{n}_{i}" for i in range(rng.randrange(5, 60)))]) for n in range(60)]
+    rng.shuffle(texts)
+    rows = [(n if rng.random() < 0.97 else rng.randrange(len(texts)), t) for n, t in enumerate(texts)] + [(7, texts[7]), (9, "")]
+    base, other = " ".join(f"a{i}" for i in range(105)), " ".join(f"b{i}" for i in range(105))
+    rows += [(5000, other), (5001, base), (5001, other), (5005, base.replace("a50 ", "x ")), (6001, base), (6003, other.replace("b50 ", "x "))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter(tuple(r) for r in ngram_join.near_duplicates(table, region=region).collect())
+    assert found == linked(rows)
+
+
+def test_ngram_distances_never_exceed_those_of_sets():
+    rng = random.Random(3)
+    sets = [{rng.randrange(10**6) for _ in range(rng.randrange(1, 9000))} for _ in range(6)]
+    sets += [set(list(s)[: max(1, len(s) * 9 // 10)]) for s in sets]
+    counts = [np.bincount([x % ngram_join.SKETCH for x in s], minlength=ngram_join.SKETCH).clip(max=15).astype(np.uint8) for s in sets]
+    rows = pa.record_batch([pa.array([((c[0::2] << 4) | c[1::2]).tobytes() for c in counts]), pa.array([len(s) for s in sets])], ["sketch", "size"])
+    x = ngram_join._outlines(rows)
+    assert x.sum(1).tolist() == [len(s) for s in sets]
+    found = ngram_join._distances(x, x)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert found[i, j] <= 1 - len(a & b) / len(a | b) + 1e-12
