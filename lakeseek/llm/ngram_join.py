@@ -30,7 +30,7 @@ without looking at the sets.
 
 *Links.*  Only connectivity is asked for, so a cell proposes a few nearest
 partners of each document, or, if it is large, a spanning forest of its possible pairs,
-not all of them.  Proposals meet FINE virtual pivots, and what is left is
+not all of them, the first two times.  Proposals meet FINE virtual pivots, and what is left is
 verified on whole shingle sets.  Where one fails, or pairs left out would join what all
 proposals together leave apart, the cell is joined again: pairs between
 documents that are not connected yet are proposed, ever more of them, until no
@@ -203,18 +203,22 @@ def _joins(comp: np.ndarray, pairs: list[tuple[int, int]], left: list[tuple[np.n
 def _propose(doc, size, sketch, comp, failed, percent: int, turn: int) -> tuple[list[tuple[int, int]], bool]:
     """Pairs to verify, and whether possible pairs were left out that are needed even if all of these are good."""
     n, out, coarse, left = len(doc), [], _coarse(sketch), []
-    if turn == 0 and n > FOREST:  # Prim's forest of possible pairs, nearest first
+    if turn == 0 and n > FOREST:  # Prim's forest of possible pairs, nearest first; members of one component cost nothing
         best, via, todo = np.full(n, 1 << 30), np.full(n, -1), np.ones(n, bool)
         u = 0
         while True:
             todo[u] = False
             low, can = _near(sketch, coarse, size, u, percent)
+            if failed[u]:
+                can &= ~np.isin(doc, failed[u])
+            same = comp == comp[u]
+            low[same], can[same] = -1, True
             better = todo & can & (low < best)
             best[better], via[better] = low[better], u
             if not todo.any():
                 return out, False
             u = int(np.argmin(np.where(todo, best, 1 << 31)))
-            if via[u] >= 0:
+            if via[u] >= 0 and best[u] >= 0:
                 out.append((via[u], u))
     most = FIRST * 4**turn
     if n <= FOREST:
@@ -225,7 +229,7 @@ def _propose(doc, size, sketch, comp, failed, percent: int, turn: int) -> tuple[
         low[i, j] = low[j, i] = np.maximum(low[i, j], np.abs(sketch[i] - sketch[j]).sum(1))
         can[i, j] = low[i, j] * (100 + percent) <= limit[i, j]
         near = can | can.T
-        for u in range(n) if turn else ():
+        for u in range(n):
             if failed[u]:
                 lost = np.isin(doc, failed[u])
                 near[u, lost] = near[lost, u] = False
@@ -259,12 +263,12 @@ def _join_cells(percent: int, turn: int):
         raw = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH // 2)
         sketch = np.empty((len(doc), SKETCH), np.int8)
         sketch[:, 0::2], sketch[:, 1::2] = raw >> 4, raw & 15
-        failed = t.column("failed").to_pylist() if turn else [None] * len(doc)
+        failed = t.column("failed").to_pylist() if "failed" in t.column_names else [None] * len(doc)
         starts = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (cell[1:] != cell[:-1])]))
         sizes = np.diff(np.append(starts, len(doc)))
         two = starts[sizes == 2] if turn == 0 else starts[:0]
         low = np.maximum(np.abs(sketch[two] - sketch[two + 1]).sum(1), np.abs(size[two] - size[two + 1])) if len(two) else np.zeros(0, np.int64)
-        two = two[low * (100 + percent) <= (size[two] + size[two + 1]) * (100 - percent)]
+        two = two[(low * (100 + percent) <= (size[two] + size[two + 1]) * (100 - percent)) & (comp[two] != comp[two + 1])]
         left, right, cut = [two], [two + 1], []
         for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
             if n > 2 or (n == 2 and turn):
@@ -302,6 +306,7 @@ def _join_cells(percent: int, turn: int):
 
 _KEY = ["region", "cell"]
 _MEMBER = "region long, cell long, doc_id long, size long, comp long, sketch binary, failed array<long>"
+_NAMES = ["region", "cell", "doc_id", "size", "comp", "sketch", "failed"]
 
 
 def _outlines(rows: pa.RecordBatch) -> np.ndarray:
@@ -358,7 +363,7 @@ def _voronoi(percent: int, kind: str):
             if kind == "count":
                 yield pa.record_batch([region.slice(0, 1), cell.slice(0, 1), pa.array([len(doc)]), pa.array([len(row)])], ["region", "cell", "rows", "copies"])
                 continue
-            member = part.select([f.split(" ")[0] for f in _MEMBER.split(", ")]).take(pa.array(row))
+            member = part.select(_NAMES).take(pa.array(row))
             inner = mix(member.column("cell").to_numpy().view(U64) * U64(PIVOTS + 1) + to.astype(U64) + U64(1)).view(np.int64)
             columns = [member.column(0), pa.array(inner), *member.columns[2:], part.column("n").take(pa.array(row)), pa.array(to == home[row])]
             yield pa.record_batch(columns, [*member.schema.names, "parent", "home"])
@@ -368,14 +373,13 @@ def _voronoi(percent: int, kind: str):
 
 def _behind_pivots(rows: DataFrame, groups: DataFrame, limit: int) -> DataFrame:
     """The rows of groups(region, cell, n), dealt by group and salt, sorted behind the group's pivots: of every slot of its rows the one with the least hash."""
-    inside = rows.join(small(groups.select(*_KEY, "n"), groups.count()), _KEY).select(*[f.split(" ")[0] for f in _MEMBER.split(", ")], "n")
+    inside = rows.join(small(groups.select(*_KEY, "n"), groups.count()), _KEY)
     slot = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.least(F.lit(PIVOTS), F.ceil(F.col("n") / limit) + 1))
     drawn = inside.groupBy(*_KEY, slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(4)).alias("h"), "doc_id", "size", "sketch")).alias("p"), F.max("n").alias("n"))
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    none = F.lit(None).cast("array<long>").alias("failed")
-    pivots = drawn.select(*_KEY, salt.alias("salt"), F.lit(True).alias("pivot"), "p.doc_id", "p.size", F.lit(0).cast("long").alias("comp"), "p.sketch", none, "n")
+    pivots = drawn.select(*_KEY, salt.alias("salt"), F.lit(True).alias("pivot"), "p.doc_id", "p.size", "p.sketch", "n")
     own = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SALTS)).cast("int")
-    dealt = pivots.unionByName(inside.withColumns({"salt": own, "pivot": F.lit(False)}))
+    dealt = inside.withColumns({"salt": own, "pivot": F.lit(False)}).unionByName(pivots, allowMissingColumns=True)
     return dealt.repartition(*_KEY, "salt").sortWithinPartitions(*_KEY, "salt", F.col("pivot").desc(), "doc_id")
 
 
@@ -395,15 +399,14 @@ def _blocks(rows: DataFrame, limit: int) -> DataFrame:
 
 def _cells(rows: DataFrame, percent: int, limit: int) -> DataFrame:
     """Rows (of _MEMBER) of large regions in cells of at most about ``limit`` rows in which every possible link between different components is met."""
-    names = [f.split(" ")[0] for f in _MEMBER.split(", ")]
-    todo = stash(rows.select(*names, F.lit(None).cast("long").alias("parent"), F.lit(True).alias("home")), "cells")
+    todo = stash(rows.select(*_NAMES, F.lit(None).cast("long").alias("parent"), F.lit(True).alias("home")), "cells")
     out = []
     while True:
         # Where all are of one component, or none is at home, nothing is to be found.
         groups = todo.groupBy(*_KEY).agg(F.count("*").alias("n"), F.max("parent").alias("parent"), F.max("home").alias("home"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         groups = stash(groups.where("home and low < high").select(*_KEY, "n", "parent"), "groups")
         fit = groups.where(F.col("n") <= limit).select(*_KEY)
-        out.append(todo.join(small(fit, fit.count()), _KEY, "left_semi").select(*names))
+        out.append(todo.join(small(fit, fit.count()), _KEY, "left_semi").select(*_NAMES))
         large = groups.where(F.col("n") > limit)
         if large.isEmpty():
             break
@@ -412,7 +415,7 @@ def _cells(rows: DataFrame, percent: int, limit: int) -> DataFrame:
         tried = tried.groupBy(*_KEY).agg(F.sum("rows").alias("n"), F.sum("copies").alias("copies"))
         good = stash(tried.where(F.col("copies") <= F.col("n") * WINDOWS).select(*_KEY, "n"), "parted")
         rest = large.join(good, _KEY, "left_anti").select(*_KEY)
-        out.append(_blocks(todo.join(small(rest, rest.count()), _KEY, "left_semi").select(*names), limit))
+        out.append(_blocks(todo.join(small(rest, rest.count()), _KEY, "left_semi").select(*_NAMES), limit))
         if good.isEmpty():
             break
         todo = stash(_behind_pivots(todo, good, limit).mapInArrow(_voronoi(percent, "split"), _MEMBER + ", parent long, home boolean"), "cells")
@@ -520,18 +523,19 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, region: int) -> Data
     while not active.isEmpty():
         members = active.join(outlines.hint("shuffle_hash"), "node").withColumn("cell", F.lit(0).cast("long"))
         members = members.withColumn("comp", F.col("node")) if comps is None else members.join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("component", "node"))
-        if tried is None:
+        if turn:
             members = members.withColumn("failed", F.lit(None).cast("array<long>"))
-        else:
+        if tried is not None:
             lost = tried.where("not good").select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"))
-            members = members.join(lost.groupBy(F.col("p.x").alias("node")).agg(F.collect_set("p.y").alias("failed")), "node", "left")
-        members = members.withColumnRenamed("node", "doc_id").select(*[f.split(" ")[0] for f in _MEMBER.split(", ")])
+            members = members.drop("failed").join(lost.groupBy(F.col("p.x").alias("node")).agg(F.collect_set("p.y").alias("failed")), "node", "left")
+        names = _NAMES if turn else _NAMES[:-1]
+        members = members.withColumnRenamed("node", "doc_id").select(*names)
         large = stash(active.groupBy("region").count().where(F.col("count") > region).select("region", F.lit(0).cast("long").alias("cell"), F.col("count").alias("n")), "large-regions")
         n_large = large.count()
         inside = members.join(small(large.select("region"), n_large), "region", "left_anti") if n_large else members
         if n_large and turn:
             inside = inside.unionByName(_cells(members.join(small(large.select("region"), n_large), "region", "left_semi"), percent, region))
-        found = inside.repartition(*_KEY).sortWithinPartitions(*_KEY, "doc_id").mapInArrow(_join_cells(percent, turn), "region long, a long, b long")
+        found = inside.repartition(*_KEY).sortWithinPartitions(*_KEY, "doc_id").mapInArrow(_join_cells(percent, max(0, turn - 1)), "region long, a long, b long")
         if n_large and not turn:
             found = found.unionByName(_behind_pivots(members, large, region).mapInArrow(_voronoi(percent, "star"), "region long, a long, b long"))
         proposed = stash(found.where("a <> b or a is null"), "proposed")
