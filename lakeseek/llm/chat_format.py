@@ -18,8 +18,9 @@ assistant turns.  ``read_back`` gets turns and loss text from the formatted
 string and the mask alone.
 
 Defined results: a null text or role is empty; equal turn numbers are ordered by
-role, then (escaped) text; repeated rows are repeated turns; rows without a conv_id form
-one chat of id null. A chat is one output row, so its turns meet in one task; a
+role, then (escaped) text; repeated rows are repeated turns; a null or empty array of
+turns has no turn, and gives no chat; a null element is an empty turn; rows without a conv_id form
+one chat of id null; of an empty table nothing comes. A chat is one output row, so its turns meet in one task; a
 third of all chats being alike does no harm, as they are dealt by id.
 """
 
@@ -94,7 +95,7 @@ def canonical(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFr
     """(conv_id, turn, role, text) of any known layout."""
     m = select_mapping(df.schema, mappings)
     if m.array:
-        df = df.select(F.expr(m.id).alias("_id"), F.posexplode_outer(F.expr(m.array)).alias("_turn", "x"))
+        df = df.select(F.expr(m.id).alias("_id"), F.posexplode(F.expr(m.array)).alias("_turn", "x"))
     else:
         df = df.withColumns({"_id": F.expr(m.id), "_turn": F.expr(m.order) if m.order else F.lit(0)})
     if len(m.turns) == 1:

@@ -19,8 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The most rows of a key table that may be broadcast; at 16 to 40 bytes a row this is under 16 MB.
 BROADCAST_ROWS = 200_000
-#: A key is hot if it holds more than one in HOT_KEYS of all rows; so there are at most HOT_KEYS hot keys.
-HOT_KEYS = 10_000
+#: A key is hot if it holds more than one in HOT_KEYS of all rows, and more than LEAST_HOT; so there are at most HOT_KEYS hot keys.
+HOT_KEYS, LEAST_HOT = 10_000, 1000
 _shipped: set[str] = set()
 _scratch: list[list[DataFrame]] = []
 
@@ -98,14 +98,16 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
     """left joined with right, which has a key once, by one key column that may be very unevenly filled.
 
-    Keys with over 1 / HOT_KEYS of the rows of left are at most HOT_KEYS: their rows of right are broadcast, and rows of
-    left don't move for them. Only the others are shuffled. how: inner, left, left_semi. Null keys match nothing.
+    Keys with over 1 / HOT_KEYS of the rows of left (of ``counted``, if that is given instead) are at most HOT_KEYS: their
+    rows of right are broadcast, and rows of left don't move for them. Only the others are shuffled. how: inner, left,
+    left_semi. Null keys match nothing.
     """
-    counts = left.where(F.col(on).isNotNull()).groupBy(on).count().where(F.col("count") > 1000)
-    least = left.count() / HOT_KEYS
+    counted = left if counted is None else counted
+    counts = counted.where(F.col(on).isNotNull()).groupBy(on).count().where(F.col("count") > LEAST_HOT)
+    least = counted.count() / HOT_KEYS
     hot = stash(counts.where(F.col("count") > least).select(on), "hot-keys")
     if hot.isEmpty():
         return left.join(right, on, how)

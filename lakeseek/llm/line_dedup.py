@@ -4,13 +4,15 @@ Lines are exploded as hashes of their normalised form, distinct documents are
 counted per hash, and lines whose hash reaches the threshold are dropped from
 every document; what stays is put together again by position.  The text itself
 is normalised once and shuffled at most once: the table of line hashes, written
-to the shared folder, serves both the count and the look-up.  Each document
-enters a count once (its hashes are made distinct in place), so the sum is
-pre-aggregated on the map side whatever the line's frequency.
-
-Defined results: a null or empty text is one empty line; rows count as one
-document each, also if their doc_id repeats; every row comes back once.
-Extra columns are kept by ``drop_lines``. An empty table gives no rows.
+to the shared folder, serves both the count and the look-up.  A row's hashes are
+made distinct in place, and those of rows that share a doc_id are made distinct
+together, so each document enters a count once; the sum is
+pre-aggregated on the map side whatever the line's frequency, and the few hashes that
+very many lines have are looked up without moving those lines.
+
+Defined results: a null or empty text is one empty line; rows that share a doc_id are
+one document, each row without a doc_id is one of its own; every row comes back once.
+Extra columns are kept by ``drop_lines``, whatever their names. An empty table gives no rows.
 Hashes have 64 bits.
 """
 
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import ascii_lower, discard, small, stash, strip_spaces
+from lakeseek.llm.common import BROADCAST_ROWS, ascii_lower, discard, small, spread_join, stash, strip_spaces
 
 MIN_DOCS, MIN_CHARS = 10, 1
 
@@ -45,40 +47,58 @@ def dropped_positions(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
         ),
         "line-hashes",
     )
-    counts = hashes.select(F.explode_outer(F.array_distinct("keys")).alias("key")).where("key is not null").groupBy("key").agg(F.count("*").alias("docs"))
-    hot = stash(counts.where(F.col("docs") >= min_docs).select("key"), "hot-lines")
-    places = hashes.select("doc_id", "text_key", F.posexplode("keys").alias("place", "key")).join(small(hot, hot.count()), "key")
+    # Only rows that share their doc_id with others need a comparison across rows.
+    ids = hashes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = stash(ids, "repeated-ids")
+    n_repeated = repeated.count()
+    lines = lambda rows: rows.select("doc_id", F.explode_outer(F.array_distinct("keys")).alias("key")).where("key is not null")
+    if n_repeated:
+        several = lines(hashes.join(small(repeated, n_repeated), "doc_id", "left_semi")).distinct()
+        found = lines(hashes.join(small(repeated, n_repeated), "doc_id", "left_anti")).unionByName(several)
+    else:
+        found = lines(hashes)
+    counts = found.groupBy("key").agg(F.count("*").alias("docs"))
+    hot = stash(counts.where(F.col("docs") >= min_docs).select("key", F.lit(True).alias("hot")), "hot-lines")
+    n_hot = hot.count()
+    placed = hashes.select("doc_id", "text_key", F.posexplode("keys").alias("place", "key"))
+    places = placed.join(F.broadcast(hot), "key") if n_hot <= BROADCAST_ROWS else spread_join(placed, hot, "key")
     # Equal rows give equal places: a set, not a list.
-    found = stash(places.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("place")).alias("drop")), "dropped-lines")
-    discard(hashes, hot)
-    return found
+    dropped = stash(places.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("place")).alias("drop")), "dropped-lines")
+    discard(hashes, hot, repeated)
+    return dropped
 
 
 def _apply(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with _drop (places, or null) and _kept (the text without them)."""
-    right = found.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("text_key").alias("_key"), F.col("drop").alias("_drop"))
+    """(row, text, kept, n_dropped) of docs: the whole row, its text without nulls, and what is left of it."""
+    right = found.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "text_key", "drop")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    left = docs.withColumns({"_doc": F.coalesce(docs["doc_id"].cast("long"), F.lit(0)), "_no_doc": docs["doc_id"].isNull(), "_text_key": F.xxhash64(text), "_text": text})
+    # The rows travel as one struct, so that no column of theirs can clash.
+    left = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        text.alias("text"),
+        F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("id"),
+        docs["doc_id"].cast("long").isNull().alias("none"),
+        F.xxhash64(text).alias("text_key"),
+    )
     # One shuffle of the texts at every size; hashing the few places spares sorting the texts.
-    joined = left.join(right.hint("shuffle_hash"), (left["_doc"] == right["_id"]) & (left["_no_doc"] == right["_none"]) & (left["_text_key"] == right["_key"]), "left")
-    kept = F.array_join(F.filter(_lines(F.col("_text")), lambda _, i: ~F.array_contains("_drop", i)), "\n")
-    return joined.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(kept))
+    joined = left.join(right.hint("shuffle_hash"), ["id", "none", "text_key"], "left")
+    # A map finds a place at once, however many lines go.
+    gone = F.map_from_arrays("drop", "drop")
+    kept = F.array_join(F.filter(_lines(F.col("text")), lambda _, i: F.try_element_at(F.col("gone"), i).isNull()), "\n")
+    return joined.withColumn("gone", gone).select(
+        "row", "text", F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("kept"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped")
+    )
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows of docs with repeated lines gone from text; other columns stay, null texts stay null."""
     out = _apply(docs, dropped_positions(docs, min_docs, min_chars))
-    text = F.when(F.col("text").isNotNull(), F.col("_kept"))
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    text = F.when(F.col("row")["text"].isNotNull(), F.col("kept"))
+    return out.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) per row of docs(doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = _apply(docs, dropped_positions(docs, min_docs, min_chars))
-    return out.select(
-        "doc_id",
-        F.size(_lines(F.col("_text"))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.sha2("_kept", 256).alias("kept_sha256"),
-    )
+    return out.select(F.col("row")["doc_id"].alias("doc_id"), F.size(_lines(F.col("text"))).cast("long").alias("n_lines"), "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))

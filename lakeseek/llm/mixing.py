@@ -13,7 +13,8 @@ folded inside groups of about GROUP documents of one source; the one document
 each group leaves open goes up to the next level of a reduction tree, until
 each source has one open document, which a last draw closes.  Folds go from long
 to short documents, so what stays open, and with it the error, is small.  Groups are cut by
-hash, so a source that holds a third of all rows is as many small tasks.  Draws
+hash, so a source that holds a third of all rows is as many small tasks; rows that
+are equal are settled among themselves by counting, so they don't meet in one group.  Draws
 are hashes of (seed, level, documents): reruns agree.
 
 Defined results: a null text has size 0 and is taken 0 times; rows without a
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from lakeseek.llm.common import small, stash, word_count
 
 WEIGHTS, PERCENT, MAX_COPIES = (5, 2, 1), 150, 2
-GROUP, SEED = 64, 20_301
+GROUP, SEED, RUN = 64, 20_301, 10_000
 _OPEN = "struct<doc_id:bigint,size:bigint,p:double,done:array<struct<doc_id:bigint,size:bigint,copies:bigint>>>"
 
 
@@ -92,11 +93,28 @@ def _pair(level: int):
     return step
 
 
+def _repeated(rows: DataFrame) -> DataFrame:
+    """rows(source, doc_id, size, c) as c.n rows with c.copies each, made in runs of RUN so that no task makes them all."""
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c.n") - 1) / RUN))).alias("run")
+    runs = rows.select("source", "doc_id", "size", "c", run).repartition("doc_id", "size", "run")
+    each = F.explode(F.array_repeat(F.col("c.copies"), F.least(F.lit(RUN), F.col("c.n") - F.col("run") * RUN).cast("int"))).alias("copies")
+    return runs.select("source", "doc_id", "size", each)
+
+
 def _settle(docs: DataFrame, sources: DataFrame, group: int) -> DataFrame:
     """(source, doc_id, size, copies): 0 or 1 for each of docs(source, doc_id, size, p) with 0 < p < 1 and size > 0."""
-    level, settled, width = 0, [], group
-    most = docs.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-    cut = docs.withColumn("cell", F.pmod(F.xxhash64("doc_id", "size", F.lit(SEED)), F.lit(max(1, -(-most // group)))))
+    # Equal rows are paired with each other first: what their fractions add up to is so many whole ones, and at most one open row.
+    same = stash(docs.groupBy("source", "doc_id", "size", "p").agg(F.count("*").alias("n")), "equal-rows")
+    several = same.where("n > 1").select("source", "doc_id", "size", (F.col("n") * F.col("p")).alias("mass"), "n")
+    several = several.select("source", "doc_id", "size", "n", F.floor("mass").cast("long").alias("whole"), (F.col("mass") - F.floor("mass")).alias("p"))
+    opened = (F.col("p") > 0).cast("long")
+    closed = several.select(
+        "source", "doc_id", "size", F.explode(F.array(F.struct(F.lit(1).cast("long").alias("copies"), F.col("whole").alias("n")), F.struct(F.lit(0).cast("long").alias("copies"), (F.col("n") - F.col("whole") - opened).alias("n")))).alias("c")
+    ).where("c.n > 0")
+    singles = same.where("n = 1").select("source", "doc_id", "size", "p").unionByName(several.where("p > 0").select("source", "doc_id", "size", "p"))
+    level, settled, width = 0, [_repeated(closed)], group
+    most = singles.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    cut = singles.withColumn("cell", F.pmod(F.xxhash64("doc_id", "size", F.lit(SEED)), F.lit(max(1, -(-most // group)))))
     cells = max(1, -(-most // group))
     while True:
         zero = F.lit(None).cast(_OPEN)

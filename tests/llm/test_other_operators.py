@@ -117,6 +117,8 @@ def test_chat_layouts(spark):
     for layout in (messages, shared, task, pair):
         found = sorted((r.turn, r.role, r.text) for r in chat_format.canonical(layout).collect())
         assert found == [(0, "user", "hi"), (1, "assistant", "yo")]
+    none = spark.createDataFrame([(1, []), (2, None), (3, [("user", "x" * 2_000_000)])], "id long, messages array<struct<role:string,content:string>>")
+    assert [(r.conv_id, r.n_turns, r.formatted_chars) for r in chat_format.digest(none).collect()] == [(3, 1, 2_000_000 + 15)]
     with pytest.raises(ValueError):
         chat_format.canonical(spark.createDataFrame([(1,)], "other long"))
 
@@ -234,3 +236,28 @@ def test_pipeline(spark, sf):
     for s, n in wanted_targets(size).items():
         assert abs(taken[s] - n) <= max(len(words(t)) for i, t in text.items() if kept[i].source == s)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_join", "decontamination", "mixing"]
+
+
+def test_mixing_of_repeated_rows(spark):
+    """Half of a source is one row again and again, and so are the rows without an id."""
+    rows = [(1, "a", "one two three")] * 25_000 + [(None, "a", "x y")] * 3000 + [(i, "a", "w " * (i % 7)) for i in range(2, 3000)] + [(i, "b", "v " * 40) for i in range(5000, 5100)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    size = Counter()
+    for _, s, t in rows:
+        size[s] += len(t.split())
+    wanted = wanted_targets(size)
+    found = mixing.mix(table).collect()
+    assert Counter((r.doc_id, r.source, r.size) for r in found) == Counter((i, s, len(t.split())) for i, s, t in rows)
+    taken = Counter()
+    for r in found:
+        taken[r.source] += r.taken
+    assert abs(taken["a"] - wanted["a"]) <= 6 and abs(taken["b"] - wanted["b"]) <= 40
+
+
+def test_many_items_in_blocks(docs, spark):
+    """More sketch rows and item bytes than may be broadcast at once give the same pairs."""
+    text = [(i, t) for i, t in plain(docs) if t and len(t) < 3000]
+    table = spark.createDataFrame([(i, " ".join(words(t)[:40])) for i, t in text], "item_id long, text string")
+    whole = {tuple(r) for r in decontaminate.contained_items(docs, table).collect()}
+    assert whole == expected_leaks(plain(docs), [(r.item_id, r.text) for r in table.collect()])
+    assert {tuple(r) for r in decontaminate.contained_items(docs, table, probe_rows=300, item_bytes=0).collect()} == whole

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lakeseek.llm import kernels, language_id, line_dedup, ngram_join, substring_dedup, token_counts
+from lakeseek.llm import common, decontaminate, kernels, language_id, line_dedup, ngram_join, substring_dedup, token_counts
 
 SPACES = " \t\n\x0b\f\r"
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -117,7 +117,7 @@ def test_lines(docs, empty):
     rows = plain(docs)
     keys = [[k for k in (line.strip(SPACES).translate(FOLD) for line in (t or "").split("\n"))] for _, t in rows]
     for least in (3, 10):
-        count = Counter(k for ks in keys for k in set(ks) if k)
+        count = Counter(k for _, k in {(i, k) for (i, _), ks in zip(rows, keys, strict=True) for k in ks if k})
         wanted = Counter()
         for (i, t), ks in zip(rows, keys, strict=True):
             lines = (t or "").split("\n")
@@ -289,3 +289,35 @@ def test_ngram_distances_never_exceed_those_of_sets():
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
             assert found[i, j] <= 1 - len(a & b) / len(a | b) + 1e-12
+
+
+def test_lines_of_repeated_rows(spark):
+    """Ten rows of one document are one document; rows without an id are documents of their own."""
+    rows = [(1, "a b\nc"), *[(2, "x y\nz")] * 10, *[(3, f"q {i}\ncommon") for i in range(10)], *[(i, "C \n other") for i in range(10, 19)], *[(None, "none")] * 10]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter((r.doc_id, r.n_dropped) for r in line_dedup.digest(table, 10).collect())
+    wanted = Counter((i, sum(k.strip().lower() == "c" for k in t.split("\n")) if i else 1) for i, t in rows)
+    assert found == wanted
+
+
+def test_hot_line_beyond_broadcast(spark, monkeypatch):
+    """A line in a third of all rows, with nothing allowed to be broadcast by count."""
+    for module in (line_dedup, common):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    rows = [(i, f"hot\nown {i}" if i % 3 == 0 else f"own {i}\npair {i // 20}") for i in range(6000)]
+    found = {(r.doc_id, r.n_dropped) for r in line_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()}
+    assert found == {(i, 1) for i in range(6000)}
+
+
+def test_clashing_columns(spark):
+    """Columns named like those the operators make inside come back as they were."""
+    names = ["row", "id", "none", "text_key", "drop", "kept", "gone", "later", "found", "_text", "_drop", "_id", "_later", "_found", "lang_pred", "letters"]
+    rows = [(i, f"a b c d e f {i}\nshared", "en", *[f"{n}{i}" for n in names]) for i in range(12)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names))
+    lines = line_dedup.drop_lines(table)
+    assert lines.columns == table.columns
+    assert {tuple(r) for r in lines.collect()} == {(i, t.split("\n")[0], *x) for i, t, *x in rows}
+    items = spark.createDataFrame([(1, "a b c d e f 3")], "item_id long, text string")
+    for out in (ngram_join.keep_first(table), decontaminate.drop_contaminated(table, items), language_id.keep_identified(table)):
+        assert out.columns == table.columns
+        assert {tuple(r) for r in out.collect()} <= set(rows)
