@@ -2,13 +2,13 @@
 
 A finder looks at the lines that follow a label.  Unless it says otherwise all
 lines with the label are tried in order and the first hit counts.  All take the
-column of lines (an array of strings that some earlier select made).
+column of lines (an array of strings that some earlier select made).  Each is one
+regular expression over the joined lines, so a text is read once a finder, by the
+JVM's matcher, and never line by line.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,103 +27,111 @@ MSE_BAND, MSE_SHARE = "Purchase Preference to MSE OEMs available upto price with
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
-    """A regular expression's group, null without a match."""
-    hit = F.regexp_extract(text, pattern, group)
-    return F.when(hit != "", hit)
+    """A regular expression's group, null without a match. (nullif evaluates the match once, a case expression twice.)"""
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+
+
+def document(lines: Column) -> Column:
+    """The stripped lines as one text."""
+    return F.array_join(lines, "\n")
+
+
+def _any_of(words: tuple[str, ...]) -> str:
+    return "|".join(rf"\Q{w}\E" for w in words)
+
+
+def _not_with(words: tuple[str, ...]) -> str:
+    """Matches at the start of a line without any of the words."""
+    return rf"(?![^\n]*(?:{_any_of(words)}))" if words else ""
 
 
-def places(lines: Column, label: str) -> Column:
-    return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.contains(F.get(lines, i), F.lit(label)))
+def _after(lines: Column, label: str, k: int, hit: str, group: int = 1) -> Column:
+    """A group of the hit, a pattern from the start of a line, in the first of the k lines after any line with the label."""
+    return found(document(lines), rf"\Q{label}\E[^\n]*\n(?:[^\n]*\n){{0,{k - 1}}}?{hit}", group)
 
 
-def _after(lines: Column, label: str, k: int, pick: Callable[[Column], Column]) -> Column:
-    """The first non-null pick among the k lines after any line with the label."""
-    seen = F.flatten(F.transform(places(lines, label), lambda i: F.transform(F.slice(lines, i + 2, k), pick)))
-    return F.get(F.filter(seen, lambda x: x.isNotNull()), F.lit(0))
+def _whole(marked: Column) -> Column:
+    """A line found together with the line feed before it; an empty line is an empty text, no line is null."""
+    return F.substr(F.nullif(marked, F.lit("")), F.lit(2))
 
 
 def date_time(lines: Column, label: str) -> Column:
-    return _after(lines, label, 3, lambda x: found(x, r"(\d{2}-\d{2}-\d{4}\s+\d{2}:\d{2}:\d{2})"))
+    return _after(lines, label, 3, r"[^\n]*?(\d{2}-\d{2}-\d{4}[^\S\n]+\d{2}:\d{2}:\d{2})")
+
+
+def _plain(digits: Column) -> Column:
+    """Without the commas between digits."""
+    return F.replace(digits, F.lit(","), F.lit(""))
 
 
 def quantity(lines: Column) -> Column:
-    return _after(lines, QUANTITY, 2, lambda x: found(F.replace(x, F.lit(","), F.lit("")), r"^(\d+)$")).try_cast("long")
+    return _plain(_after(lines, QUANTITY, 2, r"([\d,]*\d[\d,]*)(?=\n|\z)")).try_cast("long")
 
 
 def category(lines: Column) -> Column:
     """Of the first label only: the lines up to a stop word, nine at most, joined; empty text if there are none."""
-    block = F.slice(lines, F.get(places(lines, CATEGORY), F.lit(0)) + 2, 9)
-    stops = F.filter(F.sequence(F.lit(1), F.size(block) + 1), lambda i: F.coalesce(F.get(block, i - 1).rlike("|".join(CATEGORY_STOPS)), F.lit(True)))
-    kept = F.filter(F.slice(block, F.lit(1), F.get(stops, F.lit(0)) - 1), lambda x: x != "")
-    return F.when(F.size(places(lines, CATEGORY)) > 0, F.array_join(kept, " , "))
+    text = document(lines)
+    block = F.regexp_extract(text, rf"\Q{CATEGORY}\E[^\n]*\n((?:{_not_with(CATEGORY_STOPS)}[^\n]*(?:\n|\z)){{0,9}})", 1)
+    kept = F.filter(F.split(block, "\n"), lambda x: x != "")
+    return F.when(F.contains(text, F.lit(CATEGORY)), F.array_join(kept, " , "))
+
+
+#: A line's first run of digits, dots and commas that is a number once its commas are gone.
+_NUMBER = r"((?:,*\d[\d,]*\.?[\d,]*|,*\.,*\d[\d,]*))(?![\d.,])"
 
 
 def turnover(lines: Column, label: str) -> Column:
     """struct(value, unit): of each line the first run of digits, dots and commas, if it is a number; Lakh unless said."""
-    number = lambda x: F.replace(found(x, r"([0-9.,]+)"), F.lit(","), F.lit("")).try_cast("double")
-    unit = lambda x: F.coalesce(found(x, r"(?i)^[^0-9.,]*[0-9.,]+\s*(Lakh|Crore|Thousand)"), F.lit("Lakh"))
-    hit = _after(lines, label, 3, lambda x: F.when(number(x).isNotNull(), F.struct(number(x).alias("value"), unit(x).alias("unit"))))
-    return F.coalesce(hit, F.struct(F.lit(None).cast("double").alias("value"), F.lit("Lakh").alias("unit")))
+    hit = rf"[^0-9.,\n]*{_NUMBER}(?:[^\S\n]*((?i:Lakh|Crore|Thousand)))?"
+    value = _plain(_after(lines, label, 3, hit, 1)).try_cast("double")
+    return F.struct(value.alias("value"), F.coalesce(_after(lines, label, 3, hit, 2), F.lit("Lakh")).alias("unit"))
 
 
 def experience_years(lines: Column) -> Column:
-    return _after(lines, EXPERIENCE, 3, lambda x: found(x, r"(?i)(\d+)\s*Year")).try_cast("long")
+    return _after(lines, EXPERIENCE, 3, r"[^\n]*?(\d+)[^\S\n]*(?i:Year)").try_cast("long")
 
 
 def past_performance(lines: Column) -> Column:
-    return _after(lines, PERFORMANCE, 3, lambda x: found(x, r"(\d+)\s*%")).try_cast("long")
+    return _after(lines, PERFORMANCE, 3, r"[^\n]*?(\d+)[^\S\n]*%").try_cast("long")
 
 
 def percentage(lines: Column, label: str) -> Column:
-    return _after(lines, label, 4, lambda x: found(x, r"(\d+)")).try_cast("long")
+    return _after(lines, label, 4, r"[^\n]*?(\d+)").try_cast("long")
 
 
 def preference(lines: Column, label: str) -> Column:
     """Whether the first line with yes or no in it, of three after the label, has yes; false without one."""
-    low = F.lower
-    return F.coalesce(_after(lines, label, 3, lambda x: F.when(F.contains(low(x), F.lit("yes")), True).when(F.contains(low(x), F.lit("no")), False)), F.lit(False))
+    return F.coalesce(F.contains(F.lower(_after(lines, label, 3, r"([^\n]*(?i:yes|no)[^\n]*)")), F.lit("yes")), F.lit(False))
 
 
 def _section(lines: Column, label: str, k: int) -> tuple[Column, Column]:
-    """Of the first label: whether 'no' follows a Required line among the next four, and a look-up of the last line after a word among the next k."""
-    at = F.get(places(lines, label), F.lit(0))
-    refused = F.exists(
-        F.sequence(F.lit(1), F.lit(4)), lambda i: F.contains(F.get(lines, at + i), F.lit("Required")) & (F.lower(F.get(lines, at + i + 1)) == "no")
-    )
-    return F.coalesce(refused, F.lit(False)), at
-
-
-def _last(lines: Column, at: Column, k: int, word: str, pick: Callable[[Column], Column], unless: tuple[str, ...] = ()) -> Column:
-    """The pick of the line after the last line with the word, of k lines; lines with one of unless don't count."""
+    """Of the first label: whether 'no' follows a Required line among the next four, and the k + 1 lines after it, each behind a line feed."""
+    block = F.regexp_extract(document(lines), rf"\Q{label}\E[^\n]*((?:\n[^\n]*){{0,{k + 1}}})", 1)
+    refused = block.rlike(r"\A(?:\n[^\n]*){0,3}\n[^\n]*Required[^\n]*\n(?i:no)(?:\n|\z)")
+    return F.coalesce(refused, F.lit(False)), block
 
-    def hit(i: Column) -> Column:
-        here = F.get(lines, at + i)
-        good = F.contains(here, F.lit(word))
-        for other in unless:
-            good = good & ~F.contains(here, F.lit(other))
-        return F.when(good, pick(F.get(lines, at + i + 1)))
 
-    return F.try_element_at(F.filter(F.transform(F.sequence(F.lit(1), F.lit(k)), hit), lambda x: x.isNotNull()), F.lit(-1))
+def _last(block: Column, k: int, word: str, hit: str, unless: tuple[str, ...] = ()) -> Column:
+    """The first group of the hit in the line after the last line with the word, of the first k lines; lines with one of unless don't count."""
+    return F.regexp_extract(block, rf"\A(?:\n[^\n]*){{0,{k - 1}}}\n{_not_with(unless)}[^\n]*\Q{word}\E[^\n]*{hit}", 1)
 
 
-def _digits(x: Column) -> Column:
-    return found(F.replace(x, F.lit(","), F.lit("")), r"(\d+)")
+_DIGITS, _LINE = r"\n[^\n]*?(\d[\d,]*)", r"(\n[^\n]*)"
 
 
 def emd(lines: Column) -> Column:
     """struct(amount, bank) of the first EMD Detail section; nulls if it isn't required."""
-    refused, at = _section(lines, "EMD Detail", 9)
-    amount = _last(lines, at, 9, "EMD Amount", _digits, ("Advisory Bank",)).try_cast("double")
-    return F.struct(F.when(~refused, amount).alias("amount"), F.when(~refused, _last(lines, at, 9, "Advisory Bank", lambda x: x)).alias("bank"))
+    refused, block = _section(lines, "EMD Detail", 9)
+    amount = _plain(_last(block, 9, "EMD Amount", _DIGITS, ("Advisory Bank",))).try_cast("double")
+    return F.struct(F.when(~refused, amount).alias("amount"), F.when(~refused, _whole(_last(block, 9, "Advisory Bank", _LINE))).alias("bank"))
 
 
 def epbg(lines: Column) -> Column:
     """struct(required, percent, months, bank) of the first ePBG Detail section; required also without one."""
-    refused, at = _section(lines, "ePBG Detail", 11)
-    number = lambda x: found(F.replace(x, F.lit(","), F.lit("")), r"([\d.]+)").try_cast("double")
-    percent = _last(lines, at, 11, "ePBG Percentage", number, ("Advisory Bank",))
-    months = _last(lines, at, 11, "Duration of ePBG", _digits, ("Advisory Bank", "ePBG Percentage")).try_cast("long")
-    bank = _last(lines, at, 11, "Advisory Bank", lambda x: x)
+    refused, block = _section(lines, "ePBG Detail", 11)
+    percent = _plain(_last(block, 11, "ePBG Percentage", rf"\n[^\d.\n]*{_NUMBER}", ("Advisory Bank",))).try_cast("double")
+    months = _plain(_last(block, 11, "Duration of ePBG", _DIGITS, ("Advisory Bank", "ePBG Percentage"))).try_cast("long")
+    bank = _whole(_last(block, 11, "Advisory Bank", _LINE))
     return F.struct((~refused).alias("required"), *[F.when(~refused, c).alias(n) for c, n in ((percent, "percent"), (months, "months"), (bank, "bank"))])
 
 
@@ -135,11 +143,7 @@ def local_content(text: Column) -> Column:
 
 def after_last(lines: Column, label: str, unless: tuple[str, ...] = ()) -> Column:
     """The line after the last line with the label; lines with a label of unless don't count."""
-    hits = F.filter(
-        F.sequence(F.lit(0), F.size(lines) - 1),
-        lambda i: F.contains(F.get(lines, i), F.lit(label)) & ~F.exists(F.array(*[F.lit(u) for u in unless] or [F.lit("\0")]), lambda u: F.contains(F.get(lines, i), u)),
-    )
-    return F.get(lines, F.try_element_at(hits, F.lit(-1)) + 1)
+    return _whole(F.regexp_extract(document(lines), rf"\A(?:(?s:.*)\n)?{_not_with(unless)}[^\n]*\Q{label}\E[^\n]*(?:(\n[^\n]*)|\z)", 1))
 
 
 def bid_id(text: Column, path: Column) -> Column:

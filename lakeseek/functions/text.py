@@ -13,6 +13,8 @@ GENERIC_TERMS = frozenset(
     "a an and as at by category clearly details for from generic goods in item items not of on or per product products "
     "required requirement service services specified the to use with".split()
 )
+#: White space as Unicode has it: fixed values.
+_BLANKS = " \t\n\x0b\f\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 BID_ID = r"GEM/\d{4}/[BR]/\d+"
 
 
@@ -32,7 +34,7 @@ def strip(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Stripped lines."""
-    return F.transform(F.split(text, "\n"), strip)
+    return F.transform(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(_BLANKS)))
 
 
 def fold(text: Column) -> Column:

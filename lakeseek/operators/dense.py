@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Upper distances of the confidence bands, and what a match in each is worth: fixed values.
 BANDS = ((1.45, 1.0), (1.55, 0.85), (1.65, 0.55), (1.75, 0.20))
+#: Queries that are broadcast at once; of 768 doubles each that is 6 MB.
+QUERY_BLOCK = 1024
 
 
 def _sum(a: Column, b: Column, each: Callable[[Column, Column], Column]) -> Column:
@@ -36,11 +39,17 @@ def knn(vectors: DataFrame, query: list[float], n: int, condition: Column | None
     return near.withColumn("dense_rank", F.row_number().over(Window.orderBy("distance", "chunk_id")).cast("long"))
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, n: int, metric: str = "l2sq") -> DataFrame:
-    """(query_id, chunk_id, distance, dense_rank) for each of queries(query_id, query): a bounded set of queries against all rows, cut to n inside each task before the shuffle."""
-    pairs = vectors.crossJoin(F.broadcast(queries)).select("query_id", "chunk_id", distance(F.col("embedding").cast("array<double>"), F.col("query").cast("array<double>"), metric).alias("distance"))
+def knn_batch(vectors: DataFrame, queries: DataFrame, n: int, metric: str = "l2sq", block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, chunk_id, distance, dense_rank) for each of queries(query_id, query): in blocks of about ``block`` queries, each broadcast against all rows and cut to n inside each task before the shuffle."""
+    blocks = max(1, -(-queries.count() // block))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
-    return pairs.withColumn("dense_rank", rank.cast("long")).where(F.col("dense_rank") <= n)
+    found = []
+    for b in range(blocks):
+        some = queries if blocks == 1 else queries.where(part == b)
+        pairs = vectors.crossJoin(F.broadcast(some)).select("query_id", "chunk_id", distance(F.col("embedding").cast("array<double>"), F.col("query").cast("array<double>"), metric).alias("distance"))
+        found.append(pairs.withColumn("dense_rank", rank.cast("long")).where(F.col("dense_rank") <= n))
+    return reduce(DataFrame.unionByName, found)
 
 
 def confidence(distance_: Column) -> Column:

@@ -23,8 +23,13 @@ def metadata(docs: DataFrame, base_url: str = "", now: Column | None = None) ->
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX") if now is None else now
     docs = docs.withColumn("lines", lines(F.coalesce("text", F.lit("")))).withColumn("bid_id", fields.bid_id(F.col("text"), F.col("path")))
     x = F.col("lines")
-    organisation = fields.after_last(x, fields.ORGANISATION, (fields.MINISTRY, fields.DEPARTMENT))
-    department = fields.after_last(x, fields.DEPARTMENT, (fields.MINISTRY,))
+    # Used more than once each, so made in a step before.
+    docs = docs.select(
+        "*",
+        fields.after_last(x, fields.ORGANISATION, (fields.MINISTRY, fields.DEPARTMENT)).alias("_organisation"),
+        fields.after_last(x, fields.DEPARTMENT, (fields.MINISTRY,)).alias("_department"),
+    )
+    organisation, department = F.col("_organisation"), F.col("_department")
     return docs.select(
         "bid_id",
         F.lit("GeM").alias("portal"),

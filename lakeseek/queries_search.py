@@ -25,8 +25,10 @@ def query(f):
 
 
 def _index(spark, sf_dir) -> tuple[DataFrame, LexicalIndex]:
+    """The chunks and their index: built and saved once, then read by term."""
     chunks = fixtures.chunk_table(spark, sf_dir)
-    return chunks, LexicalIndex.build(chunks)
+    path = fixtures.stored(spark, sf_dir, "lexical-index", LexicalIndex.build(chunks, "fixture").save)
+    return chunks, LexicalIndex.load(spark, path)
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
