@@ -57,3 +57,8 @@ def ends_after(end: Column, limit: Column) -> Column:
     """End text (what is before a blank, yyyy-MM-dd or dd-MM-yyyy) after the limit; null if unreadable."""
     day = F.substring_index(end, " ", 1)
     return F.coalesce(_checked(day, r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"), _checked(day, r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy")).cast("date") > limit
+
+
+def india_date(at: Column) -> Column:
+    """The calendar date in India of a UTC timestamp: the name of a run's folder."""
+    return F.from_utc_timestamp(at, "Asia/Kolkata").cast("date")

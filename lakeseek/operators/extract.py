@@ -16,8 +16,8 @@ CHUNK_ORDER = ("overview", "eligibility_financial", "scope_of_work", "atc_clause
 
 
 def metadata(docs: DataFrame, base_url: str = "", now: Column | None = None) -> DataFrame:
-    """One row per docs(path, text[, internal_id, download_date, downloaded_at]): the metadata record, with text and lines kept for the chunk builders."""
-    for name, kind in (("internal_id", "long"), ("download_date", "string"), ("downloaded_at", "string")):
+    """One row per docs(path, text[, internal_id, download_date, downloaded_at, document_hash of the file's bytes]): the metadata record, with text and lines kept for the chunk builders."""
+    for name, kind in (("internal_id", "long"), ("download_date", "string"), ("downloaded_at", "string"), ("document_hash", "string")):
         if name not in docs.columns:
             docs = docs.withColumn(name, F.lit(None).cast(kind))
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX") if now is None else now
@@ -46,7 +46,7 @@ def metadata(docs: DataFrame, base_url: str = "", now: Column | None = None) ->
         fields.date_time(x, fields.BID_END).alias("end_date_to_submit_bid"),
         fields.link(F.col("bid_id"), F.col("internal_id"), F.col("path"), base_url).alias("pdf_link"),
         fields.published_date(F.col("text")).alias("published_date"),
-        F.md5(F.col("text")).alias("document_hash"),
+        F.coalesce("document_hash", F.md5(F.col("text"))).alias("document_hash"),
         F.col("path").alias("pdf_path"),
         "text",
         "lines",

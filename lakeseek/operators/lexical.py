@@ -58,6 +58,23 @@ class LexicalIndex:
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
         spark.createDataFrame([(self.version,)], "version string").write.mode("overwrite").json(f"{path}/state")
 
+    def add(self, chunks: DataFrame, version: str = "", replace: bool = True) -> LexicalIndex:
+        """The index with chunks(chunk_id, title, text) added: only their postings are made; with replace, those that their ids had go first."""
+        base = self.remove(chunks.select("chunk_id")) if replace else self
+        rows = base.postings.unionByName(postings(chunks))
+        old, new = base.stats, corpus_stats(chunks)
+        total = F.col("n") * F.coalesce("avgdl", F.lit(0.0))
+        both = old.unionByName(new).agg(F.sum("n").alias("n"), F.sum(total).alias("total"))
+        return LexicalIndex(rows, both.select("n", (F.col("total") / F.nullif("n", F.lit(0))).alias("avgdl")), version)
+
+    def remove(self, ids: DataFrame, version: str = "") -> LexicalIndex:
+        """The index without the chunks in ids(chunk_id). Chunks without a token aren't in the postings; those are taken not to be in ids."""
+        gone = ids.select("chunk_id").distinct()
+        lost = self.postings.join(gone, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.first("length").alias("length")).agg(F.count("*").alias("k"), F.coalesce(F.sum("length"), F.lit(0)).alias("l"))
+        stats = self.stats.crossJoin(F.broadcast(lost))
+        n = F.col("n") - F.col("k")
+        return LexicalIndex(self.postings.join(gone, "chunk_id", "left_anti").select(*self.postings.columns), stats.select(n.alias("n"), ((F.col("n") * F.col("avgdl") - F.col("l")) / F.nullif(n, F.lit(0))).alias("avgdl")), version)
+
     def current(self, version: str) -> bool:
         return self.version == version
 

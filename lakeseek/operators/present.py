@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeseek.functions import dates
 
+#: Column names of the export: fixed values, as are the badge, label and status texts below.
 EXPORT_COLUMNS = (
     "Date", "Portal", "Bid ID", "Client / Organization", "Bid Title", "Quantity", "EMD Amount", "Quoted Bid", "Delivery period",
     "Start date to submit bid", "End date to submit bid", "PDF Link",
@@ -89,3 +90,44 @@ def eav_maps(rows: DataFrame, id_column: str = "id") -> DataFrame:
     """(id, metadata map) of long rows (id, key, typed values); rows without a value are skipped; of repeated keys the largest value stays."""
     given = rows.withColumn("value", eav_value()).where("value is not null").groupBy(id_column, "key").agg(F.max("value").alias("value"))
     return given.groupBy(id_column).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("metadata"))
+
+
+def result_format(results: DataFrame) -> DataFrame:
+    """The eight fields of a search result, score rounded to six places; fields that results lack are null."""
+    names = ("chunk_id", "bid_id", "chunk_type", "bid_title", "score", "dense_rank", "lexical_rank", "text")
+    have = lambda c: F.round("score", 6).alias(c) if c == "score" else F.col(c) if c in results.columns else F.lit(None).cast("string").alias(c)
+    return results.select(*[have(c) for c in names])
+
+
+def status_export(exported: DataFrame, status: DataFrame) -> DataFrame:
+    """export_rows() with live end date, label and status of status(bid_number, live_end_date, extended, status); bids that weren't checked are unknown."""
+    live = status.select(F.col("bid_number").alias("Bid ID"), F.col("live_end_date").alias("_end"), F.col("extended").alias("_extended"), F.col("status").alias("_status"))
+    state = F.coalesce("_status", F.lit("unknown"))
+    return exported.join(live, "Bid ID", "left").select(
+        *exported.columns,
+        F.coalesce("_end", F.lit("")).alias("Live End Date (GeM)"),
+        extension_label(F.coalesce("_extended", F.lit(None).cast("boolean")), state).alias("Extended?"),
+        state.alias("Live Status"),
+    )
+
+
+def display_dates(rows: DataFrame) -> DataFrame:
+    """rows with start_label and end_label: the first given of the fields that may hold them, else N/A."""
+    def shown(*names: str) -> Column:
+        return F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names if n in rows.columns], F.lit("N/A"))
+
+    return rows.withColumns({"start_label": shown("published_date", "bid_start_date"), "end_label": shown("end_date_to_submit_bid", "bid_end_date")})
+
+
+def find_files(bids: DataFrame, files: DataFrame) -> DataFrame:
+    """(bid_id, path): each of bids(bid_id, pdf_path, pdf_link) with its file of files(path): the one it names, else one whose name has a digit group of at least five digits of the bid id, the last group first.
+
+    Digit groups are keys of an equi-join, so a file is found by any run of digits in its name that equals the group; of several the first by name.
+    """
+    named = bids.select("bid_id", first_given("pdf_path", "pdf_link").alias("wanted"), F.reverse(F.filter(F.regexp_extract_all("bid_id", F.lit(r"\d+"), F.lit(0)), lambda d: F.length(d) >= 5)).alias("groups"))
+    exact = named.join(files.select(F.col("path").alias("wanted"), F.col("path").alias("_exact")).distinct(), "wanted", "left")
+    name = F.element_at(F.split("path", "/"), -1)
+    by_digits = files.where(F.lower("path").endswith(".pdf")).select("path", F.explode(F.array_distinct(F.regexp_extract_all(name, F.lit(r"\d+"), F.lit(0)))).alias("digits")).groupBy("digits").agg(F.min("path").alias("path"))
+    wanted = exact.where("_exact is null").select("bid_id", F.posexplode("groups").alias("at", "digits"))
+    found = wanted.join(by_digits, "digits").groupBy("bid_id").agg(F.min(F.struct("at", "path"))["path"].alias("_found"))
+    return exact.join(found, "bid_id", "left").select("bid_id", F.coalesce("_exact", "_found").alias("path"))

@@ -160,3 +160,7 @@ SELECT page, count(*) AS n FROM ca, s WHERE stop IS NULL OR page <= stop GROUP B
     "download_names": """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'bid ' || page_id || '.pdf' WHEN 1 THEN 'a_b' || page_id || '.pdf'
   ELSE 'document' || CASE page_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.html' ELSE '.bin' END END AS name FROM pages""",
 }
+
+from lakeseek import oracles_records  # noqa: E402  it uses the parts above
+
+ORACLES |= oracles_records.ORACLES

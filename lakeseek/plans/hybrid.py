@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any, Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeseek.functions.text import query_terms
 from lakeseek.operators import dense, fusion, lexical
 from lakeseek.operators.lexical import LexicalIndex
+from lakeseek.operators.present import date_range
 from lakeseek.operators.where import where
 
 #: What a passage-search model wants in front of a query: fixed value.
@@ -57,3 +58,11 @@ def search(
     hits = lexical.search(index, chunks, query, lexical_candidates or candidates, test, id_column, mode).where(real)
     weighed = lexical.match_quality(hits, query, lexical.term_weights(index, query_terms(query)), id_column)
     return fusion.ordered(fusion.confident(near, weighed, rrf_k, dense_weight, lexical_weight), limit)
+
+
+def search_between(chunks: DataFrame, index: LexicalIndex, query: str, start: Column, end: Column, first: Column | None = None, last: Column | None = None, limit: int = 10, **options: Any) -> DataFrame:
+    """search() for bids within dates: four times the limit is fetched if a date is given, filtered by start and end (columns of chunks), then cut."""
+    dated = first is not None or last is not None
+    found = search(chunks, index, query, limit=4 * limit if dated else limit, **options)
+    rows = found.join(chunks.select("chunk_id", start.alias("_start"), end.alias("_end")), "chunk_id")
+    return fusion.ordered(date_range(rows, F.col("_start"), F.col("_end"), first, last).drop("_start", "_end"), limit)

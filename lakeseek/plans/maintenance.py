@@ -26,14 +26,58 @@ def expiry_due(last: str | None, now: datetime, days: int = EXPIRY_DAYS) -> bool
 def refresh_index(store: Store) -> bool:
     """Rebuild the index if it isn't of the current chunks' version, counts alone proving nothing. Says whether it was rebuilt."""
     version = store.version("chunks")
-    if store.state("index").get("version") == version:
+    if version is None or store.state("index").get("version") == version:
         return False
-    titled = store.read("chunks").withColumn("title", F.lit("")) if "title" not in store.read("chunks").columns else store.read("chunks")
-    LexicalIndex.build(titled, version or "").save(f"{store.base}/index/{version}")
+    chunks = store.read("chunks")
+    titled = chunks if "title" in chunks.columns else chunks.withColumn("title", F.lit(""))
+    LexicalIndex.build(titled, version).save(f"{store.base}/index/{version}")
     store.set_state("index", version=version)
     return True
 
 
+def _prune_vectors(store: Store, gone: DataFrame, new: DataFrame | None = None) -> None:
+    """Publish the vectors without those of gone(chunk_id), with new ones."""
+    had = store.read("vectors")
+    kept = None if had is None else had.join(gone.select("chunk_id"), "chunk_id", "left_anti")
+    if kept is None and new is None:
+        return
+    store.publish("vectors", new if kept is None else kept if new is None else kept.unionByName(new))
+
+
+def apply_delta(store: Store, embed: Callable[[DataFrame], DataFrame] | None = None, limit: int | None = None) -> dict:
+    """Bring the vectors to the published delta: deletes first, then upserts, embedded by embed; at most the first ``limit`` of them by chunk_id. For vectors that a run didn't make itself."""
+    delta, chunks = store.read("sync_delta"), store.read("chunks")
+    if delta is None or chunks is None:
+        raise ValueError("there is no delta to apply")
+    upserts = chunks.join(delta.where("op = 'upsert'").select("chunk_id"), "chunk_id", "left_semi")
+    upserts = upserts.orderBy("chunk_id").limit(limit) if limit else upserts
+    new = embed(upserts) if embed and not upserts.isEmpty() else None
+    gone = delta if embed else delta.where("op = 'delete'")
+    _prune_vectors(store, gone if limit is None else delta.where("op = 'delete'").select("chunk_id").unionByName(upserts.select("chunk_id")), new)
+    return {r["op"]: r["count"] for r in delta.groupBy("op").count().collect()}
+
+
+def expire(store: Store, active: DataFrame, apply: bool = False, force: bool = False) -> dict:
+    """Compare the stored chunks with active(bid_id), publish the report's table ``expired_bids`` (bid_id, chunks), sorted, and return its counts.
+
+    Nothing is removed unless apply is set; then chunks and vectors of expired bids go. An empty listing expires nothing unless forced.
+    """
+    chunks = store.read("chunks")
+    if chunks is None:
+        return {"active_bids": 0, "expired_bids": 0, "expired_chunks": 0, "applied": False}
+    bids = chunks.groupBy("bid_id").agg(F.count("*").alias("chunks"))
+    split = changes.expiry_split(bids, active, "bid_id", force)
+    store.publish("expired_bids", split.where("expired").select("bid_id", "chunks").orderBy("bid_id"))
+    expired = store.read("expired_bids")
+    n, rows = expired.agg(F.count("*"), F.coalesce(F.sum("chunks"), F.lit(0))).first()
+    report = {"active_bids": bids.count() - n, "expired_bids": n, "expired_chunks": rows, "applied": bool(apply and n)}
+    if report["applied"]:
+        gone = chunks.join(expired, "bid_id", "left_semi").select("chunk_id")
+        _prune_vectors(store, gone)
+        store.publish("chunks", chunks.join(expired, "bid_id", "left_anti"))
+    return report
+
+
 def run(
     store: Store,
     docs: DataFrame,
@@ -44,31 +88,36 @@ def run(
     force_expiry: bool = False,
     skip_expiry: bool = False,
 ) -> dict:
-    """One run over docs(path, text, ...). embed turns upserted chunks into (chunk_id, embedding) and runs only if there are any. Returns the report that is saved as state."""
+    """One run over docs(path, text, ...). embed turns upserted chunks into (chunk_id, embedding) and runs only if there are any.
+
+    Documents whose text is null couldn't be read: what an earlier run took from their path stays.
+    Chunks, delta (table ``sync_delta``) and vectors are published; the report is returned and saved as state.
+    """
     with store.lock():
         state = store.state()
-        good = docs.where("text is not null")
-        made = extract.chunks(extract.metadata(good, now=F.lit(now.isoformat()))).drop("position").withColumn("hash", F.md5("text"))
-        made = changes.last_by(made, "chunk_id", F.col("text"))
-        old = store.read("chunks")
-        old = made.limit(0) if old is None else old
-        delta = changes.sync_delta(old, made, "chunk_id", "hash").cache()
+        meta = extract.metadata(docs.where("text is not null"), now=F.lit(now.isoformat()))
+        made = extract.chunks(meta).drop("position").withColumn("hash", F.md5("text"))
+        source = changes.last_by(meta.select("bid_id", "pdf_path"), "bid_id", F.col("pdf_path"))
+        made = changes.last_by(made, "chunk_id", F.col("text")).join(source, "bid_id", "left")
+        # Written once; counts, delta, vectors and chunks read it.
+        store.publish("staging", made)
+        made, old = store.read("staging"), store.read("chunks")
+        old = made.limit(0) if old is None else old.select(*made.columns)
+        unread = docs.where("text is null").select(F.col("path").alias("pdf_path")).distinct()
+        kept = old.join(unread, "pdf_path", "left_semi").join(made, "chunk_id", "left_anti")
+        current = made.unionByName(kept.select(*made.columns))
+        changed = changes.sync_delta(old, current, "chunk_id", "hash")
+        store.publish("sync_delta", changed.withColumn("at", F.lit(now.isoformat())))
+        delta = store.read("sync_delta").select("chunk_id", "op")
         counts = {r["op"]: r["count"] for r in delta.groupBy("op").count().collect()}
         if counts:
-            merged = changes.merge(old.select(*made.columns), delta, made, "chunk_id")
-            if embed and counts.get("upsert"):
-                vectors, had = embed(made.join(delta.where("op = 'upsert'"), "chunk_id", "left_semi")), store.read("vectors")
-                kept = None if had is None else had.join(delta.select("chunk_id"), "chunk_id", "left_anti")
-                store.publish("vectors", vectors if kept is None else kept.unionByName(vectors))
-            store.publish("chunks", merged)
-        delta.unpersist()
+            upserts = made.join(delta.where("op = 'upsert'"), "chunk_id", "left_semi")
+            _prune_vectors(store, delta, embed(upserts) if embed and counts.get("upsert") else None)
+            store.publish("chunks", changes.merge(old, delta, made, "chunk_id"))
         report = {"last_daily_run_at": now.isoformat(), "upserts": counts.get("upsert", 0), "deletes": counts.get("delete", 0)}
+        report |= {"documents": docs.count(), "unreadable": unread.count(), "chunks": made.count()}
         if active is not None and not skip_expiry and (force_expiry or expiry_due(state.get("last_expiry_check_at"), now)):
-            split = changes.expiry_split(store.read("chunks"), active, "bid_id")
-            gone = split.where("expired").count()
-            if gone:
-                store.publish("chunks", split.where("not expired").drop("expired"))
-            report |= {"last_expiry_check_at": now.isoformat(), "expired_chunks": gone}
+            report |= {"last_expiry_check_at": now.isoformat(), "expired_chunks": expire(store, active, apply=True)["expired_chunks"]}
         report["index_rebuilt"] = refresh_index(store)
         store.set_state(**report)
         return report

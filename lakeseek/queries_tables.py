@@ -238,3 +238,6 @@ def download_names(spark, sf_dir):
     head = F.when(k % 4 == 0, F.concat(F.lit("attachment; filename*=UTF-8''bid%20"), k.cast("string"), F.lit(".pdf"))).when(k % 4 == 1, F.concat(F.lit('attachment; filename="a:b'), k.cast("string"), F.lit('.pdf"; x=1'))).when(k % 4 == 2, "inline")
     kind = F.when(k % 3 == 0, "application/pdf").when(k % 3 == 1, "text/html").otherwise("x/y")
     return fixtures.table(spark, sf_dir, "pages").select("page_id", files.file_name(head, kind).alias("name"))
+
+
+from lakeseek import queries_records  # noqa: E402, F401  registers its queries here

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -31,26 +33,77 @@ class _Pages(InputPartition):
         self.first, self.last = first, last
 
 
+def count_pages(fetch: Callable[[int], list[dict]]) -> int:
+    """Number of pages before the first empty one: doubling, then halving, so a listing of n pages takes some 2 log2(n) fetches."""
+    if not with_retry(fetch, 0):
+        return 0
+    full, empty = 0, 1
+    while with_retry(fetch, empty):
+        full, empty = empty, empty * 2
+    while empty - full > 1:
+        middle = (full + empty) // 2
+        full, empty = (middle, empty) if with_retry(fetch, middle) else (full, middle)
+    return empty
+
+
+def with_token(home: Callable[[], str], pattern: str, fetch: Callable[[str, int], list[dict]]) -> Callable[[int], list[dict]]:
+    """fetch(token, page) as a fetcher of pages: the token is the pattern's group in home(), looked up once a process and again after a failure. No token: ValueError."""
+    held: dict[str, str] = {}
+
+    def page_of(page: int) -> list[dict]:
+        if "token" not in held:
+            found = re.search(pattern, home())
+            if found is None:
+                raise ValueError("the listing page has no token")
+            held["token"] = found[1]
+        try:
+            return fetch(held["token"], page)
+        except Exception:
+            held.clear()
+            raise
+
+    return page_of
+
+
 class ListingReader(DataSourceReader):
+    """Pages to the end, or up to the option ``pages``."""
+
     def __init__(self, options: dict[str, str], fetch: Callable[[int], list[dict]]) -> None:
-        self.pages, self.per_task, self.fetch = int(options.get("pages", "1")), int(options.get("pagesPerTask", "10")), fetch
+        self.pages, self.per_task, self.fetch = options.get("pages"), int(options.get("pagesPerTask", "10")), fetch
 
     def partitions(self) -> list[_Pages]:
-        return [_Pages(p, min(p + self.per_task, self.pages)) for p in range(0, self.pages, self.per_task)]
+        pages = count_pages(self.fetch) if self.pages is None else int(self.pages)
+        return [_Pages(p, min(p + self.per_task, pages)) for p in range(0, pages, self.per_task)]
 
     def read(self, partition: _Pages) -> Iterator[tuple]:
-        first = lambda doc, name: (doc.get(name) or [None])[0]
-        names = ("b_id", "b_bid_number", "b_id_parent", "b_bid_number_parent", "final_end_date_sort", "b_is_inactive")
         for page in range(partition.first, partition.last):
             docs = with_retry(self.fetch, page)
-            for i, doc in enumerate(docs):
-                yield (page, i, *(first(doc, n) for n in names))
+            yield from rows_of(page, docs)
             if not docs:
                 return
 
 
+def rows_of(page: int, docs: list[dict]) -> Iterator[tuple]:
+    """A page's entries as rows of SCHEMA: the first element of each array."""
+    names = ("b_id", "b_bid_number", "b_id_parent", "b_bid_number_parent", "final_end_date_sort", "b_is_inactive")
+    for i, doc in enumerate(docs):
+        yield (page, i, *((doc.get(n) or [None])[0] for n in names))
+
+
+def lookup_bids(numbers: DataFrame, lookup: Callable[[str], list[dict]], tasks: int = 5) -> DataFrame:
+    """Listing rows of numbers(bid_number), each asked for once; lookup(number) gives the entries found, of which those with that very number stay. At most ``tasks`` requests run at once."""
+    names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [row for number in batch["bid_number"] for row in rows_of(0, with_retry(lambda _, n=number: lookup(n), 0)) if row[names.index("b_bid_number")] == number]
+            yield pd.DataFrame(found, columns=names, dtype=object)
+
+    return numbers.where("bid_number is not null").select("bid_number").distinct().repartition(tasks).mapInPandas(ask, SCHEMA)
+
+
 def listing_source(fetch: Callable[[int], list[dict]], name: str = "listing") -> type[DataSource]:
-    """A data source class to register; fetch(page) gives the page's entries and must be picklable. Options: pages, pagesPerTask."""
+    """A data source class to register; fetch(page) gives the page's entries and must be picklable. Options: pages (all without), pagesPerTask."""
 
     class Listing(DataSource):
         @classmethod
@@ -91,3 +144,10 @@ def until_known(found: DataFrame, known: DataFrame, pages: int = KNOWN_PAGES) ->
     run = F.sum(F.col("all_known").cast("int")).over(Window.orderBy("page").rowsBetween(-(pages - 1), 0))
     stop = per_page.withColumn("run", run).where(F.col("run") == pages).agg(F.min("page").alias("stop"))
     return found.crossJoin(F.broadcast(stop)).where("stop is null or page <= stop").drop("stop")
+
+
+def to_download(found: DataFrame, known: DataFrame, cap: int | None = None) -> DataFrame:
+    """(bid_id, bid_number, page, position) of candidates that aren't known, each id once at its first place; the first ``cap`` in listing order if a cap is set (0: none)."""
+    first = found.groupBy("bid_id").agg(F.min(F.struct("page", "position", "bid_number")).alias("x")).select("bid_id", "x.bid_number", "x.page", "x.position")
+    new = first.join(known.select("bid_id").distinct(), "bid_id", "left_anti")
+    return new.orderBy("page", "position").limit(cap) if cap else new

@@ -1,4 +1,4 @@
-"""Versioned snapshots with an atomic pointer, CSV export, and a run lock; all through Hadoop file systems."""
+"""Versioned snapshots with numbered pointers, CSV export, and a run lock; all through Hadoop file systems."""
 
 from __future__ import annotations
 
@@ -19,23 +19,32 @@ class Store:
         self._path = lambda p: path(f"{self.base}/{p}")
         self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _numbers(self, name: str) -> list[int]:
+        """The numbers of a value's files, oldest first."""
+        found = self._fs.globStatus(self._path(f"{name}.*")) or []
+        ends = (status.getPath().getName().rsplit(".", 1)[1] for status in found)
+        return sorted(int(end) for end in ends if end.isdigit())
+
     def _read(self, name: str) -> dict:
-        if not self._fs.exists(self._path(name)):
+        numbers = self._numbers(name)
+        if not numbers:
             return {}
         try:
-            return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.base}/{name}").collect()))
+            return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.base}/{name}.{numbers[-1]:08d}").collect()))
         except ValueError:
             return {}
 
     def _write(self, name: str, value: dict) -> None:
-        """Temporary file, then rename over the old one."""
-        part = self._path(f"{name}.{uuid.uuid4().hex}")
+        """A new file with the next number, complete before it has its name. Readers take the highest number, so at every moment they find the old value or the new one."""
+        numbers = self._numbers(name)
+        part = self._path(f"_{name}.{uuid.uuid4().hex}")
         out = self._fs.create(part, True)
         out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         out.close()
-        self._fs.delete(self._path(name), False)
-        if not self._fs.rename(part, self._path(name)):
-            raise OSError(f"{name} can't be replaced")
+        if not self._fs.rename(part, self._path(f"{name}.{(numbers[-1] if numbers else 0) + 1:08d}")):
+            raise OSError(f"{name} was replaced by another writer")
+        for old in numbers[:-1]:  # the one before stays for readers that have just looked
+            self._fs.delete(self._path(f"{name}.{old:08d}"), False)
 
     def state(self, name: str = "state") -> dict:
         """A small JSON state; unreadable or missing: empty."""
@@ -57,6 +66,11 @@ class Store:
         self._write(f"{table}.current.json", {"version": version})
         return version
 
+    def drop(self, table: str) -> None:
+        """Reset: readers find no version from here on; the version folders go."""
+        self._write(f"{table}.current.json", {})
+        self._fs.delete(self._path(table), True)
+
     @contextmanager
     def lock(self, name: str = "run"):
         """Held by creating a file that must not exist; a stale one says so by its age."""

@@ -132,3 +132,109 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame([(f"a/{n}.pdf", f"GEM/2024/B/{n}\nItem Category\nDesk\n")], "path string, text string").write.mode("append").json(str(folder))
         ingest.ingest(spark, str(folder), s, str(tmp_path / "cp"))
     assert {r.bid_id for r in s.read("chunks").collect()} == {"GEM/2024/B/1", "GEM/2024/B/2"}
+
+
+def test_maintenance_keeps_what_cannot_be_read(spark, tmp_path):
+    doc = "Bid Number: GEM/2024/B/{0}\nItem Category\nDesk {0}\nGeMARPTS\n"
+    docs = lambda **k: spark.createDataFrame([(f"a/{i[1:]}.pdf", doc.format(i[1:]) if good else None) for i, good in k.items()], "path string, text string")
+    embed = lambda rows: rows.selectExpr("chunk_id", "array(1.0D) as embedding")
+    s = store.Store(spark, f"file://{tmp_path}/k")
+    assert maintenance.expire(s, spark.createDataFrame([], "bid_id string"))["expired_bids"] == 0
+    first = maintenance.run(s, docs(b1=True, b2=True, b3=True), datetime(2024, 1, 1), embed=embed)
+    assert (first["upserts"], first["unreadable"], s.read("vectors").count()) == (6, 0, 6)
+    second = maintenance.run(s, docs(b1=True, b2=False), datetime(2024, 1, 2), embed=embed)
+    assert (second["upserts"], second["deletes"], second["unreadable"]) == (0, 2, 1)
+    assert {r.bid_id[-1] for r in s.read("chunks").collect()} == {"1", "2"}
+    assert {r.chunk_id for r in s.read("vectors").collect()} == {r.chunk_id for r in s.read("chunks").collect()}
+    assert {(r.chunk_id.split("::")[0][-1], r.op) for r in s.read("sync_delta").collect()} == {("3", "delete")}
+    active = spark.createDataFrame([("GEM/2024/B/1",)], "bid_id string")
+    dry = maintenance.expire(s, active)
+    assert (dry["expired_bids"], dry["expired_chunks"], dry["applied"]) == (1, 2, False) and s.read("chunks").count() == 4
+    assert [tuple(r) for r in s.read("expired_bids").collect()] == [("GEM/2024/B/2", 2)]
+    assert maintenance.expire(s, active, apply=True)["applied"]
+    assert s.read("chunks").count() == s.read("vectors").count() == 2
+
+
+def test_command_lines(spark, tmp_path):
+    import json
+
+    from lakeseek.__main__ import main
+
+    docs = [(f"a/{i}.pdf", f"Bid Number: GEM/2024/B/{i}\nItem Category\nDesk {i}\nGeMARPTS\n") for i in (1, 2)]
+    spark.createDataFrame(docs, "path string, text string").write.parquet(str(tmp_path / "docs"))
+    spark.createDataFrame([("GEM/2024/B/1",)], "bid_id string").write.parquet(str(tmp_path / "live"))
+    base = ["--store", f"file://{tmp_path}/s"]
+    with pytest.raises(SystemExit):
+        main(["search", *base, "desk"])
+    assert json.loads(main(["maintain", *base, "--documents", str(tmp_path / "docs")])[0])["upserts"] == 4
+    found = [json.loads(x) for x in main(["search", *base, "GEM/2024/B/2"])]
+    assert {r["bid_id"] for r in found[:2]} == {"GEM/2024/B/2"} and set(found[0]) >= {"chunk_id", "chunk_type", "score", "text"}
+    assert json.loads(main(["expire", *base, "--active", str(tmp_path / "live")])[0])["applied"] is False
+    assert json.loads(main(["expire", *base, "--active", str(tmp_path / "live"), "--apply"])[0])["expired_chunks"] == 2
+
+
+def test_listing_to_the_end_and_by_number(spark):
+    asked = []
+    assert [listing.count_pages(lambda p, n=n: [{}] if p < n else []) for n in (0, 1, 2, 3, 17)] == [0, 1, 2, 3, 17]
+    spark.dataSource.register(listing.listing_source(pages, "all_listing"))
+    assert spark.read.format("all_listing").load().count() == 6
+    numbers = spark.createDataFrame([("GEM/2024/B/77",), ("GEM/2024/B/77",), ("none",), (None,)], "bid_number string")
+    entries = lambda n: [] if n == "none" else [{"b_id": [7], "b_bid_number": [n], "b_is_inactive": [0]}, {"b_id": [8], "b_bid_number": ["other"]}]
+    assert [(r.b_id, r.b_is_inactive, r.b_id_parent) for r in listing.lookup_bids(numbers, entries).collect()] == [(7, 0, None)]
+    fetch = listing.with_token(lambda: "x token='abc'", r"token='(\w+)'", lambda token, page: asked.append((token, page)) or [])
+    assert fetch(3) == [] and asked == [("abc", 3)]
+    with pytest.raises(ValueError):
+        listing.with_token(lambda: "nothing", r"token='(\w+)'", lambda *_: [])(0)
+
+
+def give(bid: int):
+    if bid == 3:
+        raise OSError("gone")
+    return f'attachment; filename="doc {bid}.pdf"', "application/pdf", b"" if bid == 2 else b"%PDF"
+
+
+def test_downloads_and_clean_up(spark, tmp_path):
+    folder = tmp_path / "bids"
+    got = files.download(spark.createDataFrame([(1,), (2,), (3,), (1,)], "bid_id long"), give, str(folder), "2024-01-01").cache()
+    rows = {r.bid_id: r for r in got.collect()}
+    assert rows[1].pdf_path == "2024-01-01/bid_1_doc 1.pdf" and rows[2].error == "empty" and "gone" in rows[3].error
+    assert tuple(files.download_counts(got).first()) == (3, 1, 2, 4)
+    assert [p.name for p in folder.rglob("*.pdf")] == ["bid_1_doc 1.pdf"]
+    (folder / "empty.pdf").write_bytes(b"")
+    (folder / "2024-01-01" / "empty.pdf").write_bytes(b"")
+    assert files.remove_empty(spark, str(folder)) == ["empty.pdf"]
+    names = ["2024-01-01/bid_1_doc 1.pdf", "../x.pdf", "missing.pdf", "2024-01-01/bid_1_doc 1.pdf"]
+    assert len(files.archive_files(spark, str(folder), str(tmp_path / "old"), names, 9)) == 1
+    (folder / "2024-01-01" / "bid_1_doc 1.pdf").write_bytes(b"again")
+    assert files.archive_files(spark, str(folder), str(tmp_path / "old"), names, 9)[0].endswith("bid_1_doc 1_9.pdf")
+    assert files.missing_paths(spark, str(folder), str(tmp_path / "nowhere")) == [str(tmp_path / "nowhere")]
+    (tmp_path / "l.json").write_text('{"count": 1, "bids": [{"bid_id": "a", "chunks": [1]}, {"bid_id": "b", "chunks": []}]}')
+    assert {r.bid_id for r in files.legacy_bids(spark, str(tmp_path / "l.json")).collect()} == {"a", "b"}
+    (tmp_path / "m.json").write_text('{"bids": [1, 2]}')
+    with pytest.raises(ValueError):
+        files.legacy_bids(spark, str(tmp_path / "m.json"))
+
+
+def test_store_reset(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/r")
+    for n in range(4):
+        s.publish("t", spark.range(n))
+    assert s.read("t").count() == 3
+    s.drop("t")
+    assert s.read("t") is None
+    s.publish("t", spark.range(7))
+    assert s.read("t").count() == 7
+
+
+def test_index_updates(spark):
+    from lakeseek.operators.lexical import LexicalIndex
+
+    rows = [(i, f"title {i % 3}", f"some text {i} word{i % 4}") for i in range(12)]
+    table = lambda some: spark.createDataFrame(some, "chunk_id long, title string, text string")
+    new = [(3, "other", "text of three"), (20, "title", "more")]
+    whole = LexicalIndex.build(table([r for r in rows if r[0] != 3] + new))
+    grown = LexicalIndex.build(table(rows)).add(table(new))
+    assert sorted(map(str, grown.postings.collect())) == sorted(map(str, whole.postings.collect()))
+    assert grown.stats.first() == whole.stats.first()
+    less = grown.remove(table(new).select("chunk_id"))
+    assert less.stats.first().n == 11 and less.postings.where("chunk_id = 20").isEmpty()
