@@ -63,8 +63,8 @@ from lakeseek.llm.kernels import U64, gram_hashes, mix, text_slices
 SHINGLE, PERCENT = 5, 80
 #: Documents of a cell joined in memory; virtual pivots; one document in SAMPLE is used to order shingles; an order has at most FREQUENT of them in front of its end.
 REGION, SKETCH, SAMPLE, FREQUENT, OFTEN = 1024, 256, 64, 200_000, 4
-#: Virtual pivots of proposed pairs; documents of a cell from which on it proposes a forest; partners that a document proposes first.
-FINE, FOREST, FIRST = 1024, 64, 32
+#: Virtual pivots of proposed pairs; pairs up to which they are left out; documents of a cell from which on it proposes a forest; partners that a document proposes first.
+FINE, FEW, FOREST, FIRST = 1024, 20_000, 64, 32
 #: Pivots drawn from a large region; copies of a region's rows up to which its Voronoi cells are used; the part of its parent up to which a cell counts as smaller; salts of its rows.
 PIVOTS, WINDOWS, SMALLER, SALTS = 16, 2.0, 0.7, 16
 
@@ -397,8 +397,9 @@ def _blocks(rows: DataFrame, limit: int) -> DataFrame:
     return marked.withColumn("cell", F.explode(F.when(bulk, others).otherwise(F.concat(mixed, inner)))).drop("bulk", "x", "y")
 
 
-def _cells(rows: DataFrame, percent: int, limit: int) -> DataFrame:
-    """Rows (of _MEMBER) of large regions in cells of at most about ``limit`` rows in which every possible link between different components is met."""
+def _cells(rows: DataFrame, percent: int, limit: int, pivots: bool) -> tuple[DataFrame, bool]:
+    """Rows (of _MEMBER) of large regions in cells of at most about ``limit`` rows in which every possible link between different components is met, and whether pivots have parted any.
+    Without pivots, where those have parted nothing before, all are cut into blocks."""
     todo = stash(rows.select(*_NAMES, F.lit(None).cast("long").alias("parent"), F.lit(True).alias("home")), "cells")
     out = []
     while True:
@@ -410,6 +411,9 @@ def _cells(rows: DataFrame, percent: int, limit: int) -> DataFrame:
         large = groups.where(F.col("n") > limit)
         if large.isEmpty():
             break
+        if not pivots:
+            out.append(_blocks(todo.join(small(large.select(*_KEY), large.count()), _KEY, "left_semi").select(*_NAMES), limit))
+            break
         fresh = large.where(F.col("parent").isNull() | (F.col("n") <= F.col("parent") * SMALLER))
         tried = _behind_pivots(todo, fresh, limit).mapInArrow(_voronoi(percent, "count"), "region long, cell long, rows long, copies long")
         tried = tried.groupBy(*_KEY).agg(F.sum("rows").alias("n"), F.sum("copies").alias("copies"))
@@ -417,12 +421,13 @@ def _cells(rows: DataFrame, percent: int, limit: int) -> DataFrame:
         rest = large.join(good, _KEY, "left_anti").select(*_KEY)
         out.append(_blocks(todo.join(small(rest, rest.count()), _KEY, "left_semi").select(*_NAMES), limit))
         if good.isEmpty():
+            pivots = len(out) > 2
             break
         todo = stash(_behind_pivots(todo, good, limit).mapInArrow(_voronoi(percent, "split"), _MEMBER + ", parent long, home boolean"), "cells")
     found = out[0]
     for more in out[1:]:
         found = found.unionByName(more)
-    return found
+    return found, pivots
 
 
 def _pack_sets(k: int, fine: bool):
@@ -479,6 +484,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, k: int, perc
     """pairs(a, b) of nodes(node, doc_id, text_key, size) with good: whether they are near."""
     x, y = (nodes.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}")) for end in ("a", "b"))
     sized = stash(pairs.join(x, "a").join(y, "b").select("a", "b", (F.col("size_a") + F.col("size_b")).alias("both")), "sized")
+    if sized.count() <= FEW:
+        # Whole sets of few documents are as cheap as their bucket counts.
+        exact = _compared(sized, texts, nodes, k, percent, False)
+        discard(sized)
+        return exact
     possible = _compared(sized, texts, nodes, k, percent, True)
     left = stash(sized.join(possible.where("good"), ["a", "b"], "left_semi"), "possible")
     exact = _compared(left, texts, nodes, k, percent, False)
@@ -519,7 +529,7 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, region: int) -> Data
     outlines = reps.select("node", "size", "sketch")
     shared = stash(_shared_ids(usable.select("doc_id", "print").join(classes.select("print", "rep"), "print")), "shared-ids")
     comps = None if shared.isEmpty() else connected_components(shared)
-    tried, turn = None, 0
+    tried, turn, pivots = None, 0, True
     while not active.isEmpty():
         members = active.join(outlines.hint("shuffle_hash"), "node").withColumn("cell", F.lit(0).cast("long"))
         members = members.withColumn("comp", F.col("node")) if comps is None else members.join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("component", "node"))
@@ -534,7 +544,8 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, region: int) -> Data
         n_large = large.count()
         inside = members.join(small(large.select("region"), n_large), "region", "left_anti") if n_large else members
         if n_large and turn:
-            inside = inside.unionByName(_cells(members.join(small(large.select("region"), n_large), "region", "left_semi"), percent, region))
+            cells, pivots = _cells(members.join(small(large.select("region"), n_large), "region", "left_semi"), percent, region, pivots)
+            inside = inside.unionByName(cells)
         found = inside.repartition(*_KEY).sortWithinPartitions(*_KEY, "doc_id").mapInArrow(_join_cells(percent, max(0, turn - 1)), "region long, a long, b long")
         if n_large and not turn:
             found = found.unionByName(_behind_pivots(members, large, region).mapInArrow(_voronoi(percent, "star"), "region long, a long, b long"))
