@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeseek.llm import chat_format, decontaminate, embedding_neardup, language_id, line_dedup, mixing, ngram_join, substring_dedup, token_counts, warc
+from lakeseek.llm import centroids, chat_format, decontaminate, divergence, embedding_neardup, html_text, language_id, line_dedup, mixing, ngram_join, substring_dedup, token_counts, warc
 from lakeseek.llm.common import table
 
 
@@ -81,6 +81,21 @@ def op4_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"op4_embedding_neardup": op4_embedding_neardup}
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES |= {"op11_source_divergence": op11_source_divergence, "op12_centroids": op12_centroids, "op13_html_text": op13_html_text}
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
