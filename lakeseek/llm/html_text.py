@@ -9,7 +9,7 @@ Weights come from labelled pages: those that mark their article with an article
 all labelled pages are counted by class, inside and outside of the article; a weight is
 the logarithm of the ratio of the two shares, held above zero for words and below for tags. A class
 says what tag it is and what stands beside it, or in which block words stand and whether in a
-link. Classes are made of known tag names only, so the counts that come to the driver
+link, and whether this is in page furniture (see below); links that no labelled page has outside of furniture weigh as those inside. Classes are made of known tag names only, so the counts that come to the driver
 are bounded; counting and extraction are two scans, and pages never move. Weights are integers, so that
 sums are exact. Pages without an article element are read by the same weights.
 
@@ -75,6 +75,7 @@ class Item(NamedTuple):
     """A run of text (with its number of words) or a tag; block: number of the block that it stands in."""
 
     kind: str
+    is_text: bool
     text: str | None
     words: int
     block: int
@@ -150,7 +151,8 @@ def items(page: str) -> list[Item]:
         if m["text"] is not None:
             text = html.unescape(m["text"])
             words = len(text.split())
-            out.append(Item(f"w {where}{' a' if link > 0 else ''}", text, words, block, marks[0][at], marks[1][at]))
+            own = "~" if marks[0][at] else ""
+            out.append(Item(f"{own}w {where}{' a' if link > 0 else ''}", True, text, words, block, marks[0][at], marks[1][at]))
         elif m["name"]:
             name = m["name"].lower()
             near = (beside[seen - 2] if seen > 1 else "") if m["end"] else (beside[seen] if seen < len(beside) else "")
@@ -159,10 +161,18 @@ def items(page: str) -> list[Item]:
                 where = ("/" if m["end"] else "") + _known(name)
             elif name == "a":
                 link = 0 if m["end"] else 1
-            out.append(Item(f"{plain[at]} {near}", " " if name == "br" else None, 0, block, marks[0][at], marks[1][at] and name != "article"))
+            out.append(Item(f"{'~' if marks[0][at] else ''}{plain[at]} {near}", False, " " if name == "br" else None, 0, block, marks[0][at], marks[1][at] and name != "article"))
     return out
 
 
+def weight(kind: str, weights: dict[str, int]) -> int:
+    """The weight of a class, of the same in furniture for links that have none, else the default."""
+    if kind in weights:
+        return weights[kind]
+    default = NEW_WORD if kind.startswith("w ") else -NEW_TAG
+    return weights.get("~" + kind, default) if {"a", "/a"} & set(kind.split()) else default
+
+
 def _known(name: str) -> str:
     return name if name in BLOCKS or name in INLINE else "other"
 
@@ -172,9 +182,10 @@ def region(page: list[Item], weights: dict[str, int]) -> tuple[int, int]:
     best, found, total, start = 0, (0, -1), 0, 0
     for at, item in enumerate(page):
         if item.words:
-            total += 0 if item.furniture else item.words * weights.get(item.kind, NEW_WORD)
-        elif item.text is None or item.text == " ":
-            total += weights.get(item.kind, -NEW_TAG) if item.kind[0] != "w" else 0
+            total += 0 if item.furniture else item.words * weight(item.kind, weights)
+        elif not item.is_text:
+            # Furniture is one item, whatever it is made of: it isn't text, but it doesn't part the text around it either.
+            total += weight(item.kind, weights) if not item.furniture else -UNIT if at == 0 or not page[at - 1].furniture else 0
         if total <= 0:
             total, start = 0, at + 1
         elif total > best:
@@ -206,7 +217,7 @@ def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 read = items(text)
                 if any(i.article for i in read):
                     for i in read:
-                        if i.words or i.kind[0] != "w":
+                        if i.words or not i.is_text:
                             (inside if i.article and not i.furniture else outside)[i.kind] += max(i.words, 1)
     kinds = sorted(inside | outside)
     yield pa.record_batch([pa.array(kinds, pa.string()), *(pa.array([c[k] for k in kinds], pa.int64()) for c in (inside, outside))], ["kind", "inside", "outside"])
@@ -220,7 +231,7 @@ def fit(pages: DataFrame) -> dict[str, int]:
     weights = {}
     for r in rows:
         w = round(UNIT * (log((r.inside + 1) / all_in) - log((r.outside + 1) / all_out)))
-        weights[r.kind] = min(max(w, LEAST), MOST_WORD) if r.kind[0:2] == "w " else max(min(w, -LEAST), -MOST_TAG)
+        weights[r.kind] = min(max(w, LEAST), MOST_WORD) if r.kind.lstrip("~").startswith("w ") else max(min(w, -LEAST), -MOST_TAG)
     return weights
 
 
