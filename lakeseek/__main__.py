@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 
 from lakeseek.functions.dates import india_date
 from lakeseek.operators import lexical, present
-from lakeseek.operators.lexical import LexicalIndex
 from lakeseek.plans import maintenance
 from lakeseek.session import session
-from lakeseek.sources.files import missing_paths
 from lakeseek.sources.store import Store
 
 
@@ -43,11 +41,10 @@ def main(words: list[str] | None = None) -> list[str]:
     spark = session(a.master)
     store = Store(spark, a.store)
     if a.command == "search":
-        version = store.state("index").get("version")
-        if version is None or missing_paths(spark, f"{store.base}/index/{version}/state"):
+        if not maintenance.index(store).state()["segments"]:
             raise SystemExit("the store has no index; run maintain first")
         chunks = store.read("chunks")
-        found = lexical.search(LexicalIndex.load(spark, f"{store.base}/index/{version}"), chunks.withColumn("title", F.lit("")), a.query, a.limit, id_column="bid_id")
+        found = lexical.search(maintenance.index(store).load(), chunks.withColumn("title", F.lit("")), a.query, a.limit, id_column="bid_id")
         shown = present.result_format(found.withColumn("score", -F.col("score")))
         lines = [r[0] for r in shown.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
     elif a.command == "maintain":

@@ -2,13 +2,16 @@
 
 A finder looks at the lines that follow a label.  Unless it says otherwise all
 lines with the label are tried in order and the first hit counts.  All take the
-column of lines (an array of strings that some earlier select made).  Each is one
-regular expression over the joined lines, so a text is read once a finder, by the
-JVM's matcher, and never line by line.
+column of lines (an array of strings that some earlier select made; joined() spares
+joining them anew for each finder).  A finder looks for its label by a plain search for
+bytes first; only texts that have it are read by a regular expression, and only from
+the label on.  So a text is never read line by line, and most finders end at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +39,17 @@ def document(lines: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
+def joined(lines: Column) -> Column:
+    """The lines as one element: for finders the same, and joined once."""
+    return F.array(document(lines))
+
+
+def _from(lines: Column, label: str) -> Column:
+    """The document from the label's first place on; null without the label."""
+    text = document(lines)
+    return F.when(F.contains(text, F.lit(label)), F.substr(text, F.instr(text, label)))
+
+
 def _any_of(words: tuple[str, ...]) -> str:
     return "|".join(rf"\Q{w}\E" for w in words)
 
@@ -47,7 +61,12 @@ def _not_with(words: tuple[str, ...]) -> str:
 
 def _after(lines: Column, label: str, k: int, hit: str, group: int = 1) -> Column:
     """A group of the hit, a pattern from the start of a line, in the first of the k lines after any line with the label."""
-    return found(document(lines), rf"\Q{label}\E[^\n]*\n(?:[^\n]*\n){{0,{k - 1}}}?{hit}", group)
+    return found(_from(lines, label), rf"\Q{label}\E[^\n]*\n(?:[^\n]*\n){{0,{k - 1}}}?{hit}", group)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once however often body uses it. (Shared parts of conditional expressions aren't found by the compiler.)"""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _whole(marked: Column) -> Column:
@@ -70,10 +89,10 @@ def quantity(lines: Column) -> Column:
 
 def category(lines: Column) -> Column:
     """Of the first label only: the lines up to a stop word, nine at most, joined; empty text if there are none."""
-    text = document(lines)
+    text = _from(lines, CATEGORY)
     block = F.regexp_extract(text, rf"\Q{CATEGORY}\E[^\n]*\n((?:{_not_with(CATEGORY_STOPS)}[^\n]*(?:\n|\z)){{0,9}})", 1)
     kept = F.filter(F.split(block, "\n"), lambda x: x != "")
-    return F.when(F.contains(text, F.lit(CATEGORY)), F.array_join(kept, " , "))
+    return F.array_join(kept, " , ")
 
 
 #: A line's first run of digits, dots and commas that is a number once its commas are gone.
@@ -104,11 +123,12 @@ def preference(lines: Column, label: str) -> Column:
     return F.coalesce(F.contains(F.lower(_after(lines, label, 3, r"([^\n]*(?i:yes|no)[^\n]*)")), F.lit("yes")), F.lit(False))
 
 
-def _section(lines: Column, label: str, k: int) -> tuple[Column, Column]:
-    """Of the first label: whether 'no' follows a Required line among the next four, and the k + 1 lines after it, each behind a line feed."""
-    block = F.regexp_extract(document(lines), rf"\Q{label}\E[^\n]*((?:\n[^\n]*){{0,{k + 1}}})", 1)
-    refused = block.rlike(r"\A(?:\n[^\n]*){0,3}\n[^\n]*Required[^\n]*\n(?i:no)(?:\n|\z)")
-    return F.coalesce(refused, F.lit(False)), block
+def _section(lines: Column, label: str, k: int, body: Callable[[Column, Column], Column]) -> Column:
+    """body of two columns: whether, in the first section with the label, 'no' follows a Required line among the next four; and the k + 1 lines after the label, each behind a line feed."""
+    block = F.regexp_extract(F.coalesce(_from(lines, label), F.lit("")), rf"\Q{label}\E[^\n]*((?:\n[^\n]*){{0,{k + 1}}})", 1)
+    refusal = r"\A(?:\n[^\n]*){0,3}\n[^\n]*Required[^\n]*\n(?i:no)(?:\n|\z)"
+    both = _let(block, lambda b: F.struct(b.alias("block"), F.coalesce(b.rlike(refusal), F.lit(False)).alias("refused")))
+    return _let(both, lambda x: body(x["refused"], x["block"]))
 
 
 def _last(block: Column, k: int, word: str, hit: str, unless: tuple[str, ...] = ()) -> Column:
@@ -121,18 +141,24 @@ _DIGITS, _LINE = r"\n[^\n]*?(\d[\d,]*)", r"(\n[^\n]*)"
 
 def emd(lines: Column) -> Column:
     """struct(amount, bank) of the first EMD Detail section; nulls if it isn't required."""
-    refused, block = _section(lines, "EMD Detail", 9)
-    amount = _plain(_last(block, 9, "EMD Amount", _DIGITS, ("Advisory Bank",))).try_cast("double")
-    return F.struct(F.when(~refused, amount).alias("amount"), F.when(~refused, _whole(_last(block, 9, "Advisory Bank", _LINE))).alias("bank"))
+
+    def read(refused: Column, block: Column) -> Column:
+        amount = _plain(_last(block, 9, "EMD Amount", _DIGITS, ("Advisory Bank",))).try_cast("double")
+        return F.struct(F.when(~refused, amount).alias("amount"), F.when(~refused, _whole(_last(block, 9, "Advisory Bank", _LINE))).alias("bank"))
+
+    return _section(lines, "EMD Detail", 9, read)
 
 
 def epbg(lines: Column) -> Column:
     """struct(required, percent, months, bank) of the first ePBG Detail section; required also without one."""
-    refused, block = _section(lines, "ePBG Detail", 11)
-    percent = _plain(_last(block, 11, "ePBG Percentage", rf"\n[^\d.\n]*{_NUMBER}", ("Advisory Bank",))).try_cast("double")
-    months = _plain(_last(block, 11, "Duration of ePBG", _DIGITS, ("Advisory Bank", "ePBG Percentage"))).try_cast("long")
-    bank = _whole(_last(block, 11, "Advisory Bank", _LINE))
-    return F.struct((~refused).alias("required"), *[F.when(~refused, c).alias(n) for c, n in ((percent, "percent"), (months, "months"), (bank, "bank"))])
+
+    def read(refused: Column, block: Column) -> Column:
+        percent = _plain(_last(block, 11, "ePBG Percentage", rf"\n[^\d.\n]*{_NUMBER}", ("Advisory Bank",))).try_cast("double")
+        months = _plain(_last(block, 11, "Duration of ePBG", _DIGITS, ("Advisory Bank", "ePBG Percentage"))).try_cast("long")
+        bank = _whole(_last(block, 11, "Advisory Bank", _LINE))
+        return F.struct((~refused).alias("required"), *[F.when(~refused, c).alias(n) for c, n in ((percent, "percent"), (months, "months"), (bank, "bank"))])
+
+    return _section(lines, "ePBG Detail", 11, read)
 
 
 def local_content(text: Column) -> Column:
@@ -142,8 +168,16 @@ def local_content(text: Column) -> Column:
 
 
 def after_last(lines: Column, label: str, unless: tuple[str, ...] = ()) -> Column:
-    """The line after the last line with the label; lines with a label of unless don't count."""
-    return _whole(F.regexp_extract(document(lines), rf"\A(?:(?s:.*)\n)?{_not_with(unless)}[^\n]*\Q{label}\E[^\n]*(?:(\n[^\n]*)|\z)", 1))
+    """The line after the last line with the label; lines with a label of unless don't count. Needs the lines themselves, not joined()."""
+
+    def has(line: Column) -> Column:
+        out = F.contains(line, F.lit(label))
+        for other in unless:
+            out = out & ~F.contains(line, F.lit(other))
+        return out
+
+    places = F.filter(F.transform(lines, lambda line, i: F.when(has(line), i)), lambda i: i.isNotNull())
+    return F.get(lines, F.array_max(places) + 1)
 
 
 def bid_id(text: Column, path: Column) -> Column:
@@ -152,7 +186,7 @@ def bid_id(text: Column, path: Column) -> Column:
 
 
 def published_date(text: Column) -> Column:
-    return parse_date(found(text, r"(?i)Dated:\s*(\d{2}-\d{2}-\d{4})"))
+    return _let(found(text, r"(?i)Dated:\s*(\d{2}-\d{2}-\d{4})"), parse_date)
 
 
 def link(bid: Column, internal_id: Column, path: Column, base: str) -> Column:

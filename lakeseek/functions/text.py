@@ -15,6 +15,7 @@ GENERIC_TERMS = frozenset(
 )
 #: White space as Unicode has it: fixed values.
 _BLANKS = " \t\n\x0b\f\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: How documents write a bid's number: fixed value.
 BID_ID = r"GEM/\d{4}/[BR]/\d+"
 
 
@@ -32,9 +33,14 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def trimmed(text: Column) -> Column:
+    """strip() without a regular expression."""
+    return F.btrim(text, F.lit(_BLANKS))
+
+
 def lines(text: Column) -> Column:
     """Stripped lines."""
-    return F.transform(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(_BLANKS)))
+    return F.transform(F.split(text, "\n"), trimmed)
 
 
 def fold(text: Column) -> Column:

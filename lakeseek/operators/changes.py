@@ -20,6 +20,27 @@ def classify(previous: DataFrame, current: DataFrame, key: str, hash_column: str
     return a.join(b, key, "full_outer").select(key, change.alias("change"))
 
 
+def file_changes(known: DataFrame, listed: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
+    """(path, change) of known(path, document_hash, length, modified) against listed(path, length, modified): new, unchanged, removed, or changed.
+
+    A known file of other length or time is ``suspect`` until hashes(path, document_hash) says whether its bytes changed, so contents
+    are needed for suspects only, and a file that was merely touched is unchanged.
+    """
+    a = known.select("path", F.col("document_hash").alias("_old"), F.col("length").alias("_length"), F.col("modified").alias("_modified"), F.lit(True).alias("_had"))
+    b = listed.select("path", "length", "modified", F.lit(True).alias("_has"))
+    both = a.join(b, "path", "full_outer")
+    both = both.withColumn("_new", F.lit(None).cast("string")) if hashes is None else both.join(hashes.select("path", F.col("document_hash").alias("_new")), "path", "left")
+    same = F.col("_length").eqNullSafe(F.col("length")) & F.col("_modified").eqNullSafe(F.col("modified")) & F.col("_new").isNull()
+    change = (
+        F.when(F.col("_has").isNull(), "removed")
+        .when(F.col("_had").isNull(), "new")
+        .when(same | F.col("_old").eqNullSafe(F.col("_new")), "unchanged")
+        .when(F.col("_new").isNull(), "suspect")
+        .otherwise("changed")
+    )
+    return both.select("path", change.alias("change"))
+
+
 def sync_delta(previous: DataFrame, current: DataFrame, key: str, hash_column: str) -> DataFrame:
     """(key, op): upsert or delete, each key once, from whole snapshots, so that nothing an old path left behind stays."""
     changes = classify(previous, current, key, hash_column)
@@ -72,9 +93,9 @@ def expiry_report(split: DataFrame, chunks_column: str) -> DataFrame:
 
 
 def vector_metadata(rows: DataFrame, columns: list[str]) -> Column:
-    """Metadata of a vector as a map of texts without nulls; what isn't scalar is JSON."""
+    """Metadata of a vector as a map of texts without nulls; what isn't scalar is JSON, a chunk_type that is missing is unknown."""
     scalar = ("string", "int", "bigint", "double", "float", "boolean")
     kinds = dict(rows.dtypes)
     value = lambda c: F.col(c).cast("string") if kinds[c] in scalar else F.to_json(c)
-    made = F.create_map(*[x for c in columns for x in (F.lit(c), value(c))])
+    made = F.create_map(*[x for c in columns for x in (F.lit(c), F.coalesce(value(c), F.lit("unknown")) if c == "chunk_type" else value(c))])
     return F.map_filter(made, lambda _, v: v.isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeseek.functions import fields
-from lakeseek.functions.text import lines, plain_number, strip
+from lakeseek.functions.text import lines, plain_number, trimmed
 
 #: Marks around the clauses, in order of preference, and the heading pattern: fixed values.
 CLAUSES_FROM = ("Buyer Added Bid Specific Terms and Conditions", "Buyer Added Bid Specific ATC")
@@ -21,22 +21,24 @@ def metadata(docs: DataFrame, base_url: str = "", now: Column | None = None) ->
         if name not in docs.columns:
             docs = docs.withColumn(name, F.lit(None).cast(kind))
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX") if now is None else now
-    docs = docs.withColumn("lines", lines(F.coalesce("text", F.lit("")))).withColumn("bid_id", fields.bid_id(F.col("text"), F.col("path")))
-    x = F.col("lines")
+    docs = docs.withColumn("_lines", lines(F.coalesce("text", F.lit("")))).withColumn("bid_id", fields.bid_id(F.col("text"), F.col("path")))
     # Used more than once each, so made in a step before.
+    x = F.col("_lines")
     docs = docs.select(
         "*",
+        fields.joined(x).alias("lines"),
+        fields.after_last(x, fields.MINISTRY).alias("_ministry"),
         fields.after_last(x, fields.ORGANISATION, (fields.MINISTRY, fields.DEPARTMENT)).alias("_organisation"),
         fields.after_last(x, fields.DEPARTMENT, (fields.MINISTRY,)).alias("_department"),
     )
-    organisation, department = F.col("_organisation"), F.col("_department")
+    organisation, department, x = F.col("_organisation"), F.col("_department"), F.col("lines")
     return docs.select(
         "bid_id",
         F.lit("GeM").alias("portal"),
         F.coalesce("download_date", now).alias("date"),
         F.coalesce("downloaded_at", "download_date", now).alias("added_at"),
         F.coalesce(F.nullif(organisation, F.lit("")), department).alias("client_organization"),
-        fields.after_last(x, fields.MINISTRY).alias("ministry"),
+        F.col("_ministry").alias("ministry"),
         organisation.alias("organisation"),
         fields.category(x).alias("bid_title"),
         fields.quantity(x).alias("quantity"),
@@ -53,24 +55,40 @@ def metadata(docs: DataFrame, base_url: str = "", now: Column | None = None) ->
     )
 
 
-def clauses(docs: DataFrame, key: str) -> DataFrame:
-    """(key, clause_no, heading, body, pos): lines after a heading belong to it, lines before the first are dropped, empty bodies too.
+def clause_arrays(docs: DataFrame) -> DataFrame:
+    """docs(text, ...) with _clauses: an array of structs (clause_no, heading, body, pos), made inside the row, so nothing is exploded, shuffled or joined.
 
-    Only the part of a text between the marks is exploded; grouping is a running
-    count of headings inside one document.
+    Lines after a heading belong to it, lines before the first are dropped, clauses with an empty body too.
     """
     text = F.col("text")
     start = F.coalesce(*[F.when(F.instr(text, m) > 0, F.instr(text, m) + len(m)) for m in CLAUSES_FROM])
-    part = F.substr(text, start, F.length(text))
-    end = F.coalesce(*[F.when(F.instr(part, m) > 0, F.instr(part, m) - 1) for m in CLAUSES_TO], F.length(part))
-    rows = docs.where(start.isNotNull()).select(key, F.posexplode(F.split(F.substr(part, F.lit(1), end), "\n")).alias("pos", "line"))
-    number = fields.found(strip(F.col("line")), HEADING, 1)
-    rows = rows.select(key, "pos", "line", number.alias("no"), strip(F.regexp_extract(strip(F.col("line")), HEADING, 2)).alias("head"))
-    group = F.sum(F.col("no").isNotNull().cast("int")).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("grp", group).where("grp > 0")
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("no").isNull(), F.struct("pos", "line")))), lambda x: x["line"]), "\n")
-    out = rows.groupBy(key, "grp").agg(F.max("no").alias("clause_no"), F.max(F.when(F.col("no").isNotNull(), F.col("head"))).alias("heading"), strip(body).alias("body"), F.min("pos").alias("pos"))
-    return out.where("body <> ''").select(key, F.col("clause_no").cast("long").alias("clause_no"), "heading", "body", "pos")
+    tail = docs.select("*", F.substr(text, start, F.length(text)).alias("_tail"))
+    end = F.coalesce(*[F.when(F.instr("_tail", m) > 0, F.instr("_tail", m) - 1) for m in CLAUSES_TO], F.length("_tail"))
+    part = tail.select("*", F.split(F.coalesce(F.substr("_tail", F.lit(1), end), F.lit("")), "\n").alias("_part")).drop("_tail")
+    # Each step is a column of its own: no lambda evaluates the one before again.
+    bare = part.select("*", F.transform("_part", trimmed).alias("_bare"))
+    heads = bare.select("*", F.filter(F.transform("_bare", lambda line, i: F.when(line.rlike(HEADING), i)), lambda i: i.isNotNull()).alias("_heads"))
+
+    def clause(at: Column, nth: Column) -> Column:
+        line, until = F.get("_bare", at), F.coalesce(F.get("_heads", nth + 1), F.size("_part"))
+        return F.struct(
+            fields.found(line, HEADING, 1).try_cast("long").alias("clause_no"),
+            trimmed(F.regexp_extract(line, HEADING, 2)).alias("heading"),
+            trimmed(F.array_join(F.slice("_part", at + 2, until - at - 1), "\n")).alias("body"),
+            at.alias("pos"),
+        )
+
+    return heads.select("*", F.filter(F.transform("_heads", clause), lambda c: c["body"] != "").alias("_clauses")).drop("_part", "_bare", "_heads")
+
+
+def clauses(docs: DataFrame, key: str) -> DataFrame:
+    """(key, clause_no, heading, body, pos), a row a clause; key is only carried along: rows with equal keys aren't mixed."""
+    return _inlined(clause_arrays(docs.select(key, "text")), "_clauses", "pos", key)
+
+
+def _inlined(rows: DataFrame, column: str, given: str, *kept: str) -> DataFrame:
+    """A row for each struct of an array. Outer, and filtered afterwards: from a plain generator the optimiser infers a filter that makes the array a second time, below."""
+    return rows.select(*kept, F.inline_outer(column)).where(F.col(given).isNotNull())
 
 
 def _sentence(condition: Column, *parts: Column | str) -> Column:
@@ -156,15 +174,16 @@ def preference_policy() -> Column:
     return F.when(some, text_).otherwise("")
 
 
-def chunks(meta: DataFrame) -> DataFrame:
-    """(chunk_id, bid_id, chunk_type, text, clause_no, position) of metadata() rows; empty chunks are left out.
+def chunk_arrays(meta: DataFrame) -> DataFrame:
+    """metadata() rows with _chunks: an array of structs (chunk_id, chunk_type, text, clause_no, position), made inside the row; empty chunks are left out.
 
     Restarting clause numbers would repeat a chunk_id: the last one in the text stays.
     """
-    meta = with_conditions(meta)
+    rows = clause_arrays(with_conditions(meta))
+    number = F.lit(None).cast("long")
     built = F.array(
         *[
-            F.struct(F.lit(CHUNK_ORDER.index(kind)).alias("position"), F.lit(kind).alias("chunk_type"), made.alias("body"))
+            F.struct(F.concat_ws("::", "bid_id", F.lit(kind)).alias("chunk_id"), F.lit(kind).alias("chunk_type"), made.alias("text"), number.alias("clause_no"), F.lit(CHUNK_ORDER.index(kind)).alias("position"))
             for kind, made in (
                 ("overview", overview(meta)),
                 ("eligibility_financial", eligibility()),
@@ -173,16 +192,31 @@ def chunks(meta: DataFrame) -> DataFrame:
             )
         ]
     )
-    whole = meta.select("bid_id", F.explode(built).alias("c")).where("c.body <> ''").select(
-        F.concat_ws("::", "bid_id", "c.chunk_type").alias("chunk_id"), "bid_id", "c.chunk_type", F.col("c.body").alias("text"), F.lit(None).cast("long").alias("clause_no"), "c.position"
-    )
-    last = F.row_number().over(Window.partitionBy("bid_id", "clause_no").orderBy(F.col("pos").desc()))
-    parts = clauses(meta, "bid_id").withColumn("rn", last).where("rn = 1").select(
-        F.concat_ws("::", "bid_id", F.lit("atc_clause"), F.col("clause_no").cast("string")).alias("chunk_id"),
-        "bid_id",
-        F.lit("atc_clause").alias("chunk_type"),
-        F.concat_ws(": ", "heading", "body").alias("text"),
-        "clause_no",
-        F.lit(CHUNK_ORDER.index("atc_clause")).alias("position"),
+    rows = rows.select("*", F.transform("_clauses", lambda c: c["clause_no"]).alias("_numbers"), built.alias("_built"))
+    last = F.filter("_clauses", lambda c, i: ~F.exists(F.slice("_numbers", i + 2, F.size("_numbers")), lambda n: n.eqNullSafe(c["clause_no"])))
+    parts = F.transform(
+        last,
+        lambda c: F.struct(
+            F.concat_ws("::", "bid_id", F.lit("atc_clause"), c["clause_no"].cast("string")).alias("chunk_id"),
+            F.lit("atc_clause").alias("chunk_type"),
+            F.concat_ws(": ", c["heading"], c["body"]).alias("text"),
+            c["clause_no"].alias("clause_no"),
+            F.lit(CHUNK_ORDER.index("atc_clause")).alias("position"),
+        ),
     )
-    return whole.unionByName(parts)
+    whole = F.filter("_built", lambda c: c["text"] != "")
+    return rows.select(*meta.columns, F.concat(whole, parts).alias("_chunks"))
+
+
+def chunks(meta: DataFrame) -> DataFrame:
+    """(chunk_id, bid_id, chunk_type, text, clause_no, position[, pdf_path]) of metadata() rows, one document's after the other; documents of one bid aren't mixed, last_documents() chooses among them."""
+    kept = [c for c in ("bid_id", "pdf_path") if c in meta.columns]
+    made = _inlined(chunk_arrays(meta), "_chunks", "position", *kept)
+    return made.select("chunk_id", "bid_id", "chunk_type", "text", "clause_no", "position", *kept[1:])
+
+
+def last_documents(meta: DataFrame) -> DataFrame:
+    """One row a bid: the document whose path comes last stays as a whole."""
+    from lakeseek.operators.changes import last_by
+
+    return last_by(meta, "bid_id", F.col("pdf_path"))

@@ -2,13 +2,22 @@
 
 Postings hold one row for each (term, chunk) with the term's places in title and
 text and the chunk's length, so a search reads only the rows of its terms and
-joins nothing.  Stored in ranges of term, their statistics prune the files.
+joins nothing.  Stored in ranges of term, their statistics prune the files.  They are
+made inside the row of a chunk: tokens come from the JVM, are sorted by term in Arrow
+batches, and nothing is shuffled before the ranges are.
+
+SegmentedIndex keeps an index current by immutable segments and deletion marks.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING, Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,63 +26,118 @@ from lakeseek.functions.text import index_tokens, is_bid_id, normalise, normalis
 K1, B, TITLE_WEIGHT, TEXT_WEIGHT, LEAST_IDF = 1.2, 0.75, 3.0, 1.0, 1e-6
 #: Score of rows found by their exact id, before every other.
 EXACT_SCORE = -1e12
+#: Stands for a term where a chunk has its length; no token is empty.
+NO_TERM = ""
 STRONG, TITLE_FLOOR, TEXT_SHARE = 0.20, 0.85, 0.7
 
 
+def _tokens(chunks: DataFrame) -> DataFrame:
+    return chunks.select("chunk_id", index_tokens(F.col("title")).alias("a"), index_tokens(F.col("text")).alias("b"))
+
+
+def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk_id, a, b) of tokens as postings: the tokens of a batch are numbered and sorted by chunk, term, part and place."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts = [batch.column(c) for c in ("a", "b")]
+        sizes = [np.diff(c.offsets.to_numpy()) for c in parts]
+        owner = np.concatenate([np.repeat(np.arange(batch.num_rows), n) for n in sizes])
+        place = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in sizes])
+        part = np.repeat([0, 1], [n.sum() for n in sizes])
+        words = pa.concat_arrays([c.flatten() for c in parts]).dictionary_encode()
+        code = words.indices.to_numpy()
+        order = np.lexsort((place, part, code, owner))
+        owner, code, part, place = owner[order], code[order], part[order], place[order]
+        first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])]) if len(order) else np.zeros(0, int)
+
+        def lists(which: int, part: np.ndarray = part, place: np.ndarray = place, first: np.ndarray = first) -> pa.Array:
+            mine = part == which
+            ends = np.r_[0, np.cumsum(mine)]
+            return pa.ListArray.from_arrays(pa.array(np.r_[ends[first], ends[-1]].astype(np.int32)), pa.array(place[mine].astype(np.int32)))
+
+        length = (sizes[0] + sizes[1])[owner[first]].astype(np.int32)
+        columns = [words.dictionary.take(pa.array(code[first])), batch.column("chunk_id").take(pa.array(owner[first])), lists(0), lists(1), pa.array(length)]
+        names = ["term", "chunk_id", "title_at", "text_at", "length"]
+        yield pa.record_batch(columns, names)
+        nothing = pa.array([None] * batch.num_rows, pa.list_(pa.int32()))
+        yield pa.record_batch([pa.array([NO_TERM] * batch.num_rows), batch.column("chunk_id"), nothing, nothing, pa.array((sizes[0] + sizes[1]).astype(np.int32))], names)
+
+
+def _made(chunks: DataFrame) -> DataFrame:
+    """Postings of chunks(chunk_id, title, text), each chunk once, and a row of NO_TERM with each chunk's length."""
+    key = chunks.schema["chunk_id"].dataType.simpleString()
+    return _tokens(chunks).mapInArrow(_post, f"term string, chunk_id {key}, title_at array<int>, text_at array<int>, length int")
+
+
+def _terms(made: DataFrame) -> DataFrame:
+    return made.where(F.col("term") != NO_TERM)
+
+
+def _lengths(made: DataFrame) -> DataFrame:
+    return made.where(F.col("term") == NO_TERM).select("chunk_id", "length")
+
+
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, title_at, text_at, length) of chunks(chunk_id, title, text)."""
-    parts = chunks.select("chunk_id", index_tokens(F.col("title")).alias("a"), index_tokens(F.col("text")).alias("b"))
-    both = F.concat(F.transform("a", lambda t, i: F.struct(t.alias("term"), i.alias("at"), F.lit(0).alias("part"))), F.transform("b", lambda t, i: F.struct(t.alias("term"), i.alias("at"), F.lit(1).alias("part"))))
-    rows = parts.select("chunk_id", (F.size("a") + F.size("b")).alias("length"), F.explode_outer(both).alias("x")).where("x is not null")
-    at = lambda p: F.sort_array(F.collect_list(F.when(F.col("x.part") == p, F.col("x.at"))))
-    return rows.groupBy(F.col("x.term").alias("term"), "chunk_id").agg(at(0).alias("title_at"), at(1).alias("text_at"), F.first("length").alias("length"))
+    """(term, chunk_id, title_at, text_at, length) of chunks(chunk_id, title, text), each chunk once."""
+    return _terms(_made(chunks))
+
+
+def chunk_lengths(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, length) of every chunk, also of those without a token."""
+    return _tokens(chunks).select("chunk_id", (F.size("a") + F.size("b")).alias("length"))
+
+
+def _stats(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row (n, avgdl): chunks, and their mean length in tokens."""
-    return chunks.select((F.size(index_tokens(F.col("title"))) + F.size(index_tokens(F.col("text")))).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
+    return _stats(chunk_lengths(chunks))
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Handle on the index tables; version: of the chunks they were made from."""
+    """Handle on the index tables; version: of the chunks they were made from; lengths(chunk_id, length) has every chunk."""
 
     postings: DataFrame
     stats: DataFrame
     version: str = ""
+    lengths: DataFrame | None = None
+    made: DataFrame | None = None
 
     @classmethod
     def build(cls, chunks: DataFrame, version: str = "") -> LexicalIndex:
-        return cls(postings(chunks), corpus_stats(chunks), version)
+        made = _made(chunks)
+        lengths = _lengths(made)
+        return cls(_terms(made), _stats(lengths), version, lengths, made)
 
     @classmethod
     def load(cls, spark, path: str) -> LexicalIndex:
         state = spark.read.json(f"{path}/state").first()
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), state["version"])
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), state["version"], spark.read.parquet(f"{path}/lengths"))
 
     def save(self, path: str) -> None:
-        """In term order, state last: a reader that finds a state finds the tables."""
+        """In term order, state last: a reader that finds a state finds the tables. Postings are made once; their ranges and the statistics come from what is written then."""
         spark = self.postings.sparkSession
-        self.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        none = F.lit(None).cast("array<int>")
+        lengths = self.lengths.select(F.lit(NO_TERM).alias("term"), "chunk_id", none.alias("title_at"), none.alias("text_at"), "length")
+        _save(self.postings.unionByName(lengths) if self.made is None else self.made, path)
+        _stats(spark.read.parquet(f"{path}/lengths")).write.mode("overwrite").parquet(f"{path}/stats")
         spark.createDataFrame([(self.version,)], "version string").write.mode("overwrite").json(f"{path}/state")
 
     def add(self, chunks: DataFrame, version: str = "", replace: bool = True) -> LexicalIndex:
         """The index with chunks(chunk_id, title, text) added: only their postings are made; with replace, those that their ids had go first."""
         base = self.remove(chunks.select("chunk_id")) if replace else self
-        rows = base.postings.unionByName(postings(chunks))
-        old, new = base.stats, corpus_stats(chunks)
-        total = F.col("n") * F.coalesce("avgdl", F.lit(0.0))
-        both = old.unionByName(new).agg(F.sum("n").alias("n"), F.sum(total).alias("total"))
-        return LexicalIndex(rows, both.select("n", (F.col("total") / F.nullif("n", F.lit(0))).alias("avgdl")), version)
+        lengths = base.lengths.unionByName(chunk_lengths(chunks))
+        return LexicalIndex(base.postings.unionByName(postings(chunks)), _stats(lengths), version, lengths)
 
     def remove(self, ids: DataFrame, version: str = "") -> LexicalIndex:
-        """The index without the chunks in ids(chunk_id). Chunks without a token aren't in the postings; those are taken not to be in ids."""
+        """The index without the chunks in ids(chunk_id)."""
         gone = ids.select("chunk_id").distinct()
-        lost = self.postings.join(gone, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.first("length").alias("length")).agg(F.count("*").alias("k"), F.coalesce(F.sum("length"), F.lit(0)).alias("l"))
-        stats = self.stats.crossJoin(F.broadcast(lost))
-        n = F.col("n") - F.col("k")
-        return LexicalIndex(self.postings.join(gone, "chunk_id", "left_anti").select(*self.postings.columns), stats.select(n.alias("n"), ((F.col("n") * F.col("avgdl") - F.col("l")) / F.nullif(n, F.lit(0))).alias("avgdl")), version)
+        lengths = self.lengths.join(gone, "chunk_id", "left_anti")
+        return LexicalIndex(self.postings.join(gone, "chunk_id", "left_anti").select(*self.postings.columns), _stats(lengths), version, lengths)
 
     def current(self, version: str) -> bool:
         return self.version == version
@@ -83,6 +147,140 @@ class LexicalIndex:
         return self.postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def _save(made: DataFrame, path: str, hashes: DataFrame | None = None) -> None:
+    """Tables of postings, sorted by term, and of lengths, with hashes(chunk_id, hash) if given. Rows are written as they come first: ranges are drawn from a sample and would else make all of them twice."""
+    spark = made.sparkSession
+    made.write.mode("overwrite").parquet(f"{path}/made")
+    rows = spark.read.schema(made.schema).parquet(f"{path}/made")
+    _terms(rows).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+    lengths = _lengths(rows) if hashes is None else _lengths(rows).join(hashes, "chunk_id")
+    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/made")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+if TYPE_CHECKING:
+    from lakeseek.sources.store import Store
+
+#: Segments of one size class (powers of TIER in chunks) that are merged into one, and the share of deleted chunks at which all are.
+TIER, MERGE, DEAD = 4, 4, 0.5
+
+
+class SegmentedIndex:
+    """An index in a store that follows its chunks without being rebuilt.
+
+    A segment has the postings and the lengths of the chunks that were new when it was made, and is never changed. Chunks that go
+    are marked in a table of (segment, chunk_id). Segments of one size class are merged once there are MERGE of them, so each posting is
+    written about once a size class; merging drops what is marked. One state names segments, marks and statistics, so
+    readers see all of an update or nothing; number of chunks and tokens are sums over what was added and marked, and exact.
+    """
+
+    def __init__(self, store: Store, name: str = "index-segments") -> None:
+        self.store, self.name, self.spark = store, name, store.spark
+
+    def state(self) -> dict[str, Any]:
+        return {"segments": [], "deleted": [], "n": 0, "total": 0, "earlier": []} | self.store.state(self.name)
+
+    def _path(self, part: str, kind: str = "") -> str:
+        return f"{self.store.base}/index/{part}" + (f"/{kind}" if kind else "")
+
+    def _rows(self, state: dict[str, Any], kind: str, ids: list[str] | None = None) -> DataFrame | None:
+        """What is alive of the segments' postings or lengths, with the segment."""
+        ids = [s["id"] for s in state["segments"]] if ids is None else ids
+        if not ids:
+            return None
+        # A column of its own for each folder: a segment's rows don't say where they are.
+        parts = [self.spark.read.parquet(self._path(i, kind)).withColumn("segment", F.lit(i)) for i in ids]
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        if not state["deleted"]:
+            return rows
+        dead = self.spark.read.parquet(*[self._path(d) for d in state["deleted"]])
+        return rows.join(dead, ["segment", "chunk_id"], "left_anti")
+
+    def load(self) -> LexicalIndex:
+        """The index as it is now."""
+        state = self.state()
+        rows, lengths = (self._rows(state, kind) for kind in ("postings", "lengths"))
+        if rows is None:
+            raise ValueError("the index has no segments")
+        n, total = state["n"], state["total"]
+        stats = self.spark.createDataFrame([(n, total / n if n else None)], "n long, avgdl double")
+        return LexicalIndex(rows.select("term", "chunk_id", "title_at", "text_at", "length"), stats, "", lengths.select("chunk_id", "length"))
+
+    def _write(self, made: DataFrame, hashes: DataFrame) -> dict[str, Any]:
+        segment = uuid.uuid4().hex
+        _save(made, self._path(segment), hashes)
+        n, total = self.spark.read.parquet(self._path(segment, "lengths")).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        return {"id": segment, "n": n, "total": total}
+
+    def _commit(self, state: dict[str, Any]) -> None:
+        old = self.state()
+        used = [*[s["id"] for s in state["segments"]], *state["deleted"]]
+        before = [*[s["id"] for s in old["segments"]], *old["deleted"]]
+        self.store.set_state(self.name, **(state | {"earlier": before}))
+        for part in set(old["earlier"]) - set(used) - set(before):
+            self.store.remove(f"index/{part}")
+
+    def synchronise(self, chunks: DataFrame) -> dict[str, int]:
+        """Follow chunks(chunk_id, title, text[, hash]), each once: a segment for those that are new or have another hash, marks for those that are gone; says how many."""
+        key = ["chunk_id", "hash"]
+        chunks = chunks.select("chunk_id", "title", "text", "hash" if "hash" in chunks.columns else F.md5(F.concat_ws("\n", "title", "text")).alias("hash"))
+        state = self.state()
+        alive = self._rows(state, "lengths")
+        lost, new = {"k": 0, "total": 0}, chunks
+        if alive is not None:
+            new = chunks.join(alive.select(*key), key, "left_anti")
+            marks = alive.join(chunks.select(*key), key, "left_anti").select("segment", "chunk_id", "length")
+            folder = f"deleted-{uuid.uuid4().hex}"
+            marks.write.parquet(self._path(folder))
+            lost = self.spark.read.parquet(self._path(folder)).agg(F.count("*").alias("k"), F.coalesce(F.sum("length"), F.lit(0)).alias("total")).first().asDict()
+            if lost["k"]:
+                state["deleted"] = [*state["deleted"], folder]
+            else:
+                self.store.remove(f"index/{folder}")
+        made = self._write(_made(new), new.select(*key))
+        if made["n"]:
+            state["segments"] = [*state["segments"], made]
+        else:
+            self.store.remove(f"index/{made['id']}")
+        state |= {"n": state["n"] + made["n"] - lost["k"], "total": state["total"] + made["total"] - lost["total"]}
+        self._commit(self._merged(state))
+        return {"added": made["n"], "deleted": lost["k"]}
+
+    def _merged(self, state: dict[str, Any]) -> dict[str, Any]:
+        """The state after what merging is due."""
+        while True:
+            whole = sum(s["n"] for s in state["segments"])
+            tiers: dict[int, list[str]] = {}
+            for s in state["segments"]:
+                tiers.setdefault(int(np.log(max(s["n"], 1)) / np.log(TIER)), []).append(s["id"])
+            due = next((ids for _, ids in sorted(tiers.items()) if len(ids) >= MERGE), None)
+            everything = whole and 1 - state["n"] / whole > DEAD
+            if due is None and not everything:
+                return self._marks_joined(state)
+            ids = [s["id"] for s in state["segments"]] if everything else due
+            lengths, none = self._rows(state, "lengths", ids), F.lit(None).cast("array<int>")
+            rows = self._rows(state, "postings", ids).drop("segment")
+            rows = rows.unionByName(lengths.select(F.lit(NO_TERM).alias("term"), "chunk_id", none.alias("title_at"), none.alias("text_at"), "length"))
+            one = self._write(rows, lengths.select("chunk_id", "hash"))
+            rest = [s for s in state["segments"] if s["id"] not in ids]
+            state = state | {"segments": [*rest, *([one] if one["n"] else [])]}
+            if not rest:
+                state["deleted"] = []
+
+
+    def _marks_joined(self, state: dict[str, Any]) -> dict[str, Any]:
+        """Few folders of marks: MERGE of them become one, without marks in segments that are no more."""
+        if len(state["deleted"]) < MERGE:
+            return state
+        live = F.col("segment").isin([s["id"] for s in state["segments"]])
+        folder = f"deleted-{uuid.uuid4().hex}"
+        self.spark.read.parquet(*[self._path(d) for d in state["deleted"]]).where(live).write.parquet(self._path(folder))
+        return state | {"deleted": [folder]}
+
+
 def _shifted(places: Column, by: int) -> Column:
     return F.transform(places, lambda i: i - by)
 

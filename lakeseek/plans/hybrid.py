@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeseek.functions.text import query_terms
-from lakeseek.operators import dense, fusion, lexical
+from lakeseek.operators import dense, fusion, lexical, lexical_batch
 from lakeseek.operators.lexical import LexicalIndex
 from lakeseek.operators.present import date_range
 from lakeseek.operators.where import where
@@ -60,6 +60,37 @@ def search(
     return fusion.ordered(fusion.confident(near, weighed, rrf_k, dense_weight, lexical_weight), limit)
 
 
+def search_many(
+    chunks: DataFrame,
+    index: LexicalIndex,
+    queries: DataFrame,
+    *,
+    vectors: DataFrame | None = None,
+    limit: int = 10,
+    condition: Mapping[str, Any] | None = None,
+    candidates: int | None = None,
+    exclude_boilerplate: bool = True,
+    rrf_k: int = fusion.RRF_K,
+    dense_weight: float = 1.0,
+    lexical_weight: float = 1.0,
+    id_column: str | None = None,
+    metric: str = "l2sq",
+) -> DataFrame:
+    """search() for each of queries(query_id, query, embedding): (query_id, rank, chunk_id, score, dense_rank, lexical_rank). Queries with a null embedding are lexical only, blank ones have no answer. Nothing of the queries passes through the driver."""
+    test, n = where(condition), candidates or max(4 * limit, 40)
+    asked = queries.where(F.trim(F.coalesce("query", F.lit(""))) != "")
+    real = ~F.coalesce(F.col("is_boilerplate"), F.lit(False)) if exclude_boilerplate and "is_boilerplate" in chunks.columns else F.lit(True)
+    usable = chunks.where(test) if condition else chunks
+    # The filter comes before the nearest are taken, boilerplate goes after, as for one query.
+    rows = usable if vectors is None else vectors.select("chunk_id", "embedding").join(usable.select("chunk_id"), "chunk_id")
+    near = dense.knn_batch(rows, asked.where("embedding is not null").select("query_id", F.col("embedding").alias("query")), n, metric)
+    near = near.join(chunks.where(real).select("chunk_id"), "chunk_id", "left_semi")
+    hits = lexical_batch.search(index, chunks, asked, n, test if condition else None, id_column).where(real)
+    weighed = lexical_batch.match_quality(hits, asked, lexical_batch.term_weights(index, asked), id_column)
+    found = fusion.confident_many(near, weighed, rrf_k, dense_weight, lexical_weight)
+    return fusion.ordered_many(found, limit).select("query_id", "rank", "chunk_id", "score", "dense_rank", "lexical_rank")
+
+
 def search_between(chunks: DataFrame, index: LexicalIndex, query: str, start: Column, end: Column, first: Column | None = None, last: Column | None = None, limit: int = 10, **options: Any) -> DataFrame:
     """search() for bids within dates: four times the limit is fetched if a date is given, filtered by start and end (columns of chunks), then cut."""
     dated = first is not None or last is not None

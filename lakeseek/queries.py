@@ -21,7 +21,7 @@ def query(f: Query) -> Query:
 
 
 def _bids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.bid_documents(spark, sf_dir).withColumn("lines", text.lines(F.col("text")))
+    return fixtures.bid_documents(spark, sf_dir).withColumn("lines", fields.joined(text.lines(F.col("text"))))
 
 
 def x() -> Column:

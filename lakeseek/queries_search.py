@@ -27,7 +27,9 @@ def query(f):
 def _index(spark, sf_dir) -> tuple[DataFrame, LexicalIndex]:
     """The chunks and their index: built and saved once, then read by term."""
     chunks = fixtures.chunk_table(spark, sf_dir)
-    path = fixtures.stored(spark, sf_dir, "lexical-index", LexicalIndex.build(chunks, "fixture").save)
+    # The test tables are single files: dealt out, or one task would read all texts.
+    dealt = chunks.repartition(2 * spark.sparkContext.defaultParallelism, "chunk_id")
+    path = fixtures.stored(spark, sf_dir, "lexical-index", LexicalIndex.build(dealt, "fixture").save)
     return chunks, LexicalIndex.load(spark, path)
 
 

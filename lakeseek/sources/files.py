@@ -17,6 +17,26 @@ def documents(spark: SparkSession, folder: str, contents: bool = True) -> DataFr
     return files if contents else files.drop("content")
 
 
+#: Characters that a path pattern gives a meaning to: fixed values.
+_PATTERN = r"([\[\]{}?*,\\])"
+PATHS = 10_000
+
+
+def contents(spark: SparkSession, paths: DataFrame, block: int = PATHS) -> Iterator[DataFrame]:
+    """(path, modificationTime, length, content) of the files named in paths(path), a DataFrame for each ``block`` of them.
+
+    Only these files are opened. Their names pass through the driver in blocks, as those of every file of a scan do.
+    """
+    held: list[str] = []
+    for row in paths.select(F.regexp_replace("path", _PATTERN, r"\\$1").alias("path")).toLocalIterator():
+        held.append(row.path)
+        if len(held) == block:
+            yield spark.read.format("binaryFile").load(held)
+            held = []
+    if held:
+        yield spark.read.format("binaryFile").load(held)
+
+
 def relative(path: Column, base: str) -> Column:
     return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^.*?" + base.strip("/").replace(".", r"\.") + "/", "")
 

@@ -10,11 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Versions of a table that stay: the current one and those that readers may still hold.
+KEEP = 3
+
+
 class Store:
-    """Named tables under a base path. A publish writes a new version folder, then swaps the table's pointer; readers see the old or the new version, never a part."""
+    """Named tables under a base path. A publish writes a new version folder, then swaps the table's pointer; readers see the old or the new version, never a part.
 
-    def __init__(self, spark: SparkSession, base: str) -> None:
-        self.spark, self.base = spark, base.rstrip("/")
+    A version is one folder or, after appends, several. Folders that none of the last ``keep`` versions has are deleted.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, keep: int = KEEP) -> None:
+        self.spark, self.base, self.keep = spark, base.rstrip("/"), keep
         path = spark._jvm.org.apache.hadoop.fs.Path
         self._path = lambda p: path(f"{self.base}/{p}")
         self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
@@ -56,21 +63,45 @@ class Store:
     def version(self, table: str) -> str | None:
         return self._read(f"{table}.current.json").get("version")
 
+    def _parts(self, table: str) -> list[str]:
+        pointer = self._read(f"{table}.current.json")
+        return pointer.get("parts") or ([pointer["version"]] if pointer.get("version") else [])
+
     def read(self, table: str) -> DataFrame | None:
-        version = self.version(table)
-        return self.spark.read.parquet(f"{self.base}/{table}/{version}") if version else None
+        parts = self._parts(table)
+        return self.spark.read.parquet(*[f"{self.base}/{table}/{p}" for p in parts]) if parts else None
+
+    def _commit(self, table: str, parts: list[str]) -> str:
+        """Point to the folders, then delete those of versions that have had their time."""
+        pointer = self._read(f"{table}.current.json")
+        earlier = [old for old in (self._parts(table), *pointer.get("earlier", [])) if old][: self.keep - 1]
+        self._write(f"{table}.current.json", {"version": parts[-1], "parts": parts, "earlier": earlier})
+        held = {p for version in (parts, *earlier) for p in version}
+        for status in self._fs.listStatus(self._path(table)):
+            if status.getPath().getName() not in held:
+                self._fs.delete(status.getPath(), True)
+        return parts[-1]
 
     def publish(self, table: str, rows: DataFrame, *partition_by: str) -> str:
         version = uuid.uuid4().hex
         rows.write.partitionBy(*partition_by).parquet(f"{self.base}/{table}/{version}")
-        self._write(f"{table}.current.json", {"version": version})
-        return version
+        return self._commit(table, [version])
+
+    def append(self, table: str, rows: DataFrame) -> str:
+        """A version with more rows; what is there isn't written again."""
+        version = uuid.uuid4().hex
+        rows.write.parquet(f"{self.base}/{table}/{version}")
+        return self._commit(table, [*self._parts(table), version])
 
     def drop(self, table: str) -> None:
         """Reset: readers find no version from here on; the version folders go."""
         self._write(f"{table}.current.json", {})
         self._fs.delete(self._path(table), True)
 
+    def remove(self, folder: str) -> None:
+        """Delete a folder of the store that nothing points to."""
+        self._fs.delete(self._path(folder), True)
+
     @contextmanager
     def lock(self, name: str = "run"):
         """Held by creating a file that must not exist; a stale one says so by its age."""

@@ -2,32 +2,28 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeseek.operators import changes, extract
+from lakeseek.operators import changes
+from lakeseek.plans.maintenance import merge_documents
 from lakeseek.sources.store import Store
 
 SCHEMA = "path string, text string, internal_id long, download_date string, downloaded_at string"
 
 
 def ingest(spark: SparkSession, folder: str, store: Store, checkpoint: str, max_files: int | None = None) -> None:
-    """Read document batches (JSON lines of SCHEMA) that arrived since the last run, extract chunks, and publish a new snapshot for each micro-batch. A batch that runs again after a failure gives the same snapshot."""
+    """Read document batches (JSON lines of SCHEMA) that arrived since the last run, extract chunks, and merge them file by file into the store that maintenance keeps; vectors and index follow in its next run. A batch that runs again after a failure gives the same snapshot."""
     source = spark.readStream.schema(SCHEMA)
     if max_files:
         source = source.option("maxFilesPerTrigger", max_files)
 
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, number: int) -> None:
         latest = changes.last_by(batch, "path", F.col("downloaded_at"), F.col("text"))
-        made = extract.chunks(extract.metadata(latest)).drop("position")
-        made = changes.last_by(made, "chunk_id", F.col("text"))
-        old = store.read("chunks")
-        if old is None:
-            store.publish("chunks", made)
-            return
-        # A bid's chunks are replaced as a whole.
-        kept = old.join(made.select("bid_id").distinct(), "bid_id", "left_anti")
-        store.publish("chunks", kept.select(*made.columns).unionByName(made))
+        with store.lock():
+            merge_documents(store, latest.withColumn("document_hash", F.md5("text")), datetime.now(UTC).replace(tzinfo=None))
 
     run = source.json(folder).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()

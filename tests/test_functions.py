@@ -238,3 +238,103 @@ def test_index_updates(spark):
     assert grown.stats.first() == whole.stats.first()
     less = grown.remove(table(new).select("chunk_id"))
     assert less.stats.first().n == 11 and less.postings.where("chunk_id = 20").isEmpty()
+
+
+def test_index_of_segments(spark, tmp_path):
+    """N, mean length and df equal a rebuild after random adds and removes; so does every score."""
+    import random
+
+    from lakeseek.operators.lexical import LexicalIndex, SegmentedIndex
+
+    rng, alive = random.Random(4), {}
+    index = SegmentedIndex(store.Store(spark, f"file://{tmp_path}/i"))
+    schema = "chunk_id long, title string, text string"
+    for step in range(6):
+        for _ in range(rng.randrange(1, 12)):
+            i = rng.randrange(25)
+            # Some chunks have no token at all.
+            alive[i] = (rng.choice(["", "red desk", "blue lamp"]), "" if i % 5 == 0 else " ".join(rng.choice("oak ash elm fir red blue".split()) for _ in range(rng.randrange(8))))
+        for i in rng.sample(sorted(alive), min(len(alive), 3)):
+            del alive[i]
+        rows = spark.createDataFrame([(i, *x) for i, x in alive.items()], schema)
+        index.synchronise(rows)
+        found, whole = index.load(), LexicalIndex.build(rows)
+        assert tuple(found.stats.first()) == pytest.approx(tuple(whole.stats.first()))
+        if step % 2:
+            assert sorted(map(str, found.postings.collect())) == sorted(map(str, whole.postings.collect()))
+    assert len(index.state()["segments"]) < 6 and index.synchronise(rows) == {"added": 0, "deleted": 0}
+    scores = [{r.chunk_id: round(r.score, 9) for r in lexical.bm25(x, [["red"], ["oak"]]).collect()} for x in (found, whole)]
+    assert scores[0] == scores[1]
+
+
+def test_two_files_of_one_bid(spark, tmp_path):
+    text_ = "Bid Number: GEM/2024/B/1\nItem Category\nDesk {0}\nGeMARPTS\nBuyer Added Bid Specific ATC\n1. Generic:\nterm {0} one\n2. Generic:\nmore {0}\n1. Generic:\nlast {0}\n"
+    docs = lambda *k: spark.createDataFrame([(f"a/{i}.pdf", text_.format(i)) for i in k], "path string, text string")
+    s = store.Store(spark, f"file://{tmp_path}/b")
+    for now, there in enumerate([(1, 2), (1,), (1, 3)]):
+        maintenance.run(s, docs(*there), datetime(2024, 1, 1 + now))
+        last = max(there)
+        assert {r.text for r in s.read("chunks").where("chunk_type = 'atc_clause'").collect()} == {f"Generic: last {last}", f"Generic: more {last}"}
+        assert {r.pdf_path for r in s.read("chunks").collect()} == {f"a/{last}.pdf"}
+
+
+def test_vectors_follow_chunks(spark, tmp_path):
+    doc = "Bid Number: GEM/2024/B/{0}\nItem Category\nDesk {0}\nGeMARPTS\n"
+    docs = lambda *k: spark.createDataFrame([(f"a/{i}.pdf", doc.format(i)) for i in k], "path string, text string")
+    embed = lambda rows: rows.selectExpr("chunk_id", "array(1.0D) as embedding")
+    s = store.Store(spark, f"file://{tmp_path}/v")
+    for n in (1, 2, 3):
+        maintenance.run(s, docs(*range(n)), datetime(2024, 1, n))
+    assert s.read("vectors") is None
+    assert maintenance.apply_vectors(s, embed, 2) == {"upsert": 2, "delete": 0}
+    first = {r.chunk_id for r in s.read("vectors").collect()}
+    assert maintenance.apply_vectors(s, embed, 2) == {"upsert": 2, "delete": 0}
+    assert {r.chunk_id for r in s.read("vectors").collect()} > first
+    assert maintenance.apply_vectors(s, embed) == {"upsert": 2, "delete": 0} and maintenance.apply_vectors(s, embed) == {"upsert": 0, "delete": 0}
+    assert {r.chunk_id for r in s.read("vectors").collect()} == {r.chunk_id for r in s.read("chunks").collect()}
+    kept = [len(list((tmp_path / "v" / t).iterdir())) for t in ("chunks", "staging", "files")]
+    assert max(kept) <= store.KEEP
+
+
+def test_unchanged_files_are_not_parsed(spark, tmp_path):
+    import os
+
+    folder = tmp_path / "pdf"
+    (folder / "2024").mkdir(parents=True)
+    put = lambda i, text_: (folder / "2024" / f"bid_{i}_x[1].pdf").write_text(f"Bid Number: GEM/2024/B/{i}\nItem Category\n{text_}\n")
+    for i in (1, 2, 3):
+        put(i, "Desk")
+    parsed = spark.sparkContext.accumulator(0)
+
+    def parse(content: bytes) -> str:
+        parsed.add(1)
+        return content.decode()
+
+    s, day = store.Store(spark, f"file://{tmp_path}/f"), iter(range(1, 28))
+    go = lambda **k: maintenance.run_files(s, f"file://{folder}", parse, datetime(2024, 1, next(day)), **k)
+    first = go()
+    assert (first["parsed"], first["documents"], parsed.value) == (3, 3, 3)
+    assert {r.pdf_path for r in s.read("files").collect()} == {f"2024/bid_{i}_x[1].pdf" for i in (1, 2, 3)}
+    assert go()["parsed"] == 0 and go(rehash=True)["parsed"] == 0 and parsed.value == 3
+    put(2, "Chair of another kind")
+    os.utime(folder / "2024" / "bid_3_x[1].pdf", (1, 1))  # touched, not changed
+    (folder / "2024" / "bid_1_x[1].pdf").unlink()
+    changed = go()
+    assert (changed["parsed"], changed["removed_files"], changed["deletes"], parsed.value) == (1, 1, 2, 4)
+    assert go()["parsed"] == 0 and parsed.value == 4
+    active = spark.createDataFrame([("GEM/2024/B/3",)], "bid_id string")
+    assert go(active=active, archive=f"file://{tmp_path}/old")["expired_chunks"] == 2
+    assert [p.name for p in (tmp_path / "old").rglob("*.pdf")] == ["bid_2_x[1].pdf"]
+    assert {r.bid_id for r in s.read("chunks").collect()} == {"GEM/2024/B/3"} and go()["documents"] == 1
+
+
+def test_stream_and_maintenance_share_a_store(spark, tmp_path):
+    from lakeseek.streaming import ingest
+
+    s, folder = store.Store(spark, f"file://{tmp_path}/s"), tmp_path / "in"
+    doc = lambda i, what="Desk": (f"a/{i}.pdf", f"Bid Number: GEM/2024/B/{i}\nItem Category\n{what}\n")
+    spark.createDataFrame([doc(1), doc(2)], "path string, text string").write.mode("append").json(str(folder))
+    ingest.ingest(spark, str(folder), s, str(tmp_path / "cp"))
+    report = maintenance.run(s, spark.createDataFrame([doc(1), doc(2, "Chair"), doc(3)], "path string, text string"), datetime(2024, 1, 1))
+    assert (report["parsed"], report["upserts"], report["deletes"], report["index_rebuilt"]) == (2, 4, 0, True)
+    assert s.read("chunks").count() == 6

@@ -7,10 +7,10 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry
-from lakeseek import oracles, oracles_more, queries, queries_search, queries_tables
+from lakeseek import oracles, oracles_batch, oracles_more, queries, queries_batch, queries_search, queries_tables
 
-QUERIES = queries.QUERIES | queries_search.QUERIES | queries_tables.QUERIES
-ORACLES = oracles.ORACLES | oracles_more.ORACLES
+QUERIES = queries.QUERIES | queries_search.QUERIES | queries_tables.QUERIES | queries_batch.QUERIES
+ORACLES = oracles.ORACLES | oracles_more.ORACLES | oracles_batch.ORACLES
 
 
 @pytest.fixture(scope="module")
