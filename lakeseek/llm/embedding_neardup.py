@@ -1,6 +1,6 @@
 """Near-duplicate embeddings by NN-descent.
 
-1. Equal vectors of a label become one node. TABLES random orders (signs of hash
+1. Equal vectors of a label become one node, with a number of its own: vec_ids may repeat. TABLES random orders (signs of hash
    planes, then a projection) put each node next to likely neighbours: the first
    neighbour lists.
 2. Each round joins neighbours of neighbours: every node's list and the nodes that
@@ -21,7 +21,9 @@ node's lists (of bounded length), never a label.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, and rows without a label or vec_id, link with nothing; vectors of different
-lengths don't link; repeated rows are vectors of their own. Extra columns are
+lengths don't link; repeated rows, and rows that share a vec_id, are vectors of their own, each with
+the links and the component of its own vector. Vectors are scaled by a power of two before their
+lengths are taken, so very large and very small ones count too. Extra columns are
 ignored. An empty table gives no rows.
 """
 
@@ -35,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import discard, ship, stash
+from lakeseek.llm.common import discard, ship, spread_join, stash
 from lakeseek.llm.components import connected_components
 
 THRESHOLD, LIST, MOST, TABLES, BESIDE, PLANES = 0.93, 8, 32, 4, 4, 10
@@ -51,18 +53,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every row, with its group and its packed vector; nulls where the vector can't link."""
     for batch in batches:
-        keep, packed, group = [], [], []
-        for i, (vector, label) in enumerate(zip(batch.column("embedding").to_pylist(), batch.column("label").to_pylist(), strict=True)):
-            if vector and label is not None and batch.column("vec_id")[i].is_valid and None not in vector:
-                x = np.array(vector, np.float64)
-                with np.errstate(over="ignore"):
-                    norm = np.linalg.norm(x)
-                if np.isfinite(norm) and norm > 0:
-                    keep.append(i)
-                    packed.append((x + 0.0).tobytes())
-                    group.append(f"{label}/{len(x)}")
-        yield pa.record_batch([batch.column("vec_id").take(pa.array(keep, pa.int64())), pa.array(group, pa.string()), pa.array(packed, pa.binary())], ["vec_id", "grp", "vec"])
+        packed: list[bytes | None] = []
+        group: list[str | None] = []
+        for vector, label in zip(batch.column("embedding").to_pylist(), batch.column("label").to_pylist(), strict=True):
+            x = np.array(vector, np.float64) if vector and label is not None and None not in vector else np.zeros(0)
+            top = np.abs(x).max(initial=0.0)
+            good = np.isfinite(top) and top > 0
+            packed.append((np.ldexp(x, -int(np.frexp(top)[1])) + 0.0).tobytes() if good else None)
+            group.append(f"{label}/{len(x)}" if good else None)
+        yield pa.record_batch([batch.column("vec_id"), pa.array(group, pa.string()), pa.array(packed, pa.binary())], ["vec_id", "grp", "vec"])
 
 
 def _by_length(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -256,8 +257,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, rounds: in
     """(vec_id, n_links, component_id, kept) per row of vectors(vec_id, embedding, label)."""
     ship(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
-    clean = stash(rows.mapInArrow(_clean, "vec_id long, grp string, vec binary"), "vectors")
-    nodes = stash(clean.groupBy("grp", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "nodes")
+    print_ = F.md5(F.concat(F.col("grp").cast("binary"), F.lit("|").cast("binary"), F.col("vec")))
+    clean = stash(rows.mapInArrow(_clean, "vec_id long, grp string, vec binary").withColumn("print", F.when(F.col("vec_id").isNotNull(), print_)), "vectors")
+    merged = clean.where("print is not null").groupBy("grp", "vec").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
+    # Numbers are drawn once, by the write.
+    nodes = stash(merged.withColumn("print", print_).withColumn("id", F.monotonically_increasing_id()), "nodes")
     total, before = nodes.count(), -1
     placed = nodes.select("grp", "id", "vec").mapInArrow(_places(range(TABLES)), "grp string, t long, place long, id long, vec binary")
     order = ["grp", "t", "place", "id"]
@@ -272,8 +276,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, rounds: in
         before = now
     labels = connected_components(lists.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")))
     counts, labels = _complete(nodes, labels, threshold, tile)
-    known = nodes.join(labels, "id", "left").join(counts, "id", "left").select("grp", "vec", F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    found = clean.join(known, ["grp", "vec"]).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = rows.select("vec_id").join(found, "vec_id", "left")
+    known = nodes.select("id", "print", "least_id", "copies").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # The components' smallest vec_ids are merged inside tasks first; a large one is looked up without moving its nodes.
+    smallest = known.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    known = spread_join(known.drop("least_id"), smallest, "component").join(counts, "id", "left")
+    known = known.select("print", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = spread_join(clean.select("vec_id", "print"), known, "print", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -6,13 +6,14 @@ frequencies, with a fitted slope).  A text gets the language whose codeword has
 the least weighted logistic loss; the weights are the bits' accuracies.  Where
 the runner-up is about as near, the text is flagged as ambiguous.
 
-Fitting uses a documented, bounded sample: about ROWS_PER_LANGUAGE labelled
-rows of each language, picked by a hash of doc_id.  Prediction covers whole texts
-and sees nothing but the text.
+Fitting uses a documented, bounded sample: at most ROWS_PER_LANGUAGE labelled
+rows of each language, those with the smallest hashes of doc_id and text, and of each text the
+first FIT_CHARS characters.  Prediction covers whole texts and sees nothing but the text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0
 and not ambiguous; without any labelled row every text is ``und``; with one
-language all texts with letters get it.  Rows are independent; rows without a
+language all texts with letters get it; of languages with equal loss the first by code point
+is chosen.  Rows are independent, also those that share a doc_id; rows without a
 doc_id are never learnt from.  Extra columns are ignored.
 """
 
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeseek.llm.common import ship
@@ -34,6 +35,7 @@ ROWS_PER_LANGUAGE, FOLDS, BUCKET_BITS, SEED = 1500, 5, 15, 20_301
 #: Mean loss over the bits by which the runner-up must be worse; under it a text is ambiguous.
 MARGIN = 0.02
 UNKNOWN = "und"
+FIT_CHARS = 1 << 20
 
 _FOLD = np.full(256, 32, np.uint32)
 _FOLD[128:] = np.arange(128, 256)
@@ -118,8 +120,12 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     if not names:
         return Model((), np.zeros((0, 0)), np.zeros((1, 0)), np.zeros(0), np.zeros(0))
     share = F.create_map(*[F.lit(x) for k in names for x in (k, float(min(1.0, rows_per_language / counts[k])))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_003)) / 1_000_003.0
-    sample = labelled.where(drawn < F.try_element_at(share, F.col("lang"))).select("lang", "text").toArrow()
+    # About twice the number by the hash's share; the exact cut comes inside each task, before rows of a language meet. Equal rows have equal hashes.
+    lot = labelled.select("lang", F.substring("text", 1, FIT_CHARS).alias("text"), F.xxhash64("doc_id", "text", F.lit(SEED)).alias("lot"))
+    drawn = lot.where(F.pmod("lot", F.lit(1_000_003)) / 1_000_003.0 < 2 * F.try_element_at(share, F.col("lang")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("lot", F.lit(1_000_003)), "lot", "text"))
+    cut = drawn.withColumn("rank", rank).where(F.col("rank") <= rows_per_language)
+    sample = cut.select("lang", "text", "lot").orderBy("lang", "lot", "text").select("lang", "text").toArrow()
     code, size = codewords(len(names)), 1 << BUCKET_BITS
     texts = sample.column("text").cast(pa.large_string()).combine_chunks()
     texts = texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks)

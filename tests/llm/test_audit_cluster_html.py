@@ -190,3 +190,57 @@ def test_html_table(spark, sf):
     assert "text" in SCHEMA
     for r in html_text.extract(table).collect():
         assert r.n_chars == len(r.text) and r.text.split("\n")[0]
+
+
+def test_vectors_that_share_an_id(spark):
+    """Each row has its own vector's links and component, whatever its vec_id; finite vectors of any size count."""
+    from lakeseek.llm import embedding_neardup
+
+    x, y = [1.0] + [0.0] * 7, [0.0, 1.0] + [0.0] * 6
+    near = lambda v: [e + 0.05 for e in v]
+    rows = [(5, x, 1), (5, y, 1), (3, near(x), 1), (9, near(y), 1), (20, [1e200 * e for e in x], 2), (21, [1e-200 * e for e in near(x)], 2), (20, x, 3), (None, x, 1), (30, None, 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 as id", "'x' as grp", "2 as print")
+    found = Counter(tuple(r) for r in embedding_neardup.near_duplicates(table).collect())
+    wanted = [(5, 1, 3, False), (5, 1, 5, True), (3, 1, 3, True), (9, 1, 5, False), (20, 1, 20, True), (21, 1, 20, False), (20, 0, 20, True), (None, 0, None, True), (30, 0, 30, True)]
+    assert found == Counter(wanted)
+
+
+def test_language_sample_is_bounded(spark, sf, monkeypatch):
+    from lakeseek.llm import language_id
+
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    one = spark.range(4000).selectExpr("1L as doc_id", "if(id % 2 = 0, 'the same text of one document', concat('text of one document ', id)) as text", "'en' as lang")
+    seen = []
+    slice_ = language_id._slice
+    monkeypatch.setattr(language_id, "_slice", lambda texts: seen.append(len(texts)) or slice_(texts))
+    model = language_id.fit(table.unionByName(one), 50)
+    assert sum(n for n in seen if n == 1) <= 50 * len(model.languages) and seen.count(1) > 100
+
+
+def test_language_decoding(spark, sf):
+    """A plain restatement of trigrams, sums, loss and decoding gives the same for a fitted model."""
+    from math import exp, log
+
+    from lakeseek.llm import language_id
+
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.fit(table)
+    fold = lambda b: b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32
+    for r in language_id.predict(table.select("doc_id", "text"), model).collect():
+        data = [fold(b) for b in (r.text or "").encode()]
+        sums, n = np.zeros(model.code.shape[1]), 0
+        for a, b, c in zip(data, data[1:], data[2:]):  # noqa: B905
+            if b != 32:
+                n += 1
+                key = a | b << 8 | c << 16
+                sums += model.weights[(key * 2654435761 % 2**32) >> (32 - language_id.BUCKET_BITS)]
+        z = sums / max(n, 1) * model.slopes
+        loss = [sum(t * log(1 + exp(-v * bit)) for v, bit, t in zip(z, word, model.trust, strict=True)) for word in model.code]
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score, r.ambiguous) == ("und", 0, False)
+            continue
+        order = sorted(range(len(loss)), key=lambda i: (loss[i], i))
+        assert r.lang_pred == model.languages[order[0]]
+        assert r.score == pytest.approx(1 / sum(exp(loss[order[0]] - x) for x in loss), abs=1e-6)
+        gap = (loss[order[1]] - loss[order[0]]) / model.trust.sum()
+        assert abs(gap - language_id.MARGIN) < 1e-6 or r.ambiguous == (gap < language_id.MARGIN)
