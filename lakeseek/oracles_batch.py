@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from lakeseek.functions.text import GENERIC_TERMS
+from lakeseek.oracles import _BID, _WIDE
 from lakeseek.oracles_more import _CHUNKS, _CONF, _NORM
+from lakeseek.oracles_more import ORACLES as _SINGLE
 
 _GENERIC = ", ".join(f"'{t}'" for t in sorted(GENERIC_TERMS))
 #: Benchmark items have no word with a dot or hyphen inside, so each phrase is one token.
@@ -56,6 +58,14 @@ SELECT query_id, rank, chunk_id, round(score, 9) AS score, dense_rank, lexical_r
 
 
 ORACLES: dict[str, str] = {
+    "file_changes": """SELECT 'pages/' || page_id || '.pdf' AS path, CASE page_id % 10 WHEN 1 THEN 'changed' WHEN 3 THEN 'changed' WHEN 2 THEN 'new' WHEN 4 THEN 'removed' ELSE 'unchanged' END AS change FROM pages""",
+    "last_document_of_a_bid": f"""WITH {_WIDE}
+SELECT {_BID} || '::atc_clause::1' AS chunk_id, 'Generic: ' || CASE WHEN k % 3 = 0 THEN 'Other' ELSE 'First' END || ' term of order ' || k || chr(10) || o_orderstatus AS text, k % 3 = 0 AS second FROM wide
+UNION ALL SELECT {_BID} || '::atc_clause::2', 'Delivery / Training: Deliver to ' || c_name, k % 3 = 0 FROM wide""",
+    "knn_indexed": _SINGLE["knn_topk"],
+    "knn_indexed_filtered": _SINGLE["knn_filtered"],
+    "knn_indexed_many": _SINGLE["knn_batch"],
+    "bm25_blocks": _SINGLE["bm25_weighted_title_text"],
     "lexical_search_many": f"WITH {_MANY}, be AS ({_best(250)}) {_best(10, 'be')}",
     "match_quality_many": f"WITH {_MANY}, lx AS ({_best(40)}), {_QUALITY} SELECT query_id, chunk_id, round(quality, 9) AS quality FROM ql",
     "hybrid_search_many": _hybrid(10, "TRUE", "coalesce(NOT is_boilerplate, TRUE)"),

@@ -34,7 +34,7 @@ FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey""",
     "known_bid_ids": f"SELECT o_orderkey AS bid_id FROM orders WHERE o_orderkey % 3 = 0 OR ({_NO_BID} AND o_orderkey % 5 <> 0)",
     "manifest_join": f"""SELECT o_orderkey, CASE WHEN {_NO_BID} THEN o_orderkey END AS internal_id, CASE WHEN {_NO_BID} AND o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS download_date,
   CASE WHEN {_NO_BID} AND o_orderkey % 3 = 0 THEN o_orderpriority END AS downloaded_at FROM orders""",
-    "manifest_round_trip": "SELECT o_orderkey AS bid_id, strftime(o_orderdate, '%Y-%m-%d') AS download_date, o_orderpriority AS downloaded_at FROM orders WHERE o_orderkey % 30 = 0",
+    "manifest_round_trip": "SELECT o_orderkey AS bid_id, strftime(o_orderdate, '%Y-%m-%d') AS download_date, o_orderpriority AS downloaded_at FROM orders",
     "sorted_ids": f"{_CHANGES} SELECT source, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM c JOIN documents USING (doc_id) WHERE change IN ('new', 'changed') GROUP BY source",
     "download_cap": f"""WITH {_LIST}, f AS (SELECT *, row_number() OVER (PARTITION BY bid_id ORDER BY page, position) AS rn FROM ca)
 SELECT bid_id, bid_number FROM f WHERE rn = 1 AND bid_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0) ORDER BY page, position LIMIT 25""",

@@ -12,7 +12,7 @@ from lakeseek.operators.lexical import LexicalIndex
 from lakeseek.plans import hybrid
 from lakeseek.queries_search import QUERY, _index, _rounded
 from lakeseek.queries_tables import _eav, _expiry, _live, _results, _snapshots, query
-from lakeseek.sources import files, listing
+from lakeseek.sources import files, listing, sinks
 
 
 @query
@@ -77,9 +77,9 @@ def manifest_join(spark, sf_dir):
 
 @query
 def manifest_round_trip(spark, sf_dir):
-    """SNK-02, SL-09: the manifest as JSON text with sorted ids, read back."""
-    raw = files.manifest_value(_records(spark, sf_dir).where("bid_id % 30 = 0"), "2024-01-01T00:00:00Z")
-    return files.manifest(raw).select("bid_id", "download_date", "downloaded_at")
+    """SNK-02, SL-09: the manifest of all records as JSON with sorted ids, written in parts and read back."""
+    path = fixtures.stored(spark, sf_dir, "manifest", lambda p: sinks.write_manifest(_records(spark, sf_dir), p, "2024-01-01T00:00:00Z"))
+    return sinks.read_manifest(spark, path).select("bid_id", "download_date", "downloaded_at")
 
 
 @query

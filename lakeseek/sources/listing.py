@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 SCHEMA = "page long, position long, b_id long, b_bid_number string, b_id_parent long, b_bid_number_parent string, final_end_date_sort string, b_is_inactive int"
 RETRIES, WAIT_S, KNOWN_PAGES = 2, 3.0, 3
@@ -65,17 +65,34 @@ def with_token(home: Callable[[], str], pattern: str, fetch: Callable[[str, int]
     return page_of
 
 
-class ListingReader(DataSourceReader):
-    """Pages to the end, or up to the option ``pages``."""
+class _Numbers(InputPartition):
+    def __init__(self, numbers: list[str]) -> None:
+        super().__init__(numbers)
+        self.numbers = numbers
 
-    def __init__(self, options: dict[str, str], fetch: Callable[[int], list[dict]]) -> None:
-        self.pages, self.per_task, self.fetch = options.get("pages"), int(options.get("pagesPerTask", "10")), fetch
 
-    def partitions(self) -> list[_Pages]:
+class ListingReader(DataSourceReader):
+    """Pages to the end, or up to the option ``pages``; with the option ``bidNumbers`` these numbers, separated by commas, by a request each and no page."""
+
+    def __init__(self, options: dict[str, str], fetch: Callable[[int], list[dict]], lookup: Callable[[str], list[dict]] | None = None) -> None:
+        self.pages, self.per_task, self.fetch, self.lookup = options.get("pages"), int(options.get("pagesPerTask", "10")), fetch, lookup
+        # Asked for by an option and not by a filter: a pushed filter would stay with the source for later reads of the same DataFrame.
+        numbers = options.get("bidNumbers")
+        self.numbers = None if numbers is None else list(dict.fromkeys(n.strip() for n in numbers.split(",") if n.strip()))
+        if self.numbers is not None and lookup is None:
+            raise ValueError("this listing can't look up bid numbers")
+
+    def partitions(self) -> list[InputPartition]:
+        if self.numbers is not None:
+            return [_Numbers(self.numbers[i : i + self.per_task]) for i in range(0, len(self.numbers), self.per_task)]
         pages = count_pages(self.fetch) if self.pages is None else int(self.pages)
         return [_Pages(p, min(p + self.per_task, pages)) for p in range(0, pages, self.per_task)]
 
-    def read(self, partition: _Pages) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if isinstance(partition, _Numbers):
+            for number in partition.numbers:
+                yield from (row for row in rows_of(0, with_retry(lambda _, n=number: self.lookup(n), 0)) if row[3] == number)
+            return
         for page in range(partition.first, partition.last):
             docs = with_retry(self.fetch, page)
             yield from rows_of(page, docs)
@@ -83,6 +100,37 @@ class ListingReader(DataSourceReader):
                 return
 
 
+class ListingStream(SimpleDataSourceStreamReader):
+    """New entries of a listing that has the newest first. The offset is the largest entry id seen; a micro-batch reads pages until KNOWN_PAGES in a row have nothing above it."""
+
+    def __init__(self, fetch: Callable[[int], list[dict]]) -> None:
+        self.fetch = fetch
+
+    def initialOffset(self) -> dict:
+        return {"newest": -1}
+
+    def _above(self, newest: int) -> list[tuple]:
+        rows, known, page = [], 0, 0
+        while known < KNOWN_PAGES:
+            docs = with_retry(self.fetch, page)
+            if not docs:
+                break
+            new = [row for row in rows_of(page, docs) if row[2] is not None and row[2] > newest]
+            rows, known, page = rows + new, 0 if new else known + 1, page + 1
+        return rows
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows = self._above(start["newest"])
+        return iter(rows), {"newest": max([start["newest"], *(row[2] for row in rows)])}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        """The same entries again, after a failure; later ones wait for the next batch."""
+        return iter([row for row in self._above(start["newest"]) if row[2] <= end["newest"]])
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 def rows_of(page: int, docs: list[dict]) -> Iterator[tuple]:
     """A page's entries as rows of SCHEMA: the first element of each array."""
     names = ("b_id", "b_bid_number", "b_id_parent", "b_bid_number_parent", "final_end_date_sort", "b_is_inactive")
@@ -102,8 +150,8 @@ def lookup_bids(numbers: DataFrame, lookup: Callable[[str], list[dict]], tasks:
     return numbers.where("bid_number is not null").select("bid_number").distinct().repartition(tasks).mapInPandas(ask, SCHEMA)
 
 
-def listing_source(fetch: Callable[[int], list[dict]], name: str = "listing") -> type[DataSource]:
-    """A data source class to register; fetch(page) gives the page's entries and must be picklable. Options: pages (all without), pagesPerTask."""
+def listing_source(fetch: Callable[[int], list[dict]], name: str = "listing", lookup: Callable[[str], list[dict]] | None = None) -> type[DataSource]:
+    """A data source class to register, for reads and streams; fetch(page) gives the page's entries, lookup(number) those of a bid number; both must be picklable. Options: pages (all without), pagesPerTask, bidNumbers."""
 
     class Listing(DataSource):
         @classmethod
@@ -114,7 +162,10 @@ def listing_source(fetch: Callable[[int], list[dict]], name: str = "listing") ->
             return SCHEMA
 
         def reader(self, schema) -> ListingReader:
-            return ListingReader(self.options, fetch)
+            return ListingReader(self.options, fetch, lookup)
+
+        def simpleStreamReader(self, schema) -> ListingStream:
+            return ListingStream(fetch)
 
     return Listing
 
@@ -137,8 +188,10 @@ def candidates(entries: DataFrame) -> DataFrame:
     )
 
 
-def until_known(found: DataFrame, known: DataFrame, pages: int = KNOWN_PAGES) -> DataFrame:
-    """Candidates up to the page that completes a run of all-known pages; pages without candidates neither break nor lengthen a run. The window runs over one row a page."""
+def until_known(found: DataFrame, known: DataFrame, pages: int = KNOWN_PAGES, full_sync: bool = False) -> DataFrame:
+    """Candidates up to the page that completes a run of all-known pages; pages without candidates neither break nor lengthen a run. The window runs over one row a page. With full_sync all candidates."""
+    if full_sync:
+        return found
     marked = found.join(known.select("bid_id").distinct().withColumn("_known", F.lit(True)), "bid_id", "left")
     per_page = marked.groupBy("page").agg(F.bool_and(F.coalesce("_known", F.lit(False))).alias("all_known"))
     run = F.sum(F.col("all_known").cast("int")).over(Window.orderBy("page").rowsBetween(-(pages - 1), 0))
