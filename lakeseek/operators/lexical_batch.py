@@ -1,9 +1,10 @@
 """Full-text search for a table of queries: parsing, BM25, top-k and match quality as joins.
 
 Queries are parsed by expressions, not in the driver. A phrase that many queries have is
-matched once: distinct phrases meet the postings by term, their document frequency
-follows from the matches, and only then are they joined with the queries that have
-them. Each task keeps the best of a query before the others are met.
+matched once: distinct phrases meet the postings by term, and their document frequency
+follows from the matches. These are dealt out by chunk, and only there joined with the queries that have
+the phrase, so that a chunk's scores are added up where they are made and a common
+word of many queries moves once. Each task keeps the best of a query before the others are met.
 Scores are compared by nine digits, so that the order in which they were added up doesn't matter.
 """
 
@@ -16,6 +17,8 @@ from lakeseek.functions.text import BID_ID, fold, normalise, query_terms_column
 from lakeseek.operators.lexical import B, EXACT_SCORE, K1, LEAST_IDF, TEXT_SHARE, TEXT_WEIGHT, TITLE_FLOOR, TITLE_WEIGHT, LexicalIndex, idf
 
 DIGITS = 9
+#: Rows of the table of queries' phrases up to which it is broadcast: some 20 MB.
+PHRASES = 300_000
 
 
 def phrases(queries: DataFrame) -> DataFrame:
@@ -53,7 +56,9 @@ def bm25(index: LexicalIndex, queries: DataFrame, title_weight: float = TITLE_WE
     f = title_weight * F.col("a") + text_weight * F.col("b")
     rare = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     impact = F.when(rare <= 0, LEAST_IDF).otherwise(rare) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    weighed = found.join(df, "phrase").crossJoin(F.broadcast(index.stats)).select("phrase", "chunk_id", impact.alias("impact"))
+    weighed = found.join(df, "phrase").crossJoin(F.broadcast(index.stats)).select("phrase", "chunk_id", impact.alias("impact"))  # one row
+    if asked.count() <= PHRASES:
+        weighed, asked = weighed.repartition("chunk_id"), F.broadcast(asked)
     return weighed.join(asked, "phrase").groupBy("query_id", "chunk_id").agg(F.round(-F.sum(F.col("impact") * F.col("times")), DIGITS).alias("score"))
 
 
@@ -70,8 +75,9 @@ def search(index: LexicalIndex, chunks: DataFrame, queries: DataFrame, limit: in
         asked = queries.where(F.trim("query").rlike(f"(?i)^{BID_ID}$")).select("query_id", F.lower(F.trim("query")).alias("_id"))
         exact = chunks.join(asked, F.lower(F.col(id_column)) == F.col("_id")).select("query_id", "chunk_id", F.lit(EXACT_SCORE).alias("score"))
         found = found.unionByName(exact).groupBy("query_id", "chunk_id").agg(F.min("score").alias("score"))
-    rows = chunks.join(found, "chunk_id")
-    return best(rows if condition is None else rows.where(condition), limit)
+    # Ranks first: texts are fetched for what is left.
+    kept = found if condition is None else found.join(chunks.where(condition).select("chunk_id"), "chunk_id", "left_semi")
+    return chunks.join(best(kept, limit), "chunk_id")
 
 
 def term_weights(index: LexicalIndex, queries: DataFrame) -> DataFrame:

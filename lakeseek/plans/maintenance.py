@@ -27,7 +27,7 @@ from lakeseek.sources.store import Store
 
 EXPIRY_DAYS = 7
 FILES = "pdf_path string, document_hash string, length long, modified timestamp, bid_id string"
-CHUNKS = "chunk_id string, bid_id string, chunk_type string, text string, clause_no long, pdf_path string, hash string"
+CHUNKS = "chunk_id string, bid_id string, chunk_type string, title string, text string, clause_no long, pdf_path string, hash string"
 Embed = Callable[[DataFrame], DataFrame]
 
 
@@ -53,8 +53,7 @@ def refresh_index(store: Store) -> bool:
     version = store.version("chunks")
     if version is None or store.state("index").get("version") == version:
         return False
-    chunks = store.read("chunks")
-    index(store).synchronise(chunks if "title" in chunks.columns else chunks.withColumn("title", F.lit("")))
+    index(store).synchronise(store.read("chunks"))
     store.set_state("index", version=version)
     return True
 
@@ -93,8 +92,8 @@ def merge_documents(store: Store, docs: DataFrame, now: datetime, listed: DataFr
     """
     key, columns = "pdf_path", [c.split()[0] for c in CHUNKS.split(", ")]
     meta = extract.metadata(docs, now=F.lit(now.isoformat()))
-    made = extract.chunk_arrays(meta).select(key, "document_hash", "bid_id", "text", "_chunks")
-    store.publish("staging", made.select(key, "document_hash", "bid_id", F.col("text").isNotNull().alias("readable"), "_chunks"))
+    made = extract.chunk_arrays(meta)
+    store.publish("staging", made.select(key, "document_hash", "bid_id", F.coalesce("bid_title", F.lit("")).alias("title"), F.col("text").isNotNull().alias("readable"), "_chunks"))
     staged = store.read("staging").where("readable")
     known, stored = _table(store, "files", FILES), _table(store, "file_chunks", CHUNKS)
     gone = known.select(key).limit(0) if listed is None else known.join(listed.select(F.col("path").alias(key)), key, "left_anti").select(key)
@@ -110,7 +109,7 @@ def merge_documents(store: Store, docs: DataFrame, now: datetime, listed: DataFr
     current = store.read("next_files")
     counts = {"parsed": staged.count(), "unreadable": store.read("staging").where("not readable").count(), "removed_files": gone.count(), "upserts": 0, "deletes": 0}
     if counts["parsed"] or counts["removed_files"]:
-        rows = staged.select(key, "bid_id", F.inline("_chunks")).withColumn("hash", F.md5("text")).select(*columns)
+        rows = staged.select(key, "bid_id", "title", F.inline("_chunks")).withColumn("hash", F.md5(F.concat_ws("\n", "title", "text"))).select(*columns)
         store.publish("file_chunks", stored.join(touched, key, "left_anti").select(*columns).unionByName(rows))
         last = extract.last_documents(current.join(bids, "bid_id", "left_semi")).select(key)
         old = _table(store, "chunks", CHUNKS)

@@ -78,7 +78,9 @@ def manifest_join(spark, sf_dir):
 @query
 def manifest_round_trip(spark, sf_dir):
     """SNK-02, SL-09: the manifest of all records as JSON with sorted ids, written in parts and read back."""
-    path = fixtures.stored(spark, sf_dir, "manifest", lambda p: sinks.write_manifest(_records(spark, sf_dir), p, "2024-01-01T00:00:00Z"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd").alias("download_date")
+    records = fixtures.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("bid_id"), day, F.col("o_orderpriority").alias("downloaded_at"))
+    path = fixtures.stored(spark, sf_dir, "manifest", lambda p: sinks.write_manifest(records, p, "2024-01-01T00:00:00Z"))
     return sinks.read_manifest(spark, path).select("bid_id", "download_date", "downloaded_at")
 
 

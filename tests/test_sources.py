@@ -229,3 +229,29 @@ def test_newness_keeps_its_state(spark, tmp_path):
         late.append(sum(int(s["numRowsDroppedByWatermark"]) for p in run.recentProgress for s in p["stateOperators"]))
     assert sorted((k, what) for k, what, _ in out) == [(1, "new"), (1, "old"), (2, "new"), (2, "old"), (3, "new"), (4, "new")]
     assert late[:2] == [0, 0] and late[2] >= 1
+
+
+def parse_pdf(content: bytes) -> str:
+    return content.decode()
+
+
+def embed_texts(texts: list[str]) -> list[list[float]]:
+    return [[float("Desk" in t or "desk" in t), float("Lamp" in t or "lamp" in t)] for t in texts]
+
+
+def test_extract_embed_and_search_commands(spark, tmp_path):
+    from lakeseek.__main__ import main
+
+    folder = tmp_path / "pdf"
+    folder.mkdir()
+    for i, what in enumerate(["Desk", "Lamp", "Lamp"], 1):
+        (folder / f"bid_{i}.pdf").write_text(f"Bid Number: GEM/2024/B/{i}\nItem Category\n{what}\nGeMARPTS\n")
+    base = ["--store", f"file://{tmp_path}/s"]
+    extract = ["extract", *base, "--folder", f"file://{folder}", "--parser", "tests.test_sources:parse_pdf"]
+    assert json.loads(main(extract)[0])["parsed"] == 3 and json.loads(main(extract)[0])["parsed"] == 0
+    embed = ["embed", *base, "--embedder", "tests.test_sources:embed_texts"]
+    assert json.loads(main([*embed, "--limit", "4"])[0])["upsert"] == 4 and json.loads(main(embed)[0])["upsert"] == 2
+    found = [json.loads(x) for x in main(["search", *base, "lamp", "--where", '{"bid_id": {"$ne": "GEM/2024/B/2"}}'])]
+    assert {r["bid_id"] for r in found} == {"GEM/2024/B/3"}
+    both = [json.loads(x) for x in main(["search", *base, "desk", "--embedder", "tests.test_sources:embed_texts", "--limit", "2"])]
+    assert {r["bid_id"] for r in both} == {"GEM/2024/B/1"}
