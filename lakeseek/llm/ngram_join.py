@@ -140,6 +140,7 @@ def _profiles(k: int, percent: int, frequent):
                     ],
                     ["doc_id", "text_key", "size", "print", "window", "sketch"],
                 )
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -209,7 +210,7 @@ def _propose(doc, size, sketch, comp, failed, percent: int, turn: int) -> tuple[
         while True:
             todo[u] = False
             low, can = _near(sketch, coarse, size, u, percent)
-            if failed[u]:
+            if len(failed[u]):
                 can &= ~np.isin(doc, failed[u])
             same = comp == comp[u]
             low[same], can[same] = -1, True
@@ -230,7 +231,7 @@ def _propose(doc, size, sketch, comp, failed, percent: int, turn: int) -> tuple[
         can[i, j] = low[i, j] * (100 + percent) <= limit[i, j]
         near = can | can.T
         for u in range(n):
-            if failed[u]:
+            if len(failed[u]):
                 lost = np.isin(doc, failed[u])
                 near[u, lost] = near[lost, u] = False
         if n - 1 > most and near.sum(1).max() > most:
@@ -246,7 +247,7 @@ def _propose(doc, size, sketch, comp, failed, percent: int, turn: int) -> tuple[
         low, can = _near(sketch, coarse, size, u, percent)
         can &= comp != comp[u]
         can[u] = False
-        if failed[u]:
+        if len(failed[u]):
             can &= ~np.isin(doc, failed[u])
         found = np.flatnonzero(can)
         found = found[np.lexsort((doc[found], low[found]))]
@@ -256,6 +257,19 @@ def _propose(doc, size, sketch, comp, failed, percent: int, turn: int) -> tuple[
     return out, _joins(comp, out, left)
 
 
+_NOTHING = np.zeros(0, np.int64)
+
+
+def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as views of its numbers; a null is an empty one."""
+    out = []
+    for chunk in column.chunks:
+        offsets, values = chunk.offsets.to_numpy(), chunk.values.to_numpy(zero_copy_only=False)
+        given = chunk.is_valid().to_numpy(zero_copy_only=False)
+        out += [values[a:b] if g else _NOTHING for a, b, g in zip(offsets[:-1].tolist(), offsets[1:].tolist(), given.tolist(), strict=True)]
+    return out
+
+
 def _join_cells(percent: int, turn: int):
     def pairs(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
@@ -263,7 +277,7 @@ def _join_cells(percent: int, turn: int):
         raw = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH // 2)
         sketch = np.empty((len(doc), SKETCH), np.int8)
         sketch[:, 0::2], sketch[:, 1::2] = raw >> 4, raw & 15
-        failed = t.column("failed").to_pylist() if "failed" in t.column_names else [None] * len(doc)
+        failed = _views(t.column("failed")) if "failed" in t.column_names else [_NOTHING] * len(doc)
         starts = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (cell[1:] != cell[:-1])]))
         sizes = np.diff(np.append(starts, len(doc)))
         two = starts[sizes == 2] if turn == 0 else starts[:0]
@@ -300,6 +314,8 @@ def _join_cells(percent: int, turn: int):
                 held = held.slice(int(last[-1]) + 1)
         if held is not None:
             yield pairs(held)
+        held = None
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -525,8 +541,10 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, region: int) -> Data
     replicas = reps.select(F.explode("window").alias("region"), "node")
     met = replicas.repartitionByRange("region", "node").sortWithinPartitions("region", "node").mapInArrow(_met, "region long, node long")
     active = stash(met.distinct(), "regions")
-    nodes = reps.select("node", "doc_id", "text_key", "size")
-    outlines = reps.select("node", "size", "sketch")
+    # Every turn reads these: written once, without the windows.
+    outlined = stash(reps.select("node", "doc_id", "text_key", "size", "sketch"), "outlines")
+    nodes = outlined.select("node", "doc_id", "text_key", "size")
+    outlines = outlined.select("node", "size", "sketch")
     shared = stash(_shared_ids(usable.select("doc_id", "print").join(classes.select("print", "rep"), "print")), "shared-ids")
     comps = None if shared.isEmpty() else connected_components(shared)
     tried, turn, pivots = None, 0, True
