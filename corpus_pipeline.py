@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeseek.llm import decontaminate, language_id, line_dedup, mixing, ngram_join
-from lakeseek.llm.common import stash, table
+from lakeseek.llm.common import scratch, stash, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,6 +61,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
+    # Every table made on the way is deleted at the end, but for the last stage's.
+    with scratch() as keep:
+        for name, stage in STAGES:
+            written = keep if name == STAGES[-1][0] else stash
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
