@@ -105,6 +105,7 @@ def _some(c: Column) -> Column:
     return F.coalesce(c != 0, F.lit(False))
 
 
+#: The sentences of the chunk builders below are fixed values: they have to read as written.
 def overview(m: DataFrame) -> Column:
     org, ministry = m["client_organization"], m["ministry"]
     return F.concat_ws(

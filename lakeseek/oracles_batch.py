@@ -58,6 +58,8 @@ SELECT query_id, rank, chunk_id, round(score, 9) AS score, dense_rank, lexical_r
 
 
 ORACLES: dict[str, str] = {
+    "legacy_array": """SELECT o_orderkey AS bid_id, '{"[' || chr(92) || o_orderpriority AS title, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders""",
+    "arrivals_by_window": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1",
     "file_changes": """SELECT 'pages/' || page_id || '.pdf' AS path, CASE page_id % 10 WHEN 1 THEN 'changed' WHEN 3 THEN 'changed' WHEN 2 THEN 'new' WHEN 4 THEN 'removed' ELSE 'unchanged' END AS change FROM pages""",
     "last_document_of_a_bid": f"""WITH {_WIDE}
 SELECT {_BID} || '::atc_clause::1' AS chunk_id, 'Generic: ' || CASE WHEN k % 3 = 0 THEN 'Other' ELSE 'First' END || ' term of order ' || k || chr(10) || o_orderstatus AS text, k % 3 = 0 AS second FROM wide

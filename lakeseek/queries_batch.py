@@ -15,6 +15,8 @@ from lakeseek.operators.vector_index import VectorIndex
 from lakeseek.operators.where import where
 from lakeseek.plans import hybrid
 from lakeseek.queries_search import QUERY, _index, _rounded
+from lakeseek.sources import json_array, sinks
+from lakeseek.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -124,3 +126,19 @@ def last_document_of_a_bid(spark, sf_dir):
     more = docs.where(F.col("o_orderkey") % 3 == 0).select(F.concat(F.lit("bids/2025"), F.substring("path", 10, 1000)).alias("path"), F.replace("text", F.lit("First term"), F.lit("Other term")).alias("text"), "o_orderkey")
     last = extract.last_documents(extract.metadata(docs.unionByName(more), "", F.lit("2024-01-01")))
     return extract.chunks(last).where("chunk_type = 'atc_clause'").select("chunk_id", "text", F.col("pdf_path").like("bids/2025%").alias("second"))
+
+
+@query
+def legacy_array(spark, sf_dir):
+    """SRC-09: all orders as one JSON document with an array, read back by byte ranges of a mebibyte."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")
+    rows = fixtures.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("bid_id"), F.concat(F.lit('{"[\\'), F.col("o_orderpriority")).alias("title"), day)
+    path = fixtures.stored(spark, sf_dir, "legacy-array", lambda p: sinks.write_array(rows, p, "bids", "bid_id"))
+    return json_array.read_array(spark, path, schema="bid_id long, title string, day string", range_bytes=1 << 20)
+
+
+@query
+def arrivals_by_window(spark, sf_dir):
+    """INC-02: arrivals in windows of event time; on a table nothing is late."""
+    events = fixtures.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return ingest.newness(events, "ts", "1 hour", "10 minutes").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n")

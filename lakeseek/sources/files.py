@@ -20,6 +20,8 @@ def documents(spark: SparkSession, folder: str, contents: bool = True) -> DataFr
 #: Characters that a path pattern gives a meaning to: fixed values.
 _PATTERN = r"([\[\]{}?*,\\])"
 PATHS = 10_000
+#: Bytes of downloaded contents that a task holds before it passes them on.
+HELD_BYTES = 16 << 20
 
 
 def contents(spark: SparkSession, paths: DataFrame, block: int = PATHS) -> Iterator[DataFrame]:
@@ -72,6 +74,7 @@ def manifest(raw: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("r.bid_id", F.col("k").try_cast("long")).alias("bid_id"), "r.bid_number", "r.pdf_path", "r.download_date", "r.downloaded_at")
 
 
+#: Below: header and file-name patterns, suffixes and the characters that file systems refuse are fixed values.
 def file_name(disposition: Column, content_type: Column) -> Column:
     """A download's file name: filename*, then filename, then one by content type; characters that file systems refuse become _."""
     star = F.url_decode(F.nullif(F.regexp_extract(disposition, r"(?i)filename\*=(?:UTF-8'')(\S+)", 1), F.lit("")))
@@ -119,19 +122,24 @@ def _place(path: str):
 def download(bids: DataFrame, fetch: Callable[[int], tuple[str | None, str | None, bytes]], folder: str, date: str, tasks: int = 5) -> DataFrame:
     """(bid_id, pdf_path, download_date, n_bytes, error) of bids(bid_id): fetch gives disposition, content type and content; files go to folder/date as bid_<id>_<name>.
 
-    At most ``tasks`` requests run at once. Empty contents and failures leave no file and say why. Store the result before it is used twice: each evaluation downloads.
+    At most ``tasks`` requests run at once; a task holds about HELD_BYTES of contents. Empty contents and failures leave no file and say why. Store the result before it is used twice: each evaluation downloads.
     """
 
     def get(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["bid_id", "head", "kind", "content", "error"]
+        rows, held = [], 0
         for batch in batches:
-            rows = []
             for bid in batch["bid_id"]:
                 try:
                     head, kind, content = fetch(int(bid))
                     rows.append((bid, head, kind, bytes(content), None if content else "empty"))
+                    held += len(content)
                 except Exception as problem:
                     rows.append((bid, None, None, b"", f"{type(problem).__name__}: {problem}"))
-            yield pd.DataFrame(rows, columns=["bid_id", "head", "kind", "content", "error"])
+                if held > HELD_BYTES:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+        yield pd.DataFrame(rows, columns=columns)
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place, root = _place(f"{folder}/{date}")

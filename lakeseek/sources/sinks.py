@@ -97,6 +97,28 @@ def _joined(spark: SparkSession, target: str, pieces: list[str]) -> None:
         raise OSError(f"{target} can't be replaced")
 
 
+def write_array(rows: DataFrame, path: str, name: str, key: str) -> None:
+    """One JSON document {name: [...]} with the rows as objects, a line each, in the order of key, which each row has once. Lines are made and sorted by many tasks."""
+    import json
+
+    spark = rows.sparkSession
+    work = f"{path}.parts-{uuid.uuid4().hex}"
+    last = rows.agg(F.max(key)).first()[0]
+    comma = F.when(F.col(key) == F.lit(last), "").otherwise(",")
+    rows.repartitionByRange(key).sortWithinPartitions(key).select(F.concat(F.to_json(F.struct(*rows.columns)), comma).alias("value")).write.text(f"{work}/rows")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(work)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    ends = []
+    for piece, text in (("head", "{" + json.dumps(name) + ": [\n"), ("tail", "]}\n")):
+        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{work}/{piece}"), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        ends.append(f"{work}/{piece}")
+    parts = sorted(s.getPath().toString() for s in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{work}/rows")) if s.getPath().getName().startswith("part-"))
+    _joined(spark, path, [ends[0], *parts, ends[1]])
+    fs.delete(folder, True)
+
+
 def write_manifest(records: DataFrame, path: str, updated_at: str) -> None:
     """The manifest of records(bid_id, ...) as one JSON document with a line for each id and record, ids in order.
 
