@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lakeseek.functions.dates import parse_date
-from lakeseek.functions.text import BID_ID
+from lakeseek.functions.text import BID_ID, let
 
 #: Labels as they stand in documents, misspelling included: fixed values.
 BID_START, BID_END = "Bid Start Date/Time", "Bid End Date/Time"
@@ -64,11 +64,6 @@ def _after(lines: Column, label: str, k: int, hit: str, group: int = 1) -> Colum
     return found(_from(lines, label), rf"\Q{label}\E[^\n]*\n(?:[^\n]*\n){{0,{k - 1}}}?{hit}", group)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, which is evaluated once however often body uses it. (Shared parts of conditional expressions aren't found by the compiler.)"""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _whole(marked: Column) -> Column:
     """A line found together with the line feed before it; an empty line is an empty text, no line is null."""
     return F.substr(F.nullif(marked, F.lit("")), F.lit(2))
@@ -127,8 +122,8 @@ def _section(lines: Column, label: str, k: int, body: Callable[[Column, Column],
     """body of two columns: whether, in the first section with the label, 'no' follows a Required line among the next four; and the k + 1 lines after the label, each behind a line feed."""
     block = F.regexp_extract(F.coalesce(_from(lines, label), F.lit("")), rf"\Q{label}\E[^\n]*((?:\n[^\n]*){{0,{k + 1}}})", 1)
     refusal = r"\A(?:\n[^\n]*){0,3}\n[^\n]*Required[^\n]*\n(?i:no)(?:\n|\z)"
-    both = _let(block, lambda b: F.struct(b.alias("block"), F.coalesce(b.rlike(refusal), F.lit(False)).alias("refused")))
-    return _let(both, lambda x: body(x["refused"], x["block"]))
+    both = let(block, lambda b: F.struct(b.alias("block"), F.coalesce(b.rlike(refusal), F.lit(False)).alias("refused")))
+    return let(both, lambda x: body(x["refused"], x["block"]))
 
 
 def _last(block: Column, k: int, word: str, hit: str, unless: tuple[str, ...] = ()) -> Column:
@@ -186,7 +181,7 @@ def bid_id(text: Column, path: Column) -> Column:
 
 
 def published_date(text: Column) -> Column:
-    return _let(found(text, r"(?i)Dated:\s*(\d{2}-\d{2}-\d{4})"), parse_date)
+    return let(found(text, r"(?i)Dated:\s*(\d{2}-\d{2}-\d{4})"), parse_date)
 
 
 def link(bid: Column, internal_id: Column, path: Column, base: str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +29,11 @@ def _accents() -> tuple[str, str]:
 _ACCENTED, _PLAIN = _accents()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once however often body uses it. (Shared parts of conditional expressions aren't found by the compiler.)"""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

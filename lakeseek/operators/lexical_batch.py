@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeseek.functions.text import BID_ID, fold, normalise, query_terms_column
+from lakeseek.functions.text import BID_ID, fold, let, normalise, query_terms_column
 from lakeseek.operators.lexical import B, EXACT_SCORE, K1, LEAST_IDF, TEXT_SHARE, TEXT_WEIGHT, TITLE_FLOOR, TITLE_WEIGHT, LexicalIndex, idf
 
 DIGITS = 9
@@ -96,9 +96,9 @@ def match_quality(hits: DataFrame, queries: DataFrame, weights: DataFrame, id_co
     asked = queries.select("query_id", F.trim("query").alias("_query"), normalise(F.col("query")).alias("_norm"))
     rows = hits.join(asked, "query_id").join(weights, "query_id", "left")
     rows = rows.withColumns({"_text": normalise(F.col("text")), "_title": normalise(F.col("title"))})
-    rows = rows.withColumns({"_in_text": F.split("_text", " "), "_in_title": F.split("_title", " ")})
-    covered = lambda c: F.aggregate("terms", F.lit(0.0), lambda s, t: s + F.when(F.array_contains(c, t["term"]), t["w"]).otherwise(0.0))
-    rows = rows.withColumns({"_text_w": covered("_in_text"), "_title_w": covered("_in_title")})
+    # The words are bound once: the optimiser would put their making into the inner function, and do it for each term.
+    covered = lambda c: let(F.split(c, " "), lambda words: F.aggregate("terms", F.lit(0.0), lambda s, t: s + F.when(F.array_contains(words, t["term"]), t["w"]).otherwise(0.0)))
+    rows = rows.withColumns({"_text_w": covered("_text"), "_title_w": covered("_title"), "_has_top": F.array_contains(F.split("_title", " "), F.col("top"))})
     title, share = F.col("_title_w") / F.col("total"), F.col("_text_w") / F.col("total")
     same = F.lower(F.col(id_column)) == F.lower("_query") if id_column else F.lit(False)
     quality = (
@@ -106,7 +106,7 @@ def match_quality(hits: DataFrame, queries: DataFrame, weights: DataFrame, id_co
         .when(F.col("terms").isNull(), 0.0)
         .when(F.contains("_text", "_norm"), 1.0)
         .when((F.col("n_terms") >= 3) & (F.col("_text_w") < 0.5 * F.col("total")) & (F.col("_title_w") == 0), 0.0)
-        .when((title >= 0.5) & F.array_contains("_in_title", F.col("top")), F.greatest(F.lit(TITLE_FLOOR), title))
+        .when((title >= 0.5) & F.col("_has_top"), F.greatest(F.lit(TITLE_FLOOR), title))
         .when(title >= 0.5, title)
         .otherwise(F.greatest(title, TEXT_SHARE * share))
     )
