@@ -53,7 +53,7 @@ def search(
         query_embedding = embedder([QUERY_PREFIX + query])[0]
     test, candidates = where(condition), max(4 * limit, 40)
     real = ~F.coalesce(F.col("is_boilerplate"), F.lit(False)) if exclude_boilerplate and "is_boilerplate" in chunks.columns else F.lit(True)
-    rows = chunks if vectors is None else vectors.select("chunk_id", "embedding").join(chunks.drop("title", "text"), "chunk_id")
+    rows = chunks if vectors is None else vectors.select("chunk_id", "embedding").join(chunks.drop("title", "text", "embedding"), "chunk_id")
     near = dense.knn(rows, query_embedding, dense_candidates or candidates, test, metric).where(real)
     hits = lexical.search(index, chunks, query, lexical_candidates or candidates, test, id_column, mode).where(real)
     weighed = lexical.match_quality(hits, query, lexical.term_weights(index, query_terms(query)), id_column)
