@@ -88,6 +88,53 @@ def test_vectors_of_sparse_pairs(spark):
         assert found == {i: (links[i], roots[i]) for i in range(4000)}
 
 
+def grouped_vectors(rng):
+    """6,000 unlike vectors, 200 pairs, a chain, 40 groups of 5, and two groups of 300 that link only with each other's outer half."""
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    beside = lambda v, cos: cos * v + np.sqrt(1 - cos**2) * unit((w := rng.standard_normal(v.shape)) - (w * v).sum(-1, keepdims=True) * v)
+    base = unit(rng.standard_normal((6000, 64)))
+    chain = [base[500]]
+    for _ in range(60):
+        chain.append(beside(chain[-1], 0.935))
+    centre = unit(rng.standard_normal(64))
+    large = [unit(c + 0.012 * rng.standard_normal((300, 64))) for c in (centre, beside(centre, 0.94))]
+    fives = unit(np.repeat(base[1000:1040], 5, axis=0) + 0.02 * rng.standard_normal((200, 64)))
+    return np.concatenate([base, beside(base[:200], 0.932), np.array(chain[1:]), *large, fives])
+
+
+def test_search_carries_the_result(spark):
+    """No label is compared as a whole, and the links and components are those of brute force; without rounds and with too few orders the audit says so."""
+    x = grouped_vectors(np.random.default_rng(21))
+    links, roots = exact_links(x)
+    nodes = spark.createDataFrame([("1/64", i, v.tobytes(), 1) for i, v in enumerate(x)], "grp string, id long, vec binary, copies int")
+    labels, whole = embedding_neardup._audited(nodes, 0.93, embedding_neardup.ROUNDS)
+    assert whole.count() == 0
+    found = {r.id: r.component for r in labels.collect()}
+    assert sum(found.get(i, i) != roots[i] for i in range(len(x))) <= 2
+    counts, joined = embedding_neardup._complete(nodes, labels, whole, 0.93, 512)
+    counted = {r.id: r.links for r in counts.collect()}
+    assert set(counted) == set(found) and sum(counted[i] != links[i] for i in counted) <= 4
+    none = spark.createDataFrame([], "id long, component long")
+    recall, bridges = embedding_neardup.audit(nodes, none)
+    assert recall.first().recall == 0 and bridges.count() > 0
+    true = spark.createDataFrame([(i, int(r)) for i, r in enumerate(roots) if links[i]], "id long, component long")
+    recall, bridges = embedding_neardup.audit(nodes, true)
+    assert recall.first().recall == 1 and bridges.count() == 0
+
+
+def test_a_label_without_recall_is_compared_whole(spark, monkeypatch):
+    """No order, no round: the audit fails the label in each try, and the sweep finds every link."""
+    x = grouped_vectors(np.random.default_rng(22))[5000:]
+    links, roots = exact_links(x)
+    monkeypatch.setattr(embedding_neardup, "_search", lambda nodes, sizes, *_: [nodes.where("id < 0").selectExpr("id as a", "id as b")])
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_neardup.near_duplicates(table).collect()}
+    assert found == {i: (links[i], roots[i]) for i in range(len(x))}
+    monkeypatch.undo()
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_neardup.near_duplicates(table, exact=True).collect()}
+    assert found == {i: (links[i], roots[i]) for i in range(len(x))}
+
+
 def test_vectors_table(spark, sf):
     table = spark.read.parquet(f"{sf}/embeddings.parquet")
     assert embedding_neardup.near_duplicates(table).count() == table.count()
