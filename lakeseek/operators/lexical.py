@@ -321,19 +321,20 @@ def bm25(index: LexicalIndex, phrases: list[list[str]], title_weight: float = TI
     return rows.select("chunk_id", (-score).alias("score"))
 
 
-def search(index: LexicalIndex, chunks: DataFrame, query: str, limit: int, condition: Column | None = None, id_column: str | None = None, mode: str = "post") -> DataFrame:
-    """chunks columns with score and lexical_rank: the best of query. mode "post" filters the best 25 x limit, "pre" filters first. A query that is an exact id adds the rows with it, before all others."""
+def search(index: LexicalIndex, chunks: DataFrame, query: str, limit: int | None, condition: Column | None = None, id_column: str | None = None, mode: str = "post") -> DataFrame:
+    """chunks columns with score and lexical_rank: the best of query. mode "post" filters the best 25 x limit, "pre" filters first. A query that is an exact id adds the rows with it, before all others. Without a limit every hit is returned, in no order."""
     best = bm25(index, query_phrases(query))
     if mode == "pre" and condition is not None:
         best = best.join(chunks.where(condition).select("chunk_id"), "chunk_id", "left_semi")
-    best = best.orderBy("score", "chunk_id").limit(max(25 * limit, 250))
+    if limit is not None:
+        best = best.orderBy("score", "chunk_id").limit(max(25 * limit, 250))
     if id_column and is_bid_id(query):
         exact = chunks.where(F.lower(F.col(id_column)) == query.strip().lower()).select("chunk_id", F.lit(EXACT_SCORE).alias("score"))
         best = best.unionByName(exact).groupBy("chunk_id").agg(F.min("score").alias("score"))
     rows = chunks.join(best, "chunk_id")
     if condition is not None:
         rows = rows.where(condition)
-    return rows.orderBy("score", "chunk_id").limit(limit)
+    return rows if limit is None else rows.orderBy("score", "chunk_id").limit(limit)
 
 
 def idf(n: Column, df: Column) -> Column:

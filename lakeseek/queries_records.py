@@ -231,7 +231,7 @@ def exact_id_first(spark, sf_dir):
     chunks, index = _index(spark, sf_dir)
     named = chunks.withColumn("bid_id", F.concat(F.lit("GEM/2024/B/"), (F.col("chunk_id") % 100).cast("string")))
     assert text.is_bid_id("gem/2024/b/7")
-    return lexical.search(index, named, "gem/2024/b/7", 1000, id_column="bid_id").where(F.col("score") == lexical.EXACT_SCORE).select("chunk_id", "bid_id")
+    return lexical.search(index, named, "gem/2024/b/7", None, id_column="bid_id").where(F.col("score") == lexical.EXACT_SCORE).select("chunk_id", "bid_id")
 
 
 @query

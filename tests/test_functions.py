@@ -240,6 +240,18 @@ def test_index_updates(spark):
     assert less.stats.first().n == 11 and less.postings.where("chunk_id = 20").isEmpty()
 
 
+def test_exact_id_has_all_its_rows(spark, tmp_path):
+    """More rows with the exact id than any limit of a result page."""
+    from lakeseek.queries_records import exact_id_first
+
+    n = 120_050
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("gem word").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(8).cast("long").alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = exact_id_first(spark, str(tmp_path)).collect()
+    assert sorted(r.chunk_id for r in rows) == list(range(7, n, 100))
+
+
 def test_index_of_segments(spark, tmp_path):
     """N, mean length and df equal a rebuild after random adds and removes; so does every score."""
     import random
