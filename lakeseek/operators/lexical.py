@@ -29,39 +29,53 @@ EXACT_SCORE = -1e12
 #: Stands for a term where a chunk has its length; no token is empty.
 NO_TERM = ""
 STRONG, TITLE_FLOOR, TEXT_SHARE = 0.20, 0.85, 0.7
+#: Tokens that a task numbers and sorts at once: some 30 MB.
+PIECE = 1 << 18
 
 
 def _tokens(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", index_tokens(F.col("title")).alias("a"), index_tokens(F.col("text")).alias("b"))
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in pieces of about PIECE tokens; a longer row is a piece of its own."""
+    tokens = sum(np.diff(batch.column(c).offsets.to_numpy()).astype(np.int64) for c in ("a", "b"))
+    before = np.cumsum(tokens) - tokens
+    cuts = np.r_[0, 1 + np.flatnonzero(np.diff(before // PIECE)), batch.num_rows]
+    for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        yield batch.slice(start, end - start)
+
+
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk_id, a, b) of tokens as postings: the tokens of a batch are numbered and sorted by chunk, term, part and place."""
+    """Rows (chunk_id, a, b) of tokens as postings: the tokens of a piece are numbered and sorted by chunk, term, part and place. A batch has as many rows however long they are, so memory is bounded by pieces."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        parts = [batch.column(c) for c in ("a", "b")]
-        sizes = [np.diff(c.offsets.to_numpy()) for c in parts]
-        owner = np.concatenate([np.repeat(np.arange(batch.num_rows), n) for n in sizes])
-        place = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in sizes])
-        part = np.repeat([0, 1], [n.sum() for n in sizes])
-        words = pa.concat_arrays([c.flatten() for c in parts]).dictionary_encode()
-        code = words.indices.to_numpy()
-        order = np.lexsort((place, part, code, owner))
-        owner, code, part, place = owner[order], code[order], part[order], place[order]
-        first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])]) if len(order) else np.zeros(0, int)
-
-        def lists(which: int, part: np.ndarray = part, place: np.ndarray = place, first: np.ndarray = first) -> pa.Array:
-            mine = part == which
-            ends = np.r_[0, np.cumsum(mine)]
-            return pa.ListArray.from_arrays(pa.array(np.r_[ends[first], ends[-1]].astype(np.int32)), pa.array(place[mine].astype(np.int32)))
-
-        length = (sizes[0] + sizes[1])[owner[first]].astype(np.int32)
-        columns = [words.dictionary.take(pa.array(code[first])), batch.column("chunk_id").take(pa.array(owner[first])), lists(0), lists(1), pa.array(length)]
-        names = ["term", "chunk_id", "title_at", "text_at", "length"]
-        yield pa.record_batch(columns, names)
-        nothing = pa.array([None] * batch.num_rows, pa.list_(pa.int32()))
-        yield pa.record_batch([pa.array([NO_TERM] * batch.num_rows), batch.column("chunk_id"), nothing, nothing, pa.array((sizes[0] + sizes[1]).astype(np.int32))], names)
+        for piece in _pieces(batch) if batch.num_rows else ():
+            yield from _posted(piece)
+
+
+def _posted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    parts = [batch.column(c) for c in ("a", "b")]
+    sizes = [np.diff(c.offsets.to_numpy()) for c in parts]
+    owner = np.concatenate([np.repeat(np.arange(batch.num_rows), n) for n in sizes])
+    place = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in sizes])
+    part = np.repeat([0, 1], [n.sum() for n in sizes])
+    words = pa.concat_arrays([c.flatten() for c in parts]).dictionary_encode()
+    code = words.indices.to_numpy()
+    order = np.lexsort((place, part, code, owner))
+    owner, code, part, place = owner[order], code[order], part[order], place[order]
+    first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])]) if len(order) else np.zeros(0, int)
+
+    def lists(which: int, part: np.ndarray = part, place: np.ndarray = place, first: np.ndarray = first) -> pa.Array:
+        mine = part == which
+        ends = np.r_[0, np.cumsum(mine)]
+        return pa.ListArray.from_arrays(pa.array(np.r_[ends[first], ends[-1]].astype(np.int32)), pa.array(place[mine].astype(np.int32)))
+
+    length = (sizes[0] + sizes[1])[owner[first]].astype(np.int32)
+    columns = [words.dictionary.take(pa.array(code[first])), batch.column("chunk_id").take(pa.array(owner[first])), lists(0), lists(1), pa.array(length)]
+    names = ["term", "chunk_id", "title_at", "text_at", "length"]
+    yield pa.record_batch(columns, names)
+    nothing = pa.array([None] * batch.num_rows, pa.list_(pa.int32()))
+    yield pa.record_batch([pa.array([NO_TERM] * batch.num_rows), batch.column("chunk_id"), nothing, nothing, pa.array((sizes[0] + sizes[1]).astype(np.int32))], names)
 
 
 def _made(chunks: DataFrame) -> DataFrame:

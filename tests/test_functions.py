@@ -252,6 +252,20 @@ def test_exact_id_has_all_its_rows(spark, tmp_path):
     assert sorted(r.chunk_id for r in rows) == list(range(7, n, 100))
 
 
+def test_postings_are_made_in_pieces(monkeypatch):
+    """A batch with many tokens is numbered piece by piece, with the same postings."""
+    import pyarrow as pa
+
+    rows = [[f"w{(i * j) % 17}" for j in range(i % 40)] for i in range(300)]
+    batch = pa.record_batch([pa.array(range(300)), pa.array([r[:2] for r in rows], pa.list_(pa.string())), pa.array(rows, pa.list_(pa.string()))], ["chunk_id", "a", "b"])
+    listed = lambda batches: sorted((str(r) for b in batches for r in b.to_pylist()))
+    whole = list(lexical._post(iter([batch])))
+    monkeypatch.setattr(lexical, "PIECE", 500)
+    parts = list(lexical._post(iter([batch])))
+    assert listed(parts) == listed(whole) and len(whole) == 2 and len(parts) > 10
+    assert max(sum(len(x or []) for c in ("title_at", "text_at") for x in b.column(c).to_pylist()) for b in parts) <= 500 + 42
+
+
 def test_index_of_segments(spark, tmp_path):
     """N, mean length and df equal a rebuild after random adds and removes; so does every score."""
     import random
