@@ -27,6 +27,8 @@ from lakeseek.operators import dense
 SAMPLE, SAMPLE_NUMBERS, ROUNDS, MOST_CELLS = 20_000, 4_000_000, 8, 4096
 #: Cells whose rings are asked for one by one.
 RINGS = 64
+#: Numbers of the queries that go to all tasks at once (8 MB), their distances from centroids, and rows that are compared with a tile of them at once.
+QUERY_NUMBERS, DISTANCES, ROWS = 1 << 20, 1 << 23, 2048
 #: For the rounding of square roots and sums.
 SLACK = 1e-9
 
@@ -144,47 +146,93 @@ class VectorIndex:
             parts.append(more)
         return dense.knn(reduce(DataFrame.unionByName, parts), query, n, condition, self.metric)
 
-    def _visits(self, queries: DataFrame, probes: int, exact: bool) -> DataFrame:
-        """(query_id, query, cell): the cells that queries(query_id, query[, bound]) have to see: the nearest, or beyond them all that the bound reaches."""
-        centres, cells, least, most, cosine = self.centres, self.cells, self.least, self.most, self.metric == "cosine"
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = _rows(batch.column("query"))
-                x = _unit(x) if cosine else x
-                d = np.sqrt(np.maximum(((x[:, None, :] - centres[None]) ** 2).sum(2), 0)) if len(centres) * x.size < 1 << 24 else np.stack([np.sqrt(((centres - q) ** 2).sum(1)) for q in x])
-                rank = np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1, kind="stable")
-                wanted = rank < probes
-                if exact:
-                    bound = batch.column("bound").to_numpy(zero_copy_only=False)[:, None]
-                    wanted = ~wanted & (np.maximum(d - most, least - d) <= bound)
-                i, c = np.nonzero(wanted)
-                yield pa.record_batch([batch.column("query_id").take(pa.array(i)), batch.column("query").take(pa.array(i)), pa.array(cells[c], pa.int32())], ["query_id", "query", "cell"])
-
-        kind = queries.schema["query_id"].dataType.simpleString()
-        return queries.mapInArrow(run, f"query_id {kind}, query array<double>, cell int")
-
     def search_many(self, queries: DataFrame, n: int, condition: Column | None = None, probes: int = 4, exact: bool = True) -> DataFrame:
-        """(query_id, chunk_id, distance, dense_rank) for each of queries(query_id, query): the n nearest. Approximate search stops after ``probes`` cells."""
+        """(query_id, chunk_id, distance, dense_rank) for each of queries(query_id, query): the n nearest. Approximate search stops after ``probes`` cells.
+
+        Queries go in blocks of at most QUERY_NUMBERS numbers to all tasks; rows stay where they are, and a task hands on about n rows a query.
+        """
         rows = self.rows if condition is None else self.rows.where(condition)
         asked = queries.select("query_id", F.col("query").cast("array<double>").alias("query"))
+        kinds = [f.dataType.simpleString() for f in (asked.schema["query_id"], self.rows.schema["chunk_id"])]
+        found = [queries.sparkSession.createDataFrame([], f"query_id {kinds[0]}, chunk_id {kinds[1]}, distance double")]
+        most = max(1, min(QUERY_NUMBERS // max(1, self.centres.shape[-1]), DISTANCES // max(1, len(self.cells))))
+        blocks = -(-asked.count() // most) if len(self.cells) else 0
+        for b in range(blocks):
+            some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+            table = some.toArrow().combine_chunks()  # of bounded size, as a broadcast's is
+            if table.num_rows:
+                x = _rows(table.column("query").chunk(0))
+                found.append(self._met(rows, table.column("query_id").chunk(0), kinds[0], x, self._visits(rows, x, n, probes, exact), n))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
+        return reduce(DataFrame.unionByName, found[1:] or found).withColumn("dense_rank", rank.cast("long")).where(F.col("dense_rank") <= n)
 
-        def met(visits: DataFrame) -> DataFrame:
-            pairs = rows.join(visits, "cell").select("query_id", "chunk_id", dense.distance(F.col("embedding").cast("array<double>"), F.col("query"), self.metric).alias("distance"))
-            return pairs.withColumn("dense_rank", rank.cast("long")).where(F.col("dense_rank") <= n)
-
-        found = met(self._visits(asked, probes, False))
+    def _visits(self, rows: DataFrame, x: np.ndarray, n: int, probes: int, exact: bool) -> np.ndarray:
+        """Which cells each of the queries x has to see: the nearest, and for exact search all that the n-th distance found there reaches."""
+        d = np.stack([self._from(q) for q in x])
+        near = np.zeros(d.shape, bool)
+        np.put_along_axis(near, np.argsort(d, axis=1, kind="stable")[:, :probes], True, axis=1)
         if not exact:
-            return found
-        # The n-th distance bounds what else has to be seen; a query with fewer rows so far sees everything.
-        far = found.groupBy("query_id").agg(F.max("distance").alias("far"), F.count("*").alias("k"))
-        reach = {"l2": F.col("far"), "l2sq": F.sqrt("far"), "cosine": F.sqrt(2 * F.greatest("far", F.lit(0.0)))}[self.metric] * (1 + SLACK) + SLACK
-        bound = F.when(F.coalesce("k", F.lit(0)) >= n, reach).otherwise(F.lit(float("inf")))
-        more = met(self._visits(asked.join(far, "query_id", "left").select("query_id", "query", bound.alias("bound")), probes, True))
-        return found.unionByName(more).withColumn("dense_rank", rank.cast("long")).where(F.col("dense_rank") <= n)
+            return near
+        met = self._met(rows, pa.array(np.arange(len(x))), "long", x, near, n)
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance"))
+        far = met.withColumn("rank", rank).where(F.col("rank") == n).select("query_id", "distance").toArrow()  # a row a query of the block
+        # A query with fewer rows so far sees everything.
+        bound = np.full(len(x), np.inf)
+        bound[far.column("query_id").to_numpy()] = [self._reach(v) for v in far.column("distance").to_pylist()]
+        return near | (np.maximum(d - self.most, self.least - d) <= bound[:, None])
+
+    def _met(self, rows: DataFrame, names: pa.Array, kind: str, x: np.ndarray, visits: np.ndarray, n: int) -> DataFrame:
+        """(query_id, chunk_id, distance) of the rows that may be among the n nearest of a query in the cells that it visits."""
+        key = rows.schema["chunk_id"].dataType.simpleString()
+        seen = visits.any(0)
+        some = rows if seen.all() else rows.where(F.col("cell").isin(self.cells[seen].tolist()))
+        run = _compare(names, x, np.packbits(visits, axis=0), self.cells, n, self.metric)
+        return some.select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"), "cell").mapInArrow(run, f"query_id {kind}, chunk_id {key}, distance double")
+
+
+def _compare(names: pa.Array, queries: np.ndarray, visits: np.ndarray, cells: np.ndarray, n: int, metric: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of cells against the queries that visit the cell (bits of visits[:, cell]): matrix products say which may be among the n nearest that the task has met, and these are measured by their differences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {int(c): k for k, c in enumerate(cells)}
+        own = (queries**2).sum(1)
+        best, widest = np.full((len(queries), n), np.inf), 0.0  # rough distances of the n nearest so far, and the largest square
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, cell = _rows(batch.column("embedding")), batch.column("cell").to_numpy()
+            size = (x**2).sum(1)
+            widest = max(widest, float(size.max()))
+            cuts = np.r_[0, 1 + np.flatnonzero(np.diff(cell)), len(cell)]
+            for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                asking = np.flatnonzero(np.unpackbits(visits[:, place[int(cell[start])]], count=len(queries)))
+                for s in range(start, end, ROWS):
+                    e = min(s + ROWS, end)
+                    for t in range(0, len(asking), dense.TILE):
+                        j = asking[t : t + dense.TILE]
+                        dot = queries[j] @ x[s:e].T
+                        if metric == "cosine":
+                            rough, slack = -dot / np.sqrt(own[j, None] * size[None, s:e]), np.full(len(j), SLACK)
+                        else:
+                            rough, slack = own[j, None] + size[None, s:e] - 2 * dot, SLACK * (widest + own[j])
+                        a, b = np.nonzero(rough <= (best[j].max(1) + slack)[:, None])
+                        if not len(a):
+                            continue
+                        changed = np.unique(a)
+                        limit = np.full(len(j), -np.inf)
+                        best[j[changed]] = np.partition(np.concatenate([best[j[changed]], rough[changed]], axis=1), n - 1, axis=1)[:, :n]
+                        limit[changed] = best[j[changed]].max(1)
+                        kept = rough[a, b] <= (limit + slack)[a]
+                        a, b = j[a[kept]], s + b[kept]
+                        u, v = x[b], queries[a]
+                        if metric == "cosine":
+                            distance = 1 - (u * v).sum(1) / np.sqrt((u * u).sum(1) * (v * v).sum(1))
+                        else:
+                            distance = ((u - v) ** 2).sum(1)
+                            distance = np.sqrt(distance) if metric == "l2" else distance
+                        yield pa.record_batch([names.take(pa.array(a)), batch.column("chunk_id").take(pa.array(b)), pa.array(distance)], ["query_id", "chunk_id", "distance"])
+
+    return run
 
 
 def recall(index: VectorIndex, queries: DataFrame, n: int, probes: int) -> float:

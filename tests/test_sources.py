@@ -90,6 +90,32 @@ def test_vector_index(spark, tmp_path):
         VectorIndex.save(table, path, 4, "ip")
 
 
+def test_many_queries_in_blocks(spark, tmp_path, monkeypatch):
+    """Queries in several blocks and tiles find what brute force does, without a join of rows and queries."""
+    import numpy as np
+
+    from lakeseek.operators import dense, vector_index
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1200, 6))
+    x[:30] = x[0]
+    table = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "chunk_id long, embedding array<double>, label int")
+    queries = table.where("chunk_id % 10 = 0").selectExpr("concat('q', chunk_id) as query_id", "embedding as query")
+    for name, value in (("QUERY_NUMBERS", 300), ("ROWS", 16)):
+        monkeypatch.setattr(vector_index, name, value)
+    monkeypatch.setattr(dense, "TILE", 7)
+    vector_index.VectorIndex.save(table, str(tmp_path), 9)
+    index = vector_index.VectorIndex.load(spark, str(tmp_path))
+    for condition in (None, F.col("label") == 1, F.col("chunk_id") < 3):
+        many = index.search_many(queries, 4, condition, probes=1)
+        want = dense.knn_batch(table if condition is None else table.where(condition), queries, 4)
+        rows = lambda df: sorted(df.select("query_id", "chunk_id", F.round("distance", 9), "dense_rank").collect())
+        assert rows(many) == rows(want)
+        assert "Join" not in many._jdf.queryExecution().toString()
+    approximate = index.search_many(queries, 4, probes=2, exact=False)
+    assert approximate.groupBy("query_id").count().where("count = 4").count() == 120
+
+
 def test_blocks_are_skipped(spark, tmp_path):
     from lakeseek.operators import lexical
     from lakeseek.operators.blocks import BlockedIndex
