@@ -50,7 +50,7 @@ def orders_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bid_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_orderkey, path, internal_id, text): one synthetic tender document an order, as a stored table."""
-    return stored_table(spark, sf_dir, "bid-documents", lambda: _bid_documents(spark, sf_dir).repartition(2 * spark.sparkContext.defaultParallelism, "o_orderkey"))
+    return stored_table(spark, sf_dir, "bid-documents", lambda: _bid_documents(spark, sf_dir))
 
 
 def _bid_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,9 @@ def _bid_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("4. Not a clause"),
         F.lit("tail"),
     )
-    return orders_wide(spark, sf_dir).select("o_orderkey", F.format_string("bids/2024-01-01/bid_%d_doc.pdf", k).alias("path"), F.when(k % 3 == 0, k).alias("internal_id"), text.alias("text"))
+    # Dealt out before texts are made: they never move.
+    wide = orders_wide(spark, sf_dir).repartition(2 * spark.sparkContext.defaultParallelism, "o_orderkey")
+    return wide.select("o_orderkey", F.format_string("bids/2024-01-01/bid_%d_doc.pdf", k).alias("path"), F.when(k % 3 == 0, k).alias("internal_id"), text.alias("text"))
 
 
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,15 @@ def test_fields(spark):
     assert values(spark, [10000000.0, 0.5, 12.25], "double", text.plain_number(x)) == ["10000000.0", "0.5", "12.25"]
 
 
+def test_bid_documents_are_dealt_before_texts(spark, sf):
+    """What is shuffled are keys and names, not the texts made of them."""
+    from lakeseek import fixtures
+
+    plan = fixtures._bid_documents(spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    exchange = next(i for i, line in enumerate(plan) if "RepartitionByExpression" in line)
+    assert any("Bid Number" in line for line in plan[:exchange]) and not any("Bid Number" in line for line in plan[exchange:])
+
+
 def test_query_parsing():
     assert text.query_terms("5G routers for A4 items OR 5 of ab") == ["5g", "routers", "a4"]
     assert text.query_phrases("GEM/2024/B foo-bar 1.5 -- café x") == [["gem"], ["2024"], ["foo", "bar"], ["1", "5"], ["cafe"]]
