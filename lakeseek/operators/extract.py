@@ -119,17 +119,24 @@ def overview(m: DataFrame) -> Column:
 
 
 def with_conditions(docs: DataFrame) -> DataFrame:
-    """Columns for the financial and preference fields of docs(text, lines, ...): made once here, as the chunk builders use each several times."""
+    """Columns for the financial and preference fields of docs(text, lines, ...): made once here, as the chunk builders use each several times.
+
+    None is a struct made by struct(): the optimiser would put its parts wherever they are used, and search for them again each time.
+    """
     x = F.col("lines")
+    own, oem, local = fields.turnover(x, fields.TURNOVER), fields.turnover(x, fields.OEM_TURNOVER), fields.local_content(F.col("text"))
     return docs.select(
         "*",
-        fields.turnover(x, fields.TURNOVER).alias("_own"),
-        fields.turnover(x, fields.OEM_TURNOVER).alias("_oem"),
+        own["value"].alias("_own_value"),
+        own["unit"].alias("_own_unit"),
+        oem["value"].alias("_oem_value"),
+        oem["unit"].alias("_oem_unit"),
         fields.experience_years(x).alias("_years"),
         fields.past_performance(x).alias("_past"),
         fields.emd(x).alias("_emd"),
         fields.epbg(x).alias("_epbg"),
-        fields.local_content(F.col("text")).alias("_local"),
+        local["class1"].alias("_class1"),
+        local["class2"].alias("_class2"),
         fields.preference(x, fields.MII).alias("_mii"),
         fields.percentage(x, fields.MII_BAND).alias("_mii_band"),
         fields.percentage(x, fields.MII_SHARE).alias("_mii_share"),
@@ -141,11 +148,11 @@ def with_conditions(docs: DataFrame) -> DataFrame:
 
 def eligibility() -> Column:
     """Financial conditions, from the columns of with_conditions()."""
-    own, oem, years, past, emd, epbg = (F.col(c) for c in ("_own", "_oem", "_years", "_past", "_emd", "_epbg"))
+    own, oem, years, past, emd, epbg = (F.col(c) for c in ("_own_value", "_oem_value", "_years", "_past", "_emd", "_epbg"))
     return F.concat_ws(
         " ",
-        _sentence(_some(own["value"]), "Minimum average annual turnover required: ", plain_number(own["value"]), " ", own["unit"], "."),
-        _sentence(_some(oem["value"]), "OEM average turnover required: ", plain_number(oem["value"]), " ", oem["unit"], "."),
+        _sentence(_some(own), "Minimum average annual turnover required: ", plain_number(own), " ", F.col("_own_unit"), "."),
+        _sentence(_some(oem), "OEM average turnover required: ", plain_number(oem), " ", F.col("_oem_unit"), "."),
         _sentence(_some(years), "Past experience required: ", years, " years."),
         _sentence(past.isNotNull(), "Past performance requirement: ", past, "%."),
         _sentence(_some(emd["amount"]), "EMD amount: ", plain_number(emd["amount"]), F.when(_given(emd["bank"]), F.concat(F.lit(", advisory bank "), emd["bank"], F.lit("."))).otherwise(".")),
@@ -155,7 +162,7 @@ def eligibility() -> Column:
 
 def preference_policy() -> Column:
     """Purchase preferences, from the columns of with_conditions(); empty unless one of the six numbers is there and not 0."""
-    one, two = F.col("_local.class1"), F.col("_local.class2")
+    one, two = F.col("_class1"), F.col("_class2")
 
     def applies(name: str) -> Column:
         wanted, band, share = (F.col(f"_{name.lower()}{c}") for c in ("", "_band", "_share"))

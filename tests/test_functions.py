@@ -37,6 +37,17 @@ def test_fields(spark):
     assert values(spark, [10000000.0, 0.5, 12.25], "double", text.plain_number(x)) == ["10000000.0", "0.5", "12.25"]
 
 
+def test_conditions_are_searched_once(spark):
+    """Fields that the chunk builders use several times aren't searched for again at each use."""
+    from lakeseek.operators import extract
+
+    docs = spark.createDataFrame([("a/1.pdf", "OEM Average Turnover\nRs 12 crore\nMinimum 20% and 50% Local Content")], "path string, text string")
+    chunks = extract.chunks(extract.metadata(docs, "", F.lit("2024-01-01")))
+    assert {r.text for r in chunks.collect()} == {"OEM average turnover required: 12.0 crore.", "Local content requirement: minimum 20% (Class I) / 50% (Class II)."}
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Local\\s*Content") == 2 and plan.count("OEM Average Turnover") <= 4
+
+
 def test_bid_documents_are_dealt_before_texts(spark, sf):
     """What is shuffled are keys and names, not the texts made of them."""
     from lakeseek import fixtures
