@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -21,6 +22,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 200_000
 #: A key is hot if it holds more than one in HOT_KEYS of all rows, and more than LEAST_HOT; so there are at most HOT_KEYS hot keys.
 HOT_KEYS, LEAST_HOT = 10_000, 1000
+#: Bytes of a batch handed to Python. Spark's default is 64 MB, of which each task's buffers in the JVM and in Python hold several.
+BATCH_BYTES, BATCH_CONF = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 _scratch: list[list[DataFrame]] = []
 
@@ -69,6 +72,22 @@ def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
             _scratch[-1].extend(results)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that are run inside hand Python batches of at most about BATCH_BYTES; afterwards the session is as it was. Results don't depend on it."""
+    before = spark.conf.get(BATCH_CONF, None)
+    own = int(re.match(r"-?\d+", before)[0]) if before and re.fullmatch(r"-?\d+b?", before) else 0
+    if not 0 < own <= BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_CONF)
+        else:
+            spark.conf.set(BATCH_CONF, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by stash() that nothing still to be run reads."""
     for table in tables:

@@ -56,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import discard, scratch, ship, small, spread_join, stash
+from lakeseek.llm.common import discard, scratch, ship, small, small_batches, spread_join, stash
 from lakeseek.llm.components import connected_components
 from lakeseek.llm.kernels import U64, gram_hashes, mix, text_slices
 
@@ -467,8 +467,10 @@ def _verify(percent: int, fine: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            rows = zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), batch.column("both").to_pylist(), strict=True)
+            # Buffers of the batch, not copies: whole sets are most of what a task holds.
+            rows = zip(batch.column("sa"), batch.column("sb"), batch.column("both").to_pylist(), strict=True)
             for x, y, both_sizes in rows:
+                x, y = x.as_buffer(), y.as_buffer()
                 if fine:
                     x, y = np.frombuffer(x, np.uint8).astype(np.int16), np.frombuffer(y, np.uint8).astype(np.int16)
                     low = int(np.abs((x >> 4) - (y >> 4)).sum() + np.abs((x & 15) - (y & 15)).sum())
@@ -520,7 +522,7 @@ def _shared_ids(members: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, region: int = REGION) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs(doc_id, text); component_id: smallest doc_id reachable by links."""
-    with scratch() as keep:
+    with small_batches(docs.sparkSession), scratch() as keep:
         return keep(_near_duplicates(docs, k, percent, region), "near-duplicates")
 
 

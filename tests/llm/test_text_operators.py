@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lakeseek.llm import common, decontaminate, kernels, language_id, line_dedup, ngram_join, substring_dedup, token_counts
 
@@ -321,3 +322,17 @@ def test_clashing_columns(spark):
     for out in (ngram_join.keep_first(table), decontaminate.drop_contaminated(table, items), language_id.keep_identified(table)):
         assert out.columns == table.columns
         assert {tuple(r) for r in out.collect()} <= set(rows)
+
+
+def test_ngram_join_hands_out_small_batches(spark, docs, monkeypatch):
+    """Batches of 64 MB, several of them in each task, were more than an executor had; afterwards the session is as before."""
+    before, seen = spark.conf.get(common.BATCH_CONF), set()
+    stash = ngram_join.stash
+    monkeypatch.setattr(ngram_join, "stash", lambda df, name: seen.add(spark.conf.get(common.BATCH_CONF)) or stash(df, name))
+    ngram_join.near_duplicates(docs)
+    assert seen == {str(common.BATCH_BYTES)} and spark.conf.get(common.BATCH_CONF) == before
+    long = spark.range(64).select(F.repeat(F.lit("x"), 1 << 20).alias("text")).coalesce(1)
+    sizes = lambda batches: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in batches)
+    with common.small_batches(spark):
+        found = [r.n for r in long.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 64 << 20 and max(found) <= common.BATCH_BYTES + (2 << 20)
