@@ -28,15 +28,19 @@ def date_range(rows: DataFrame, start: Column, end: Column, first: Column | None
     return rows
 
 
-def export_rows(results: DataFrame, position: str = "position") -> DataFrame:
-    """One row a bid, its first by position, with the export's columns; missing bid ids are one row N/A. position is kept."""
-    bid = F.coalesce("bid_id", F.lit("N/A"))
-    first = F.row_number().over(Window.partitionBy(bid).orderBy(position))
+def first_of_bids(rows: DataFrame, position: str = "position") -> DataFrame:
+    """Of rows(bid_id, position, ...) each bid's first by position; missing bid ids are one bid. Rows are sorted with all their columns, so those that don't decide are best joined afterwards."""
+    first = F.row_number().over(Window.partitionBy(F.coalesce("bid_id", F.lit("N/A"))).orderBy(position))
+    return rows.withColumn("_first", first).where("_first = 1").drop("_first")
+
+
+def export_columns(firsts: DataFrame, position: str = "position") -> DataFrame:
+    """The export's columns, and position, of first_of_bids()."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     made = {
         "Date": text("date"),
         "Portal": F.coalesce("portal", F.lit("GeM")),
-        "Bid ID": bid,
+        "Bid ID": F.coalesce("bid_id", F.lit("N/A")),
         "Client / Organization": F.coalesce(first_given("client_organization"), text("organisation")),
         "Bid Title": text("bid_title"),
         "Quantity": text("quantity"),
@@ -47,7 +51,12 @@ def export_rows(results: DataFrame, position: str = "position") -> DataFrame:
         "End date to submit bid": text("end_date_to_submit_bid"),
         "PDF Link": F.coalesce(first_given("pdf_link"), text("pdf_path")),
     }
-    return results.withColumn("_first", first).where("_first = 1").select(*[made[c].alias(c) for c in EXPORT_COLUMNS], F.col(position))
+    return firsts.select(*[made[c].alias(c) for c in EXPORT_COLUMNS], F.col(position))
+
+
+def export_rows(results: DataFrame, position: str = "position") -> DataFrame:
+    """One row a bid, its first by position, with the export's columns; missing bid ids are one row N/A. position is kept."""
+    return export_columns(first_of_bids(results, position), position)
 
 
 def live_status(stored: DataFrame, listing: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from lakeseek.operators import changes, extract, lexical, metadata, present
 from lakeseek.operators.lexical import LexicalIndex
 from lakeseek.plans import hybrid
 from lakeseek.queries_search import QUERY, _index, _rounded
-from lakeseek.queries_tables import _eav, _expiry, _live, _results, _snapshots, query
+from lakeseek.queries_tables import _eav, _expiry, _exported, _live, _snapshots, query
 from lakeseek.sources import files, listing, sinks
 
 
@@ -130,7 +130,7 @@ def result_fields(spark, sf_dir):
 @query
 def status_augmented_export(spark, sf_dir):
     """PRJ-04, JN-15: the export with live status by bid."""
-    exported = present.export_rows(_results(spark, sf_dir))
+    exported = _exported(spark, sf_dir)
     live = _live(spark, sf_dir).withColumn("bid_number", F.concat(F.lit("GEM/B/"), "bid_number"))
     return present.status_export(exported.drop("position"), live).select(F.col("Bid ID").alias("bid_id"), F.col("Live End Date (GeM)").alias("live_end"), F.col("Extended?").alias("extended"), F.col("Live Status").alias("status"))
 

@@ -384,3 +384,20 @@ def test_stream_and_maintenance_share_a_store(spark, tmp_path):
     report = maintenance.run(s, spark.createDataFrame([doc(1), doc(2, "Chair"), doc(3)], "path string, text string"), datetime(2024, 1, 1))
     assert (report["parsed"], report["upserts"], report["deletes"], report["index_rebuilt"]) == (2, 4, 0, True)
     assert s.read("chunks").count() == 6
+
+
+def test_export_sorts_hits_without_their_bids(spark, sf):
+    """What names, titles and links bids have is joined with first hits only: no window holds it."""
+    from lakeseek.queries_tables import QUERIES as tables
+
+    for name in ("export_rows", "status_augmented_export"):
+        plan = tables[name](spark, sf)._jdf.queryExecution().optimizedPlan()
+        windows = [n for n in _nodes(plan) if n.nodeName() == "Window" and "_first" in n.simpleString(1000)]
+        assert windows and all(n.output().size() <= 5 for n in windows)
+
+
+def _nodes(plan):
+    found = [plan]
+    for i in range(plan.children().size()):
+        found += _nodes(plan.children().apply(i))
+    return found
