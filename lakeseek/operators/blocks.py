@@ -40,16 +40,23 @@ class BlockedIndex:
 
     @classmethod
     def save(cls, index: LexicalIndex, path: str, block: int = BLOCK) -> None:
+        """From an index that isn't stored yet the blocks are made at once: its postings are written as they come, and sorted only here."""
+        spark = index.postings.sparkSession
+        if index.made is not None:
+            index.made.write.mode("overwrite").parquet(f"{path}/made")
+            index = LexicalIndex.of(spark.read.schema(index.made.schema).parquet(f"{path}/made"), index.version)
         lengths = index.lengths.groupBy(_class(F.col("length")).alias("c")).count().collect()  # a row for each class of length
         blocks = F.create_map(*[F.lit(x) for r in lengths for x in (r.c, min(BLOCKS, -(-r["count"] // block)))])
         at = _class(F.col("length"))
         placed = index.postings.withColumn("block", at * BLOCKS + F.pmod(F.xxhash64("chunk_id"), F.try_element_at(blocks, at)))
         placed.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
-        stored = index.postings.sparkSession.read.parquet(f"{path}/postings")
+        stored = spark.read.parquet(f"{path}/postings")
         most = lambda c, name: F.max(F.size(c)).alias(name)
         maxima = stored.groupBy("term", "block").agg(F.count("*").alias("n"), most("title_at", "title"), most("text_at", "text"), F.min("length").alias("length"))
         maxima.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/maxima")
         index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/made")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> BlockedIndex:

@@ -123,7 +123,11 @@ class LexicalIndex:
 
     @classmethod
     def build(cls, chunks: DataFrame, version: str = "") -> LexicalIndex:
-        made = _made(chunks)
+        return cls.of(_made(chunks), version)
+
+    @classmethod
+    def of(cls, made: DataFrame, version: str = "") -> LexicalIndex:
+        """From postings with the rows of NO_TERM among them."""
         lengths = _lengths(made)
         return cls(_terms(made), _stats(lengths), version, lengths, made)
 

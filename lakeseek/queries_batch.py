@@ -14,7 +14,7 @@ from lakeseek.operators.blocks import BlockedIndex
 from lakeseek.operators.vector_index import VectorIndex
 from lakeseek.operators.where import where
 from lakeseek.plans import hybrid
-from lakeseek.queries_search import QUERY, _index, _rounded
+from lakeseek.queries_search import QUERY, _built, _index, _rounded
 from lakeseek.sources import json_array, sinks
 from lakeseek.streaming import ingest
 
@@ -98,8 +98,7 @@ def knn_indexed_many(spark, sf_dir):
 @query
 def bm25_blocks(spark, sf_dir):
     """SL-02 by blocks of postings: those that can't reach the k-th score aren't scored."""
-    chunks, index = _index(spark, sf_dir)
-    path = fixtures.stored(spark, sf_dir, "blocked-index", lambda p: BlockedIndex.save(index, p))
+    path = fixtures.stored(spark, sf_dir, "blocked-index", lambda p: BlockedIndex.save(_built(spark, sf_dir), p))
     found, _ = BlockedIndex.load(spark, path).search(query_phrases(QUERY), 40)
     return _rounded(found, "score")
 

@@ -24,13 +24,17 @@ def query(f):
     return f
 
 
+def _built(spark, sf_dir) -> LexicalIndex:
+    """The index of the chunks, not stored."""
+    # The test tables are single files: dealt out, or one task would read all texts.
+    dealt = fixtures.chunk_table(spark, sf_dir).repartition(2 * spark.sparkContext.defaultParallelism, "chunk_id")
+    return LexicalIndex.build(dealt, "fixture")
+
+
 def _index(spark, sf_dir) -> tuple[DataFrame, LexicalIndex]:
     """The chunks and their index: built and saved once, then read by term."""
-    chunks = fixtures.chunk_table(spark, sf_dir)
-    # The test tables are single files: dealt out, or one task would read all texts.
-    dealt = chunks.repartition(2 * spark.sparkContext.defaultParallelism, "chunk_id")
-    path = fixtures.stored(spark, sf_dir, "lexical-index", LexicalIndex.build(dealt, "fixture").save)
-    return chunks, LexicalIndex.load(spark, path)
+    path = fixtures.stored(spark, sf_dir, "lexical-index", lambda p: _built(spark, sf_dir).save(p))
+    return fixtures.chunk_table(spark, sf_dir), LexicalIndex.load(spark, path)
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:

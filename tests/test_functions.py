@@ -401,3 +401,20 @@ def _nodes(plan):
     for i in range(plan.children().size()):
         found += _nodes(plan.children().apply(i))
     return found
+
+
+def test_blocks_from_an_index_that_is_not_stored(spark, sf, tmp_path):
+    """The same tables as from a stored one; what was written on the way is gone."""
+    from lakeseek import fixtures
+    from lakeseek.operators.blocks import BlockedIndex
+    from lakeseek.operators.lexical import LexicalIndex
+
+    built = LexicalIndex.build(fixtures.chunk_table(spark, sf))
+    built.save(f"{tmp_path}/index")
+    BlockedIndex.save(built, f"{tmp_path}/a")
+    BlockedIndex.save(LexicalIndex.load(spark, f"{tmp_path}/index"), f"{tmp_path}/b")
+    a, b = (BlockedIndex.load(spark, f"{tmp_path}/{x}") for x in "ab")
+    for x, y in ((a.postings, b.postings), (a.maxima, b.maxima), (a.stats, b.stats)):
+        assert x.count() == y.count() and x.exceptAll(y.select(*x.columns)).isEmpty()
+    assert sorted(p.name for p in (tmp_path / "a").iterdir()) == ["maxima", "postings", "stats"]
+    assert not list(a.postings.where("term = ''").take(1))
