@@ -2,7 +2,7 @@
 
 Queries are parsed by expressions, not in the driver. A phrase that many queries have is
 matched once: distinct phrases meet the postings by term, and their document frequency
-follows from the matches. These are dealt out by chunk, and only there joined with the queries that have
+follows from the matches. These are dealt out by chunk, to tasks of bounded chunks times queries, and only there joined with the queries that have
 the phrase, so that a chunk's scores are added up where they are made and a common
 word of many queries moves once. Each task keeps the best of a query before the others are met.
 Scores are compared by nine digits, so that the order in which they were added up doesn't matter.
@@ -19,6 +19,8 @@ from lakeseek.operators.lexical import B, EXACT_SCORE, K1, LEAST_IDF, TEXT_SHARE
 DIGITS = 9
 #: Rows of the table of queries' phrases up to which it is broadcast: some 20 MB.
 PHRASES = 300_000
+#: Rows (query, chunk) that a task scores at most, if every chunk is a hit of every query: some 150 MB.
+SCORED = 1 << 19
 
 
 def phrases(queries: DataFrame) -> DataFrame:
@@ -57,8 +59,12 @@ def bm25(index: LexicalIndex, queries: DataFrame, title_weight: float = TITLE_WE
     rare = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     impact = F.when(rare <= 0, LEAST_IDF).otherwise(rare) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
     weighed = found.join(df, "phrase").crossJoin(F.broadcast(index.stats)).select("phrase", "chunk_id", impact.alias("impact"))  # one row
-    if asked.count() <= PHRASES:
-        weighed, asked = weighed.repartition("chunk_id"), F.broadcast(asked)
+    n_phrases, n_queries = asked.agg(F.count("*"), F.count_distinct("query_id")).first()
+    if n_phrases <= PHRASES:
+        # As many tasks as what the queries make of the matches needs: by the matches' own bytes few would get all.
+        context = index.postings.sparkSession.sparkContext
+        parts = max(context.defaultParallelism, -(-(index.stats.first()["n"] or 0) * n_queries // SCORED))
+        weighed, asked = weighed.repartition(parts, "chunk_id"), F.broadcast(asked)
     return weighed.join(asked, "phrase").groupBy("query_id", "chunk_id").agg(F.round(-F.sum(F.col("impact") * F.col("times")), DIGITS).alias("score"))
 
 

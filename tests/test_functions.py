@@ -418,3 +418,18 @@ def test_blocks_from_an_index_that_is_not_stored(spark, sf, tmp_path):
         assert x.count() == y.count() and x.exceptAll(y.select(*x.columns)).isEmpty()
     assert sorted(p.name for p in (tmp_path / "a").iterdir()) == ["maxima", "postings", "stats"]
     assert not list(a.postings.where("term = ''").take(1))
+
+
+def test_scores_of_many_queries_are_dealt_by_what_they_make(spark, sf, monkeypatch):
+    """Tasks grow in number with chunks times queries, not with the matches' bytes, and scores stay."""
+    from lakeseek.operators import lexical_batch
+    from lakeseek.queries_batch import _asked
+    from lakeseek.queries_search import _index
+
+    _, index = _index(spark, sf)
+    wanted = {tuple(r) for r in lexical_batch.bm25(index, _asked(spark, sf)).collect()}
+    monkeypatch.setattr(lexical_batch, "SCORED", 1000)
+    scored = lexical_batch.bm25(index, _asked(spark, sf))
+    assert {tuple(r) for r in scored.collect()} == wanted
+    queries = lexical_batch.phrases(_asked(spark, sf)).select("query_id").distinct().count()
+    assert scored.rdd.getNumPartitions() == -(-index.stats.first().n * queries // 1000)
