@@ -6,9 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Labels up to which they are broadcast: some 100 MB.
+LABELS = 2_000_000
 _stored: dict[tuple, str] = {}
 
 
@@ -114,8 +116,20 @@ def _bid_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as retrieval chunks: (chunk_id, title, text, lang, source, n_chars, is_boilerplate), title being the first line."""
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).alias("is_boilerplate"))
-    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
-    return docs.select(F.col("doc_id").alias("chunk_id"), F.substring_index("text", "\n", 1).alias("title"), "text", "lang", "source", "n_chars", "is_boilerplate")
+    # Broadcast, or the texts of all documents would be shuffled to meet them.
+    docs = table(spark, sf_dir, "documents").join(F.broadcast(labels) if labels.count() <= LABELS else labels, "doc_id", "left")
+    return docs.select(F.col("doc_id").alias("chunk_id"), _title(), "text", "lang", "source", "n_chars", "is_boilerplate")
+
+
+def _title() -> Column:
+    return F.substring_index("text", "\n", 1).alias("title")
+
+
+def indexed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, title, text) of chunk_table(). Labels say nothing of texts, so these don't meet them, which would shuffle them, unless a document has several labels and so several chunks."""
+    if not table(spark, sf_dir, "labels").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return chunk_table(spark, sf_dir).select("chunk_id", "title", "text")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), _title(), "text")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Postings hold one row for each (term, chunk) with the term's places in title and
 text and the chunk's length, so a search reads only the rows of its terms and
-joins nothing.  Stored in ranges of term, their statistics prune the files.  They are
-made inside the row of a chunk: tokens come from the JVM, are sorted by term in Arrow
-batches, and nothing is shuffled before the ranges are.
+joins nothing.  They are made inside the row of a chunk: tokens come from the JVM and are
+sorted by term in Arrow batches.  Each task sorts what it made and writes it, so nothing
+is shuffled or written twice, every file holds the terms of its own chunks in order, and
+the statistics of its pages prune it.
 
 SegmentedIndex keeps an index current by immutable segments and deletion marks.
 """
@@ -134,10 +135,10 @@ class LexicalIndex:
     @classmethod
     def load(cls, spark, path: str) -> LexicalIndex:
         state = spark.read.json(f"{path}/state").first()
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), state["version"], spark.read.parquet(f"{path}/lengths"))
+        return cls(_terms(spark.read.parquet(f"{path}/postings")), spark.read.parquet(f"{path}/stats"), state["version"], spark.read.parquet(f"{path}/lengths"))
 
     def save(self, path: str) -> None:
-        """In term order, state last: a reader that finds a state finds the tables. Postings are made once; their ranges and the statistics come from what is written then."""
+        """Files in term order, state last: a reader that finds a state finds the tables. Postings are made once; lengths and statistics come from what is written then."""
         spark = self.postings.sparkSession
         none = F.lit(None).cast("array<int>")
         lengths = self.lengths.select(F.lit(NO_TERM).alias("term"), "chunk_id", none.alias("title_at"), none.alias("text_at"), "length")
@@ -166,15 +167,11 @@ class LexicalIndex:
 
 
 def _save(made: DataFrame, path: str, hashes: DataFrame | None = None) -> None:
-    """Tables of postings, sorted by term, and of lengths, with hashes(chunk_id, hash) if given. Rows are written as they come first: ranges are drawn from a sample and would else make all of them twice."""
-    spark = made.sparkSession
-    made.write.mode("overwrite").parquet(f"{path}/made")
-    rows = spark.read.schema(made.schema).parquet(f"{path}/made")
-    _terms(rows).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
-    lengths = _lengths(rows) if hashes is None else _lengths(rows).join(hashes, "chunk_id")
+    """Tables of postings, each file sorted by term and with the rows of NO_TERM first, and of lengths, with hashes(chunk_id, hash) if given. Ranges of term over all files would take the postings through a shuffle, several times what they take here."""
+    made.sortWithinPartitions("term", "chunk_id").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+    lengths = _lengths(made.sparkSession.read.schema(made.schema).parquet(f"{path}/postings"))
+    lengths = lengths if hashes is None else lengths.join(hashes, "chunk_id")
     lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/made")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 if TYPE_CHECKING:
@@ -212,6 +209,7 @@ class SegmentedIndex:
         rows = parts[0]
         for part in parts[1:]:
             rows = rows.unionByName(part)
+        rows = _terms(rows) if kind == "postings" else rows
         if not state["deleted"]:
             return rows
         dead = self.spark.read.parquet(*[self._path(d) for d in state["deleted"]])

@@ -26,9 +26,10 @@ def query(f):
 
 def _built(spark, sf_dir) -> LexicalIndex:
     """The index of the chunks, not stored."""
-    # The test tables are single files: dealt out, or one task would read all texts.
-    dealt = fixtures.chunk_table(spark, sf_dir).repartition(2 * spark.sparkContext.defaultParallelism, "chunk_id")
-    return LexicalIndex.build(dealt, "fixture")
+    chunks, cores = fixtures.indexed_texts(spark, sf_dir), spark.sparkContext.defaultParallelism
+    # A table of few row groups is dealt out, or few tasks would read all texts; others are read as they lie.
+    tasks = fixtures.table(spark, sf_dir, "documents").select(F.spark_partition_id().alias("task")).distinct().count()
+    return LexicalIndex.build(chunks.repartition(2 * cores, "chunk_id") if tasks < cores else chunks, "fixture")
 
 
 def _index(spark, sf_dir) -> tuple[DataFrame, LexicalIndex]:

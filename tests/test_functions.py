@@ -449,3 +449,43 @@ def test_chunk_validity_with_blank_documents(spark, tmp_path):
     assert sorted(map(tuple, queries_tables.QUERIES["chunk_validity"](spark, str(tmp_path)).collect())) == wanted
     chunks = spark.createDataFrame([(str(i), t) for i, t in docs] + [("", "a"), (None, "a")], "chunk_id string, text string")
     assert {r["chunk_id"] for r in changes.valid_chunks(chunks).collect()} == {"1", "6", "7"}
+
+
+def test_index_is_stored_once(spark, sf, tmp_path):
+    """As many files as tasks made postings, each in term order: nothing was dealt out by ranges; lengths are not postings."""
+    from lakeseek import fixtures
+    from lakeseek.operators.lexical import LexicalIndex
+
+    built = LexicalIndex.build(fixtures.indexed_texts(spark, sf).repartition(3), "v")
+    built.save(f"{tmp_path}/index")
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["lengths", "postings", "state", "stats"]
+    stored = LexicalIndex.load(spark, f"{tmp_path}/index")
+    assert stored.postings.where("term = ''").isEmpty() and stored.lengths.count() == 200
+    assert stored.postings.exceptAll(built.postings).isEmpty() and stored.postings.count() == built.postings.count()
+    files = list((tmp_path / "index/postings").glob("*.parquet"))
+    assert len(files) == 3
+    for f in files:
+        terms = [r.term for r in spark.read.parquet(str(f)).select("term").collect()]
+        assert terms == sorted(terms, key=str.encode)
+
+
+@pytest.mark.parametrize("parts", [1 << 19, 500])
+def test_best_of_many_queries_chunk_by_chunk(spark, sf, monkeypatch, parts):
+    """What tasks keep is best() of all scores, equal ones by the smaller id; ids may be texts, and a task hands on k a query at most."""
+    from lakeseek import fixtures
+    from lakeseek.operators import lexical_batch
+    from lakeseek.operators.lexical import LexicalIndex
+    from lakeseek.queries_batch import _asked
+
+    monkeypatch.setattr(lexical_batch, "PARTS", parts)
+    rows = fixtures.indexed_texts(spark, sf)
+    # Copies: equal scores.
+    twice = rows.withColumn("chunk_id", F.format_string("c%05d", "chunk_id")).unionByName(rows.withColumn("chunk_id", F.format_string("a%05d", "chunk_id")))
+    asked = _asked(spark, sf).unionByName(spark.createDataFrame([(-1, "of-the thing thing", None), (-2, "", None)], "query_id long, query string, embedding array<float>"))
+    index = LexicalIndex.build(twice)
+    for k in (3, 250):
+        wanted = {tuple(r) for r in lexical_batch.best(lexical_batch.bm25(index, asked), k).collect()}
+        assert {tuple(r) for r in lexical_batch.top(index, asked, k).collect()} == wanted and wanted
+    monkeypatch.setattr(lexical_batch, "KEPT", 0)
+    assert {tuple(r) for r in lexical_batch.top(index, asked, k).collect()} == wanted
+    assert lexical_batch.top(index, asked.where("query_id = -2"), 3).isEmpty()
