@@ -46,7 +46,7 @@ def match_quality_many(spark, sf_dir):
     """SC-05 for a table of queries: every benchmark item with its best forty chunks."""
     chunks, index = _index(spark, sf_dir)
     asked = _asked(spark, sf_dir)
-    hits = lexical_batch.best(lexical_batch.bm25(index, asked), 40).join(chunks, "chunk_id")
+    hits = lexical_batch.with_texts(lexical_batch.top(index, asked, 40), chunks, asked, 40)
     return _rounded(lexical_batch.match_quality(hits, asked, lexical_batch.term_weights(index, asked)).select("query_id", "chunk_id", "quality"), "quality")
 
 
