@@ -76,7 +76,7 @@ def search_many(
     id_column: str | None = None,
     metric: str = "l2sq",
 ) -> DataFrame:
-    """search() for each of queries(query_id, query, embedding): (query_id, rank, chunk_id, score, dense_rank, lexical_rank). Queries with a null embedding are lexical only, blank ones have no answer. Nothing of the queries passes through the driver."""
+    """search() for each of queries(query_id, query, embedding): (query_id, rank, chunk_id, score, dense_rank, lexical_rank). Queries with a null embedding are lexical only, blank ones have no answer. Of the queries, vectors by blocks, phrases (up to lexical_batch.PHRASES) and hits (up to lexical_batch.HITS) pass through the driver, as broadcasts do; larger tables' phrases and hits are joined where they are."""
     test, n = where(condition), candidates or max(4 * limit, 40)
     asked = queries.where(F.trim(F.coalesce("query", F.lit(""))) != "")
     real = ~F.coalesce(F.col("is_boilerplate"), F.lit(False)) if exclude_boilerplate and "is_boilerplate" in chunks.columns else F.lit(True)
