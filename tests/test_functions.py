@@ -489,3 +489,20 @@ def test_best_of_many_queries_chunk_by_chunk(spark, sf, monkeypatch, parts):
     monkeypatch.setattr(lexical_batch, "KEPT", 0)
     assert {tuple(r) for r in lexical_batch.top(index, asked, k).collect()} == wanted
     assert lexical_batch.top(index, asked.where("query_id = -2"), 3).isEmpty()
+
+
+def test_few_hits_leave_chunks_where_they_lie(spark, sf):
+    """Texts aren't shuffled to meet their labels or few hits, however small the bound on Spark's own broadcasts is."""
+    from lakeseek import fixtures
+    from lakeseek.operators import lexical_batch
+
+    hits = spark.createDataFrame([(1, 5, 0.5), (2, 5, 0.25), (2, 7, 0.75), (2, -1, 0.0)], "query_id long, chunk_id long, score double")
+    queries = spark.createDataFrame([(1,), (2,)], "query_id long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = lexical_batch.with_texts(hits, fixtures.chunk_table(spark, sf), queries, 3)
+        assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.query_id, r.chunk_id, bool(r.text)) for r in rows.collect()) == [(1, 5, True), (2, 5, True), (2, 7, True)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
